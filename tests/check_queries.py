@@ -6,7 +6,7 @@ import traceback
 
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 
-from tests.oracle import compare, connect  # noqa: E402
+from tests.oracle import TIMES, compare, connect  # noqa: E402
 from verdictframe.plans import load  # noqa: E402
 from verdictframe.session import get_session  # noqa: E402
 
@@ -32,7 +32,7 @@ def main():
         except Exception:
             problem = traceback.format_exc()[-1500:]
         bad += problem is not None
-        print(f"{'ok   ' if problem is None else 'FAIL '} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'ok   ' if problem is None else 'FAIL '} {name} {time.time() - start:.1f}s (spark %.1f sql %.1f) {problem or ''}" % TIMES.get(name, (0, 0)), flush=True)
     print("failures:", bad)
     return bad
 

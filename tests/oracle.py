@@ -5,9 +5,12 @@ from __future__ import annotations
 import glob
 import math
 import os
+import time
 
 import duckdb
 
+TIMES: dict[str, tuple[float, float]] = {}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -37,9 +40,12 @@ def rows_of(columns, rows):
 
 def compare(name, df, sql, con):
     """None when equal, else a short description of the difference."""
+    start = time.time()
     got_cols, got = df.columns, [tuple(r) for r in df.collect()]
+    middle = time.time()
     cur = con.execute(sql)
     want_cols, want = [d[0] for d in cur.description], cur.fetchall()
+    TIMES[name] = (middle - start, time.time() - middle)
     if sorted(got_cols) != sorted(want_cols):
         return f"{name}: columns {sorted(got_cols)} != {sorted(want_cols)}"
     a, b = rows_of(got_cols, got), rows_of(want_cols, want)

@@ -80,6 +80,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it.
+
+    A plain column expression is copied to every place that uses it, and again by predicate
+    pushdown, so a costly one inside a lambda over passages would run once per passage.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(c: Column | str) -> Column:
     """Lower case, runs of anything but letters and digits to one space, trimmed; null gives ''."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -110,22 +119,33 @@ def behavior_label(
 ) -> Column:
     """struct(label, entails_original, entails_perturbed) from string matching alone."""
     refused = F.coalesce(col(is_refusal), F.lit(False))
-    has_orig = norm_contains(answer, original)
-    has_pert = norm_contains(answer, perturbed)
-    label = (
-        F.when(refused, "refusal_or_insufficient")
-        .when(has_orig & has_pert, "both_claims")
-        .when(has_pert, "context_follow")
-        .when(has_orig, "memory_override")
-        .when(has_marker(answer, CONFLICT_MARKERS), "conflict_awareness")
-        .when(has_marker(answer, REFUSAL_MARKERS), "refusal_or_insufficient")
-        .otherwise("unrelated_or_failed")
+    texts = F.struct(
+        normalize(answer).alias("a"), normalize(original).alias("o"), normalize(perturbed).alias("p")
     )
-    return F.struct(
-        label.alias("label"),
-        (~refused & has_orig).alias("entails_original"),
-        (~refused & has_pert).alias("entails_perturbed"),
+
+    def labelled(found: Column) -> Column:
+        label = (
+            F.when(refused, "refusal_or_insufficient")
+            .when(found["o"] & found["p"], "both_claims")
+            .when(found["p"], "context_follow")
+            .when(found["o"], "memory_override")
+            .when(has_marker(answer, CONFLICT_MARKERS), "conflict_awareness")
+            .when(has_marker(answer, REFUSAL_MARKERS), "refusal_or_insufficient")
+            .otherwise("unrelated_or_failed")
+        )
+        return F.struct(
+            label.alias("label"),
+            (~refused & found["o"]).alias("entails_original"),
+            (~refused & found["p"]).alias("entails_perturbed"),
+        )
+
+    hits = let(
+        texts,
+        lambda t: F.struct(
+            contains_normalized(t["a"], t["o"]).alias("o"), contains_normalized(t["a"], t["p"]).alias("p")
+        ),
     )
+    return let(hits, labelled)
 
 
 def bucket_reason(c: Column | str, keywords: Sequence[tuple[str, str]] = REASON_KEYWORDS) -> Column:

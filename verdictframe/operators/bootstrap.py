@@ -28,8 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.operators.ranking import dense_index, hash_order
+from verdictframe.session import checkpointed
 
 _BLOCK_CELLS = 2_000_000  # weight-matrix cells held at once by a task
+_VECTORS_PER_BUCKET = 4096
 
 
 def percentile_interval(
@@ -68,12 +70,17 @@ def cluster_bootstrap(
     population: DataFrame,
     n_boot: int = 10_000,
     seed: int = 20260627,
-    buckets: int = 64,
+    buckets: int | None = None,
     level: float = 0.95,
     scale: float = 100.0,
 ) -> DataFrame:
-    """Point and percentile interval of sum(num)/sum(den) per stratum; all strata share the draws."""
-    vectors = statistic_vectors(stats, by, cluster, population)
+    """Point and percentile interval of sum(num)/sum(den) per stratum; all strata share the draws.
+
+    The vector table is checkpointed: it is counted to choose the number of buckets, then read for
+    the bucket sizes and again for the draws.
+    """
+    vectors = checkpointed(statistic_vectors(stats, by, cluster, population))
+    buckets = buckets or max(8, -(-vectors.count() // _VECTORS_PER_BUCKET))
     vectors = vectors.withColumn("bucket", F.pmod(F.xxhash64(F.to_json("vec")), F.lit(buckets)).cast("int"))
     sizes = vectors.groupBy("bucket").agg(F.sum("mult").alias("size"))
     size_map = sizes.agg(F.sort_array(F.collect_list(F.struct("bucket", "size"))).alias("m"))
@@ -86,7 +93,9 @@ def cluster_bootstrap(
         F.col("vec.den").alias("den"),
         size_map.scalar().alias("sizes"),
     )
-    parts = shipped.groupBy("bucket").applyInPandas(
+    # a fixed partition count: the table is small in bytes but each bucket is a lot of work
+    spread = shipped.repartition(buckets, "bucket")
+    parts = spread.groupBy("bucket").applyInPandas(
         _bucket_kernel(n_boot, seed), "s string, b int, num double, den double"
     )
     sums = parts.groupBy("s", "b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
@@ -155,12 +164,21 @@ def _bucket_kernel(n_boot: int, seed: int):
 def draw_index(seed: int | str, replicate: Column, draw: Column, n: Column) -> Column:
     """Cluster index picked by one draw: the first 32 md5 bits of (seed, replicate, draw) modulo n."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), draw.cast("string")))
-    return F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") % n
+    # never null, and declared so: a null filter on the join key would compute every hash twice
+    return F.coalesce(F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") % n, F.lit(0))
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def hashed_draws(stats: DataFrame, cluster: str, n_boot: int, seed: int | str) -> DataFrame:
-    """(b, num, den) per replicate; ``stats`` has one row per cluster of the population."""
-    indexed = dense_index(stats, cluster, "idx")
+    """(b, num, den) per replicate; ``stats`` has one row per cluster of the population.
+
+    The index is repartitioned by number before it fans out, because its few bytes would
+    otherwise be coalesced into a single task.
+    """
+    indexed = dense_index(stats, cluster, "idx").repartition(_tasks(stats), "idx")
     n = stats.agg(F.count(F.lit(1)).alias("n")).scalar()
     draws = indexed.select(
         F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"), F.col("idx").alias("d"), n.alias("n")
@@ -185,7 +203,7 @@ def poisson_weight(seed: int | str, replicate: Column, cluster: Column) -> Colum
 
 def poisson_bootstrap(stats: DataFrame, by: Sequence[str], cluster: str, n_boot: int, seed: int | str) -> DataFrame:
     """(stratum, b, num, den); strata of one cluster share its weight, partial sums combine map-side."""
-    spread = stats.select(
+    spread = stats.repartition(_tasks(stats), cluster).select(
         *by, cluster, "num", "den", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
     )
     w = poisson_weight(seed, F.col("b"), F.col(cluster))

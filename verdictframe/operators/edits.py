@@ -11,11 +11,12 @@ from verdictframe.functions import jsonvals as J
 from verdictframe.functions.text import (
     col,
     contains_normalized,
+    let,
     normalize,
     replace_ignore_case,
 )
 from verdictframe.operators.raw import ANSWER_TAG, RELATED_TAG
-from verdictframe.schemas import CHANGE_TYPES, MENTION_KINDS
+from verdictframe.schemas import CHANGE_TYPES, MENTION_KINDS, PASSAGE
 
 REWRITE_LABELS = (ANSWER_TAG, RELATED_TAG)
 
@@ -28,21 +29,13 @@ def passages_to_send(passages: Column | str) -> Column:
     return F.filter(col(passages), lambda p: passage_label(p["evidence_correct"]).isin(*REWRITE_LABELS))
 
 
-def select_grounding(mode: Column | str, original: Column | str, perturbed: Column | str) -> Column:
+def select_grounding(
+    mode: Column | str, original: Column | str, perturbed: Column | str, closed_book: Column | None = None
+) -> Column:
     """Passages of the mode; null when a mode that needs passages has none, empty for closed book."""
-    blank = F.slice(col(original), 1, 0)
-    chosen = (
-        F.when(col(mode) == "rag_perturbed", col(perturbed))
-        .when(col(mode) == "rag_original", col(original))
-    )
-    return F.when(col(mode) == "closed_book", F.coalesce(blank, F.array().cast(_passage_type())))\
-        .when(F.size(chosen) > 0, chosen)
-
-
-def _passage_type() -> str:
-    from verdictframe.schemas import PASSAGE
-
-    return f"array<{PASSAGE}>"
+    chosen = F.when(col(mode) == "rag_perturbed", col(perturbed)).when(col(mode) == "rag_original", col(original))
+    nothing = F.array().cast(f"array<{PASSAGE}>") if closed_book is None else closed_book
+    return F.when(col(mode) == "closed_book", nothing).when(F.size(chosen) > 0, chosen)
 
 
 def explode_passages(df: DataFrame, passages: str, keys: Sequence[str], variant: str | None = None) -> DataFrame:
@@ -145,9 +138,12 @@ def leaks(text: Column | str, original_value: Column | str) -> Column:
 
 def leaked_ids(passages: Column | str, original_value: Column | str) -> Column:
     """Ids of passages that still hold the original value, for nested records."""
-    needle = normalize(original_value)
-    hits = F.filter(col(passages), lambda p: contains_normalized(normalize(p["text"]), needle))
-    return F.transform(hits, lambda p: p["passage_id"])
+
+    def scan(needle: Column) -> Column:
+        hits = F.filter(col(passages), lambda p: contains_normalized(normalize(p["text"]), needle))
+        return F.transform(hits, lambda p: p["passage_id"])
+
+    return let(normalize(original_value), scan)
 
 
 def id_list(ids: Column) -> Column:
@@ -249,9 +245,13 @@ def render_modified(passages: Column | str, ids: Column | str, fallback: int = 5
     """The modified passages, else the first few, else a note that there are none."""
     wanted = F.coalesce(col(ids), F.array().cast("array<int>"))
     chosen = F.filter(col(passages), lambda p: F.array_contains(wanted, p["passage_id"]))
-    shown = F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(col(passages), 1, fallback))
     none = F.lit("(no perturbed passages available)")
-    return F.when(F.coalesce(F.size(shown), F.lit(0)) > 0, _blocks(shown)).otherwise(none)
+
+    def show(kept: Column) -> Column:
+        head = F.slice(col(passages), 1, fallback)
+        return F.when(F.size(kept) > 0, _blocks(kept)).when(F.size(head) > 0, _blocks(head)).otherwise(none)
+
+    return let(chosen, show)
 
 
 def render_request(template: str, **values: Column) -> Column:

@@ -163,9 +163,13 @@ def doc_passages(spark: SparkSession, sf_dir: str, labels: bool = True) -> DataF
     """
     from verdictframe.functions.text import normalize
 
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("core_id"),
-        F.split(normalize("text"), " ")[0].alias("original_value"),
+    whole = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("core_id"), F.split(normalize("text"), " ")[0].alias("original_value"), "text"
+    )
+    # the value is computed before the explode: beside it, it would be recomputed for every line
+    docs = whole.select(
+        "core_id",
+        "original_value",
         F.lit(SPECIAL_VALUE).alias("perturbed_value"),
         F.posexplode(F.split("text", "\n")).alias("passage_id", "text"),
     )

@@ -13,6 +13,7 @@ from verdictframe.operators.quality import expect
 from verdictframe.operators.ranking import hash_order
 from verdictframe.plans import tables as T
 from verdictframe.plans.registry import query, round_columns, rounded
+from verdictframe.session import checkpointed
 
 CELLS_SQL = """count(*) AS n, count(*) FILTER (gold) AS gold_pos, count(*) FILTER (gold AND pred) AS tp,
   count(*) FILTER (NOT gold AND pred) AS fp, count(*) FILTER (NOT gold AND NOT pred) AS tn,
@@ -242,7 +243,7 @@ SELECT (SELECT sum(den)::bigint FROM s) AS n, round((SELECT 100 * sum(num) / sum
 )
 def bootstrap_ci(spark, sf_dir):
     """The whole population, 200 replicates; draws are hashes, so SQL can repeat them."""
-    stats = _gold_stats(spark, sf_dir)
+    stats = checkpointed(_gold_stats(spark, sf_dir))
     reps = B.hashed_draws(stats, "core_id", N_DRAWS, DRAW_SEED)
     usable = reps.where(F.col("den") > 0).select((F.col("num") / F.col("den")).alias("rep"))
     interval = B.percentile_interval(usable, [])
@@ -278,8 +279,7 @@ def bootstrap_poisson(spark, sf_dir):
 @query("bootstrap_blocks")
 def bootstrap_blocks(spark, sf_dir):
     """All strata of the full and validated populations with 10,000 shared multinomial replicates."""
-    answers = _answers(spark, sf_dir)
-    stats = P.stratum_stats(answers, "core_id")
+    stats = checkpointed(P.stratum_stats(_answers(spark, sf_dir), "core_id"))
     clusters = T.verdicts(spark, sf_dir).select("core_id", "is_validated")
     valid = F.col("is_validated")
     populations = {"full": clusters, "validated": clusters.where(valid), "gap_fill": clusters.where(~valid)}

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdictframe.functions.text import col
+from verdictframe.functions.text import col, let
 
 
 def strict_json(text: Column | str) -> Column:
     """The whole string as one JSON value, else null: no code fences, no trailing text."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), col(text), F.lit("]")))
-    one = F.size(F.try_variant_get(wrapped, "$", "array<variant>")) == 1
-    return F.when(one, F.try_variant_get(wrapped, "$[0]", "variant"))
+    items = F.try_variant_get(wrapped, "$", "array<variant>")
+    return let(items, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
 
 
 def field(value: Column, name: str) -> Column:
@@ -34,28 +34,35 @@ def _is_number(kind: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """Truth of a JSON value: non-empty strings are true, "false" included; absent is false."""
-    kind, text = json_type(value), value.cast("string")
-    return F.coalesce(
+    return F.coalesce(_typed(value, _truth), F.lit(False))
+
+
+def _typed(value: Column, body) -> Column:
+    """``body(type, text)`` with both looked at once."""
+    pair = F.struct(json_type(value).alias("k"), value.cast("string").alias("t"))
+    return let(pair, lambda p: body(p["k"], p["t"]))
+
+
+def _truth(kind: Column, text: Column) -> Column:
+    return (
         F.when(kind == "BOOLEAN", text == "true")
         .when(kind == "STRING", F.length(text) > 0)
         .when(_is_number(kind), text.try_cast("double") != 0)
         .when(F.startswith(kind, F.lit("ARRAY")), text != "[]")
-        .when(F.startswith(kind, F.lit("OBJECT")), text != "{}"),
-        F.lit(False),
+        .when(F.startswith(kind, F.lit("OBJECT")), text != "{}")
     )
 
 
 def as_text(value: Column) -> Column:
     """Text of a JSON value; given-as-null reads 'None', booleans are capitalised, absent is null."""
-    kind, text = json_type(value), value.cast("string")
-    return (
-        F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+    return _typed(
+        value, lambda kind, text: F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
     )
 
 
 def as_string(value: Column) -> Column:
     """String members only; any other type reads null."""
-    return F.when(json_type(value) == "STRING", value.cast("string"))
+    return _typed(value, lambda kind, text: F.when(kind == "STRING", text))
 
 
 def is_string_or_null(value: Column) -> Column:
@@ -64,12 +71,12 @@ def is_string_or_null(value: Column) -> Column:
 
 def as_int(value: Column) -> Column:
     """Guarded integer: numbers truncate, digit strings parse, anything else is null."""
-    kind, text = json_type(value), value.cast("string")
-    return (
-        F.when(kind == "BIGINT", text.try_cast("bigint"))
+    return _typed(
+        value,
+        lambda kind, text: F.when(kind == "BIGINT", text.try_cast("bigint"))
         .when(_is_number(kind), text.try_cast("double").try_cast("bigint"))
         .when(kind == "BOOLEAN", (text == "true").cast("bigint"))
-        .when((kind == "STRING") & F.trim(text).rlike(r"^[+-]?[0-9]+$"), F.trim(text).try_cast("bigint"))
+        .when((kind == "STRING") & F.trim(text).rlike(r"^[+-]?[0-9]+$"), F.trim(text).try_cast("bigint")),
     )
 
 
@@ -90,8 +97,7 @@ def citation_ids(value: Column) -> Column:
 
 def choice(value: Column, menu: tuple[str, ...]) -> Column:
     """The string if it is on the menu, else null."""
-    text = as_string(value)
-    return F.when(text.isin(*menu), text)
+    return let(as_string(value), lambda text: F.when(text.isin(*menu), text))
 
 
 def clipped_if_truthy(value: Column, limit: int) -> Column:

@@ -63,7 +63,10 @@ def passes_gates(raw: Column) -> Column:
 
 
 def passage_text(passage: Column, position: Column) -> Column:
-    """``text``, else the citation slot of this position, else the first non-blank slot."""
+    """``text``, else the citation slot of this position, else the first non-blank slot.
+
+    VARIANT keeps the keys of an object sorted by name, so "first" is by name, not by file order.
+    """
     slots = F.try_variant_get(passage, "$", "map<string,variant>")
     present = F.map_filter(
         slots,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.functions import jsonvals as J
-from verdictframe.functions.text import behavior_label, col
+from verdictframe.functions.text import behavior_label, col, let
 from verdictframe.schemas import BEHAVIOR_LABELS, GATES, LEVELS, VERDICTS
 
 RESPONSE_FIELDS = "text string, input_tokens bigint, output_tokens bigint, error string"
@@ -52,28 +52,31 @@ def score_requests(
 def parse_responses(df: DataFrame, text: str = "text", error: str = "error") -> DataFrame:
     """Adds ``parsed`` (VARIANT) and ``response_status``: ok, no_json, call_failed or unexpected."""
     staged = df.withColumn("parsed", J.strict_json(F.trim(F.col(text))))
-    usable = J.truthy(F.col("parsed"))
-    status = (
-        F.when(F.col(error).isNotNull(), "call_failed")
-        .when(~usable, "no_json")
-        .when(~J.is_object(F.col("parsed")), "unexpected")
-        .otherwise("ok")
-    )
-    return staged.withColumn("response_status", status)
+
+    def judged(v: Column) -> Column:
+        return (
+            F.when(F.col(error).isNotNull(), "call_failed")
+            .when(~J.truthy(v), "no_json")
+            .when(~J.is_object(v), "unexpected")
+            .otherwise("ok")
+        )
+
+    return staged.withColumn("response_status", let(F.col("parsed"), judged))
 
 
 def validation_fields(parsed: Column | str) -> Column:
     """Validation struct; every gate is null when nothing was parsed."""
-    v = col(parsed)
-    has = J.truthy(v)
-    reasons = F.filter(J.as_array(J.field(v, "rejection_reasons")), J.truthy)
-    level = J.field(v, "plausibility")
-    return F.struct(
-        *[F.when(has, J.truthy(J.field(v, g))).alias(g) for g in GATES],
-        J.as_string(level).alias("plausibility"),
-        F.lit(None).cast("boolean").alias("human_audited"),
-        F.transform(reasons, J.as_text).alias("rejection_reasons"),
-    )
+
+    def fields(v: Column) -> Column:
+        reasons = F.filter(J.as_array(J.field(v, "rejection_reasons")), J.truthy)
+        return F.struct(
+            *[F.when(J.truthy(v), J.truthy(J.field(v, g))).alias(g) for g in GATES],
+            J.as_string(J.field(v, "plausibility")).alias("plausibility"),
+            F.lit(None).cast("boolean").alias("human_audited"),
+            F.transform(reasons, J.as_text).alias("rejection_reasons"),
+        )
+
+    return let(col(parsed), fields)
 
 
 def answer_fields(
@@ -110,15 +113,18 @@ def answer_fields(
 
 def label_eval_fields(answer_text: Column | str, parsed: Column | str) -> Column:
     """Label evaluation struct, null when the response is rejected; blank answers get a fixed one."""
-    v = col(parsed)
-    label = J.choice(J.field(v, "behavior_label"), BEHAVIOR_LABELS)
-    evaluated = F.struct(
-        label.alias("behavior_label"),
-        J.truthy(J.field(v, "entails_original_claim")).alias("entails_original_claim"),
-        J.truthy(J.field(v, "entails_perturbed_claim")).alias("entails_perturbed_claim"),
-        J.clipped_if_truthy(J.field(v, "rationale"), 600).alias("rationale"),
-        J.choice(J.field(v, "confidence"), LEVELS).alias("confidence"),
-    )
+
+    def evaluated(v: Column) -> Column:
+        label = J.choice(J.field(v, "behavior_label"), BEHAVIOR_LABELS)
+        fields = F.struct(
+            label.alias("behavior_label"),
+            J.truthy(J.field(v, "entails_original_claim")).alias("entails_original_claim"),
+            J.truthy(J.field(v, "entails_perturbed_claim")).alias("entails_perturbed_claim"),
+            J.clipped_if_truthy(J.field(v, "rationale"), 600).alias("rationale"),
+            J.choice(J.field(v, "confidence"), LEVELS).alias("confidence"),
+        )
+        return F.when(label.isNotNull(), fields)
+
     blank = F.struct(
         F.lit("unrelated_or_failed").alias("behavior_label"),
         F.lit(False).alias("entails_original_claim"),
@@ -127,22 +133,25 @@ def label_eval_fields(answer_text: Column | str, parsed: Column | str) -> Column
         F.lit("high").alias("confidence"),
     )
     empty = F.length(F.trim(F.coalesce(col(answer_text), F.lit("")))) == 0
-    return F.when(empty, blank).when(label.isNotNull(), evaluated)
+    return F.when(empty, blank).otherwise(let(col(parsed), evaluated))
 
 
 def verdict_fields(parsed: Column | str) -> Column:
     """Verdict struct, null when the verdict is off the menu."""
-    v = col(parsed)
-    verdict = J.choice(J.field(v, "verdict"), VERDICTS)
-    fields = F.struct(
-        verdict.alias("verdict"),
-        J.truthy(J.field(v, "contains_factual_error")).alias("contains_factual_error"),
-        J.clipped_if_truthy(J.field(v, "wrong_claim"), 600).alias("wrong_claim"),
-        J.as_int(J.field(v, "supporting_source_passage_id")).cast("int").alias("supporting_source_passage_id"),
-        J.clipped_if_truthy(J.field(v, "explanation"), 600).alias("explanation"),
-        J.choice(J.field(v, "confidence"), LEVELS).alias("confidence"),
-    )
-    return F.when(verdict.isNotNull(), fields)
+
+    def fields(v: Column) -> Column:
+        verdict = J.choice(J.field(v, "verdict"), VERDICTS)
+        found = F.struct(
+            verdict.alias("verdict"),
+            J.truthy(J.field(v, "contains_factual_error")).alias("contains_factual_error"),
+            J.clipped_if_truthy(J.field(v, "wrong_claim"), 600).alias("wrong_claim"),
+            J.as_int(J.field(v, "supporting_source_passage_id")).cast("int").alias("supporting_source_passage_id"),
+            J.clipped_if_truthy(J.field(v, "explanation"), 600).alias("explanation"),
+            J.choice(J.field(v, "confidence"), LEVELS).alias("confidence"),
+        )
+        return F.when(verdict.isNotNull(), found)
+
+    return let(col(parsed), fields)
 
 
 def derive_gold(label_eval: Column | str, deterministic_label: Column | str) -> Column:

@@ -243,9 +243,17 @@ def build_queue(cases: DataFrame, examples: DataFrame, seed: int = 20260627, n_f
     return chosen.select(key, "_s.subset", "_s.priority", "paper_example")
 
 
-def order_queue(queue: DataFrame, generators: Sequence[str], judges: Sequence[str], key: str = "core_id") -> DataFrame:
-    """Priority, same before cross, generator and judge in the given order, then id."""
+def queue_order(generators: Sequence[str], judges: Sequence[str]) -> Column:
+    """Number that sorts by priority, same before cross, then generator and judge in the given order."""
+
     def place(c: str, names: Sequence[str]) -> Column:
-        return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)), F.lit(0)), F.lit(10))
+        position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c))
+        return F.coalesce(F.nullif(position, F.lit(0)), F.lit(len(names) + 1))
+
+    g, j = len(generators) + 2, len(judges) + 2
+    cross = (~F.col("same_deployment")).cast("bigint")
+    return ((F.col("priority") * 2 + cross) * g + place("generator", generators)) * j + place("judge", judges)
 
-    return queue.orderBy("priority", ~F.col("same_deployment"), place("generator", generators), place("judge", judges), key)
+
+def order_queue(queue: DataFrame, generators: Sequence[str], judges: Sequence[str], key: str = "core_id") -> DataFrame:
+    return queue.orderBy(queue_order(generators, judges), key)

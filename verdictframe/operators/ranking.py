@@ -45,6 +45,25 @@ def rank_by_hash(
     return _bucket_rank(bucketed, groups, [key, *ids], out, limit, 1 << fan_bits).drop(key, "_bucket")
 
 
+def take_quota(
+    df: DataFrame,
+    groups: Sequence[str],
+    quota: DataFrame,
+    seed: int | str,
+    ids: Sequence[str],
+    fan_bits: int = 8,
+) -> DataFrame:
+    """The first ``_quota`` rows of each group in hash order; ``quota`` holds groups and ``_quota``.
+
+    Buckets that start beyond a group's quota are dropped before any row is sorted.
+    """
+    key = "_order"
+    keyed = df.withColumn(key, hash_order(seed, *ids))
+    bucketed = keyed.withColumn("_bucket", F.shiftright(F.col(key), HASH_BITS - fan_bits))
+    ranked = _bucket_rank(bucketed, groups, [key, *ids], "_rank", None, 1 << fan_bits, quota)
+    return ranked.where(F.col("_rank") <= F.col("_quota")).drop(key, "_bucket", "_rank", "_quota")
+
+
 def rank_by_value(
     df: DataFrame,
     groups: Sequence[str],
@@ -105,13 +124,15 @@ def _plain_rank(df, groups, order, out, limit):
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= limit)
 
 
-def _bucket_rank(df, groups, order, out, limit, fan):
+def _bucket_rank(df, groups, order, out, limit, fan, quota=None):
     keys = [*groups, "_bucket"]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     if limit is not None:
         offsets = offsets.where(F.col("_offset") < limit)
+    if quota is not None:
+        offsets = _null_safe_join(offsets, quota, groups, "inner").where(F.col("_offset") < F.col("_quota"))
     # without groups there are at most ``fan`` offsets; with groups Spark decides by their size
     joined = _null_safe_join(df, offsets if groups else F.broadcast(offsets), keys, "inner")
     window = Window.partitionBy(*keys).orderBy(*order)

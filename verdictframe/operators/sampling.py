@@ -6,29 +6,63 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verdictframe.operators.ranking import (
     SMALL_LIMIT,
     first_by_value,
     hash_order,
+    null_safe_join,
     rank_by_hash,
     rank_by_value,
+    take_quota,
 )
 
 
-def stratified_sample(
-    df: DataFrame, strata: Sequence[str], n: int, seed: int, key: str, keep_rank: bool = False
-) -> DataFrame:
+def stratified_sample(df: DataFrame, strata: Sequence[str], n: int | Column, seed: int, key: str) -> DataFrame:
     """One row of every stratum per round until ``n`` are taken; strata are visited in hash order.
 
-    Rank ``_round`` inside the stratum is the round a row is drawn in. Only the first ``n`` rounds
-    can matter, which bounds what any one stratum contributes.
+    Small draws rank at most ``n`` rows per stratum and take the top ``n``. Others never sort the
+    draw: stratum sizes alone say how many rows each stratum gives.
     """
-    named = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in strata})
-    ranked = rank_by_hash(named, strata, seed, [key], "_round", limit=n)
-    ordered = ranked.withColumn("_stratum", hash_order(seed, *strata))
-    picked = _take_rounds(ordered, ["_round", "_stratum", key], n)
-    return picked if keep_rank else picked.drop("_round", "_stratum")
+    named = _named(df, strata)
+    if isinstance(n, int) and n <= SMALL_LIMIT:
+        ranked = rank_by_hash(named, strata, seed, [key], "_round", limit=n)
+        ordered = ranked.withColumn("_stratum", hash_order(seed, *strata))
+        return ordered.orderBy("_round", "_stratum", key).limit(n).drop("_round", "_stratum")
+    return take_quota(named, strata, stratum_quotas(named, strata, n, seed), seed, [key])
+
+
+def _named(df: DataFrame, strata: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in strata})
+
+
+def stratum_quotas(df: DataFrame, strata: Sequence[str], n: int | Column, seed: int | str) -> DataFrame:
+    """Rows each stratum gives to a round-robin draw of ``n``, as (strata, _quota).
+
+    After r whole rounds a stratum of size s has given min(s, r) rows. With sizes in ascending
+    order the total is linear between two sizes, which yields the last whole round; the rest goes
+    to the first larger strata in hash order. Both windows run over one row per stratum.
+    """
+    total = n if isinstance(n, Column) else F.lit(n)
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_s")).withColumn("_h", hash_order(seed, *strata))
+    k = sizes.agg(F.count(F.lit(1))).scalar()
+    up_to = Window.orderBy("_s", "_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = sizes.select(
+        "_s", F.row_number().over(Window.orderBy("_s", "_h")).alias("j"), F.sum("_s").over(up_to).alias("prefix")
+    )
+    whole = steps.where(F.col("prefix") + (k - F.col("j")) * F.col("_s") <= total)
+    last = whole.agg(
+        F.coalesce(F.max("j"), F.lit(0)).alias("j"), F.coalesce(F.max("prefix"), F.lit(0)).alias("prefix")
+    )
+    open_strata = k - F.col("j")
+    rounds = F.when(open_strata > 0, F.floor((total - F.col("prefix")) / open_strata))
+    edge = last.select(rounds.alias("r"), (total - F.col("prefix") - open_strata * rounds).alias("e"))
+    r, e = edge.select("r").scalar(), edge.select("e").scalar()
+    place = F.row_number().over(Window.partitionBy((F.col("_s") > r)).orderBy("_h"))
+    extra = F.when((F.col("_s") > r) & (F.col("_p") <= e), 1).otherwise(0)
+    taken = F.coalesce(F.least(F.col("_s"), r + extra), F.col("_s"))
+    return sizes.withColumn("_p", place).select(*strata, taken.alias("_quota"))
 
 
 def prefer_then_backfill(
@@ -36,61 +70,24 @@ def prefer_then_backfill(
 ) -> DataFrame:
     """Stratified draw from the preferred rows first, the rest (seed + 1) only to fill up to ``n``."""
     pool = F.when(F.coalesce(preferred, F.lit(False)), 0).otherwise(1)
-    named = df.withColumn("_pool", pool).withColumns(
-        {c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in strata}
-    )
-    seeded = F.lit(seed) + F.col("_pool")
-    keyed = named.withColumn("_seed", seeded.cast("string"))
+    named = _named(df.withColumn("_pool", pool), strata)
+    if n > SMALL_LIMIT:
+        first, rest = named.where("_pool = 0"), named.where("_pool = 1")
+        short = F.greatest(F.lit(0), F.lit(n) - first.agg(F.count(F.lit(1))).scalar())
+        return stratified_sample(first, strata, n, seed, key).unionByName(
+            stratified_sample(rest, strata, short, seed + 1, key)
+        )
+    keyed = named.withColumn("_seed", (F.lit(seed) + F.col("_pool")).cast("string"))
     # the seed column takes part in the hash, so both pools are ranked by one operator
     ranked = rank_by_hash(keyed, ["_pool", *strata], "", ["_seed", key], "_round", limit=n)
     ordered = ranked.withColumn("_stratum", hash_order("", "_seed", *strata))
-    picked = _take_rounds(ordered, ["_pool", "_round", "_stratum", key], n)
-    return picked.drop("_round", "_stratum", "_seed")
-
-
-def _take_rounds(ranked: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    if n <= SMALL_LIMIT:
-        return ranked.orderBy(*order).limit(n)
-    # rounds are filled whole: find the round in which n is reached and cut only inside it
-    lead = [c for c in order if c in ("_pool", "_round")]
-    rounds = ranked.groupBy(*lead).agg(F.count(F.lit(1)).alias("_n"))
-    first = rank_by_value(
-        rounds.withColumn("_at", _packed(lead)), [], "_at", out="_pos"
-    ).select(*lead, "_n", "_at")
-    total = _running_total(first, "_at", "_n")
-    kept = ranked.join(total.where(F.col("_before") < n), lead)
-    whole = kept.where(F.col("_before") + F.col("_n") <= n).drop("_before", "_n", "_at")
-    cut = kept.where(F.col("_before") + F.col("_n") > n)
-    inside = rank_by_value(cut, [], "_stratum", [order[-1]], "_rank")
-    edge = inside.where(F.col("_before") + F.col("_rank") <= n).drop("_before", "_n", "_at", "_rank")
-    return whole.unionByName(edge)
-
-
-def _packed(lead: Sequence[str]) -> Column:
-    round_ = F.col("_round").cast("bigint")
-    return round_ + F.col("_pool").cast("bigint") * F.lit(1 << 60) if "_pool" in lead else round_
-
-
-def _running_total(df: DataFrame, order: str, value: str, chunk: int = 4096) -> DataFrame:
-    """Sum of ``value`` over smaller ``order``: chunk totals first, then inside each chunk."""
-    from pyspark.sql.window import Window
-
-    rows = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
-    totals = rows.groupBy("_chunk").agg(F.sum(value).alias("_t"))
-    ahead = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_ahead", F.coalesce(F.sum("_t").over(ahead), F.lit(0))).drop("_t")
-    inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(totals, "_chunk")
-    before = F.col("_ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0))
-    return joined.withColumn("_before", before).drop("_chunk", "_ahead")
+    return ordered.orderBy("_pool", "_round", "_stratum", key).limit(n).drop("_round", "_stratum", "_seed")
 
 
 def capped_sample(df: DataFrame, strata: Sequence[str], cap: int, seed: int, key: str) -> DataFrame:
     """At most ``cap`` rows per stratum, each with the stratum's population size."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("population"))
     picked = rank_by_hash(df, strata, seed, [key], "_rank", limit=cap).drop("_rank")
-    from verdictframe.operators.ranking import null_safe_join
-
     return null_safe_join(picked, sizes, list(strata), "inner")
 
 
@@ -99,8 +96,7 @@ def matched_sample(
 ) -> DataFrame:
     """As many candidate rows per group as there are reference rows in it."""
     quota = df.where(is_reference).groupBy(group).agg(F.count(F.lit(1)).alias("_quota"))
-    ranked = rank_by_hash(df.where(is_candidate), [group], seed, [key], "_rank")
-    return ranked.join(quota, group).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
+    return take_quota(df.where(is_candidate), [group], quota, seed, [key])
 
 
 def balanced_sample(df: DataFrame, group: str, k: int, seed: int, key: str) -> DataFrame:

@@ -33,7 +33,7 @@ def stratified_sample(spark, sf_dir):
 SELECT o_orderkey, o_orderstatus FROM r ORDER BY rn, md5('17:' || o_orderstatus), o_orderkey LIMIT 7000""",
 )
 def stratified_sample_large(spark, sf_dir):
-    """A draw too large for a top-k: ranks come from bucket offsets, the cut from round totals."""
+    """A draw too large for a top-k: stratum sizes give the quotas, bucket offsets the ranks."""
     orders = T.table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"))
     return SM.stratified_sample(orders, ["o_orderstatus"], 7000, SEED, "o_orderkey")
 
@@ -49,6 +49,18 @@ def prefer_backfill(spark, sf_dir):
     return SM.prefer_then_backfill(docs, F.col("n_chars") > 2500, ["lang"], 400, SEED, "doc_id").select("doc_id", "lang", "_pool")
 
 
+@query(
+    "prefer_backfill_large",
+    """WITH r AS (SELECT o_orderkey, o_orderpriority, pool, row_number() OVER (PARTITION BY pool, o_orderpriority ORDER BY md5((17 + pool) || ':' || o_orderkey), o_orderkey) AS rn
+  FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS pool FROM orders))
+SELECT o_orderkey, o_orderpriority, pool AS _pool FROM r ORDER BY pool, rn, md5((17 + pool) || ':' || o_orderpriority), o_orderkey LIMIT 9001""",
+)
+def prefer_backfill_large(spark, sf_dir):
+    orders = T.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    out = SM.prefer_then_backfill(orders, F.col("o_orderstatus") == "F", ["o_orderpriority"], 9001, SEED, "o_orderkey")
+    return out.select("o_orderkey", "o_orderpriority", "_pool")
+
+
 def _sources(spark, sf_dir):
     return T.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("src"))
 

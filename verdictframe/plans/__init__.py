@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("verdict_queries", "text_queries", "record_queries", "sample_queries")
+_MODULES = ("verdict_queries", "text_queries", "record_queries", "sample_queries", "run_queries")
 
 
 def load():

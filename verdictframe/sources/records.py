@@ -100,8 +100,14 @@ def read_tagged(spark: SparkSession, path: str | list[str], schema: str, tags: M
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", separator: str = ";") -> None:
     """CSV with header; array columns are joined by ``;`` and missing arrays read ''."""
-    flat = [_joined(F.col(n), separator).alias(n) if t.startswith("array") else F.col(n) for n, t in df.dtypes]
-    df.select(*flat).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    flat_columns(df, separator).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+
+
+def flat_columns(df: DataFrame, separator: str = ";") -> DataFrame:
+    """Array columns as joined text, everything else as it is."""
+    return df.select(
+        *[_joined(F.col(n), separator).alias(n) if t.startswith("array") else F.col(n) for n, t in df.dtypes]
+    )
 
 
 def _joined(c: Column, separator: str) -> Column:

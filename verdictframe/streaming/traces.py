@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,18 +70,21 @@ def upsert_steps(stream: DataFrame, target: str, checkpoint: str, keys: Sequence
         spark = batch.sparkSession
         part = f"{target}/batch_id={batch_id}"
         fresh = batch.dropDuplicates(list(keys))
-        if _exists(spark, target):
-            done = spark.read.option("basePath", target).parquet(target)
+        done = _stored(spark, target)
+        if done is not None:
             fresh = pending(fresh, done.where(F.col("batch_id") != batch_id), keys)
         fresh.write.mode("overwrite").parquet(part)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hadoop) and len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*"))) > 0
+def _stored(spark: SparkSession, target: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
@@ -91,3 +95,13 @@ def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str | Non
     query = writer.start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Drain what has landed into Parquet files (append, exactly once) and read them back."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    query = writer.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

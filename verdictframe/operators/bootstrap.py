@@ -32,6 +32,8 @@ from verdictframe.session import checkpointed
 
 _BLOCK_CELLS = 2_000_000  # weight-matrix cells held at once by a task
 _VECTORS_PER_BUCKET = 4096
+_MAX_BUCKETS = 1024
+_BROADCAST_CLUSTERS = 1_000_000  # 24 bytes each
 
 
 def percentile_interval(
@@ -50,7 +52,8 @@ def statistic_vectors(stats: DataFrame, by: Sequence[str], cluster: str, populat
     """Distinct per-cluster vectors of (stratum, num, den) with how many clusters share them.
 
     ``stats`` has one row per (stratum, cluster), so a vector is as long as there are strata.
-    ``population`` lists the clusters to resample, those without rows included.
+    ``population`` lists the clusters to resample: those without rows are included, rows of
+    other clusters are left out.
     """
     stratum = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
     entry = F.struct(
@@ -74,58 +77,54 @@ def cluster_bootstrap(
     level: float = 0.95,
     scale: float = 100.0,
 ) -> DataFrame:
-    """Point and percentile interval of sum(num)/sum(den) per stratum; all strata share the draws.
+    """Point and percentile interval of sum(num)/sum(den) per stratum over the population's clusters.
+
+    All strata share the draws; strata come back as text.
 
     The vector table is checkpointed: it is counted to choose the number of buckets, then read for
-    the bucket sizes and again for the draws.
+    the bucket sizes (at most ``_MAX_BUCKETS`` numbers, which go to every task) and for the draws.
     """
     vectors = checkpointed(statistic_vectors(stats, by, cluster, population))
-    buckets = buckets or max(8, -(-vectors.count() // _VECTORS_PER_BUCKET))
-    vectors = vectors.withColumn("bucket", F.pmod(F.xxhash64(F.to_json("vec")), F.lit(buckets)).cast("int"))
-    sizes = vectors.groupBy("bucket").agg(F.sum("mult").alias("size"))
-    size_map = sizes.agg(F.sort_array(F.collect_list(F.struct("bucket", "size"))).alias("m"))
+    buckets = buckets or min(_MAX_BUCKETS, max(8, -(-vectors.count() // _VECTORS_PER_BUCKET)))
+    key = F.to_json("vec")
     shipped = vectors.select(
-        "bucket",
+        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"),
         "mult",
-        F.to_json("vec").alias("key"),
+        key.alias("key"),
         F.col("vec.s").alias("s"),
         F.col("vec.num").alias("num"),
         F.col("vec.den").alias("den"),
-        size_map.scalar().alias("sizes"),
     )
+    sizes = {r["bucket"]: r["size"] for r in shipped.groupBy("bucket").agg(F.sum("mult").alias("size")).collect()}
     # a fixed partition count: the table is small in bytes but each bucket is a lot of work
     spread = shipped.repartition(buckets, "bucket")
     parts = spread.groupBy("bucket").applyInPandas(
-        _bucket_kernel(n_boot, seed), "s string, b int, num double, den double"
+        _bucket_kernel(n_boot, seed, dict(sorted(sizes.items()))), "s string, b int, num double, den double"
     )
     sums = parts.groupBy("s", "b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     reps = sums.where(F.col("den") > 0).select("s", (F.col("num") / F.col("den")).alias("rep"))
     interval = percentile_interval(reps, ["s"], level=level, scale=scale)
-    point = _points(stats, by, scale)
+    point = _points(vectors, scale)
     names = F.split(F.col("s"), "\u001f")
-    keyed = interval.select(
-        *[names[i].alias(f"_k{i}") for i in range(len(by))], "ci_low", "ci_high", "replicates"
+    return point.join(interval, "s", "left").select(
+        *[names[i].alias(c) for i, c in enumerate(by)], "n", "point", "ci_low", "ci_high", "replicates"
     )
-    condition = [F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"_k{i}") for i, c in enumerate(by)]
-    joined = point.join(keyed, condition, "left") if by else point.join(keyed, F.lit(True), "left")
-    return joined.drop(*[f"_k{i}" for i in range(len(by))])
 
 
-def _points(stats: DataFrame, by: Sequence[str], scale: float) -> DataFrame:
-    return stats.groupBy(*by).agg(
-        F.sum("den").cast("bigint").alias("n"),
-        (scale * F.sum("num") / F.sum("den")).alias("point"),
-    )
+def _points(vectors: DataFrame, scale: float) -> DataFrame:
+    """The estimate itself, from the distinct vectors and how often each occurs."""
+    entries = vectors.select("mult", F.explode("vec").alias("e"))
+    num, den = F.sum(F.col("mult") * F.col("e.num")), F.sum(F.col("mult") * F.col("e.den"))
+    return entries.groupBy(F.col("e.s").alias("s")).agg(den.cast("bigint").alias("n"), (scale * num / den).alias("point"))
 
 
-def _bucket_kernel(n_boot: int, seed: int):
+def _bucket_kernel(n_boot: int, seed: int, sizes: dict[int, int]):
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
         bucket = int(key[0])
-        pairs = [(int(r["bucket"]), int(r["size"])) for r in pdf["sizes"].iloc[0]]
-        size = np.array([s for _, s in pairs], dtype=np.int64)
+        size = np.array(list(sizes.values()), dtype=np.int64)
         total = int(size.sum())
-        where = [b for b, _ in pairs].index(bucket)
+        where = list(sizes).index(bucket)
         # the same seed in every task gives every bucket its part of one joint split
         split = np.random.default_rng([seed, 0]).multinomial(total, size / total, size=n_boot)[:, where]
 
@@ -140,13 +139,12 @@ def _bucket_kernel(n_boot: int, seed: int):
             num[row, at] = nums
             den[row, at] = dens
 
-        mult = pdf["mult"].to_numpy(dtype=np.float64)
-        weights = mult / mult.sum()
         rng = np.random.default_rng([seed, 1, bucket])
+        draw = _vector_draws(pdf["mult"].to_numpy(dtype=np.int64), rng)
         step = max(1, _BLOCK_CELLS // len(pdf))
         out_num, out_den = [], []
         for start in range(0, n_boot, step):
-            draws = rng.multinomial(split[start : start + step], weights).astype(np.float64)
+            draws = draw(split[start : start + step])
             out_num.append(draws @ num)
             out_den.append(draws @ den)
         return pd.DataFrame(
@@ -161,6 +159,33 @@ def _bucket_kernel(n_boot: int, seed: int):
     return kernel
 
 
+def _vector_draws(mult: np.ndarray, rng: np.random.Generator):
+    """Multinomial draws over vectors, as a function from replicate totals to a weight matrix.
+
+    A vector shared by many clusters takes a binomial share. The clusters behind rare vectors are
+    laid out one by one and hit by uniform integers, which is much cheaper than a binomial each.
+    """
+    heavy = np.flatnonzero(mult >= 32)
+    light = np.flatnonzero(mult < 32)
+    owner = np.repeat(light, mult[light])
+    shares = np.append(mult[heavy], len(owner)) / mult.sum()
+
+    def draw(totals: np.ndarray) -> np.ndarray:
+        rows, width = len(totals), len(mult)
+        parts = rng.multinomial(totals, shares)
+        hits = parts[:, -1]
+        if len(owner):
+            picked = owner[rng.integers(0, len(owner), size=int(hits.sum()))]
+            cells = np.repeat(np.arange(rows) * width, hits) + picked
+            weights = np.bincount(cells, minlength=rows * width).reshape(rows, width).astype(np.float64)
+        else:
+            weights = np.zeros((rows, width))
+        weights[:, heavy] = parts[:, :-1]
+        return weights
+
+    return draw
+
+
 def draw_index(seed: int | str, replicate: Column, draw: Column, n: Column) -> Column:
     """Cluster index picked by one draw: the first 32 md5 bits of (seed, replicate, draw) modulo n."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), draw.cast("string")))
@@ -175,16 +200,19 @@ def _tasks(df: DataFrame) -> int:
 def hashed_draws(stats: DataFrame, cluster: str, n_boot: int, seed: int | str) -> DataFrame:
     """(b, num, den) per replicate; ``stats`` has one row per cluster of the population.
 
-    The index is repartitioned by number before it fans out, because its few bytes would
-    otherwise be coalesced into a single task.
+    Pass a materialised table: it is counted, indexed for the draws and looked up by them. Up to
+    ``_BROADCAST_CLUSTERS`` clusters the lookup is broadcast and no draw is shuffled; beyond that
+    draws and clusters are joined by index.
     """
-    indexed = dense_index(stats, cluster, "idx").repartition(_tasks(stats), "idx")
-    n = stats.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = indexed.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"), F.col("idx").alias("d"), n.alias("n")
+    n = stats.count()
+    indexed = dense_index(stats, cluster, "idx").select("idx", "num", "den")
+    # by number, because the few bytes of the index would otherwise be coalesced into one task
+    spread = indexed.select("idx").repartition(_tasks(stats), "idx")
+    draws = spread.select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"), F.col("idx").alias("d")
     )
-    hits = draws.select("b", draw_index(seed, F.col("b"), F.col("d"), F.col("n")).alias("idx"))
-    joined = hits.join(indexed.select("idx", "num", "den"), "idx")
+    hits = draws.select("b", draw_index(seed, F.col("b"), F.col("d"), F.lit(n)).alias("idx"))
+    joined = hits.join(F.broadcast(indexed) if n <= _BROADCAST_CLUSTERS else indexed, "idx")
     return joined.groupBy("b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 

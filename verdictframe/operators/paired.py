@@ -71,39 +71,37 @@ def paired_delta(answers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def stratum_stats(
-    answers: DataFrame,
-    cluster: str,
-    generator: str | None = "generator",
-    validated: str | None = "is_validated",
+    answers: DataFrame, cluster: str, generator: str | None = "generator", populations: Column | None = None
 ) -> DataFrame:
-    """Sufficient statistics per (population, stratum, cluster) for recall, FPR and flag rate.
+    """Sufficient statistics per (group, metric, cluster) for recall, FPR and flag rate.
 
-    Answers are first summed per (cluster, generator, gold, validated); only those few rows are
-    spread over the strata they belong to.
+    Answers are first summed per (cluster, generator, gold); only those few rows are spread over
+    the strata they belong to. ``populations`` is an array of names each cluster counts for; leave
+    it out for the bootstrap, which picks the clusters of a population itself.
     """
-    dims = [c for c in (generator, validated) if c]
-    base = answers.where("usable").groupBy(cluster, *dims, "gold").agg(
+    base = answers.where("usable")
+    dims = [generator] if generator else []
+    if populations is not None:
+        base, dims = base.withColumn("_populations", populations), [*dims, "_populations"]
+    base = base.groupBy(cluster, *dims, "gold").agg(
         F.sum("delta").alias("num"),
         F.count(F.lit(1)).alias("den"),
         F.sum("same").alias("same_sum"),
         F.sum("cross").alias("cross_sum"),
     )
     metric = F.when(F.col("gold"), "recall_delta").otherwise("fpr_delta")
-    metrics = F.array(metric, F.lit("flag_rate_delta"))
     groups = F.array(F.lit(ALL), F.col(generator).cast("string")) if generator else F.array(F.lit(ALL))
-    if validated:
-        inside = F.when(F.coalesce(F.col(validated), F.lit(False)), "validated").otherwise("gap_fill")
-        populations = F.array(F.lit("full"), inside)
-    else:
-        populations = F.array(F.lit("full"))
-    spread = (
-        base.withColumn("population", F.explode(populations))
-        .withColumn("metric", F.explode(metrics))
-        .withColumn("group", F.explode(groups))
-    )
-    return spread.groupBy("population", "group", "metric", cluster).agg(
-        *[F.sum(c).alias(c) for c in ("num", "den", "same_sum", "cross_sum")]
-    )
+    spread = base.withColumn("metric", F.explode(F.array(metric, F.lit("flag_rate_delta"))))
+    spread = spread.withColumn("group", F.explode(groups))
+    keys = ["group", "metric", cluster]
+    if populations is not None:
+        spread, keys = spread.withColumn("population", F.explode("_populations")), ["population", *keys]
+    return spread.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("num", "den", "same_sum", "cross_sum")])
+
+
+def population_names(validated: str = "is_validated") -> Column:
+    inside = F.when(F.coalesce(F.col(validated), F.lit(False)), "validated").otherwise("gap_fill")
+    return F.array(F.lit("full"), inside)
 
 
 def slice_stats(

@@ -71,9 +71,10 @@ def rank_by_value(
     ties: Sequence[str] = (),
     out: str = "rank",
     limit: int | None = None,
-    fan: int = 256,
+    fan_bits: int = 8,
 ) -> DataFrame:
     """Rank 1..n by a numeric column; buckets follow its quantiles, so any distribution splits."""
+    fan = 1 << fan_bits
     if limit is not None and limit <= SMALL_LIMIT:
         return _plain_rank(df, groups, [order, *ties], out, limit)
     cuts = [i / fan for i in range(1, fan)]
@@ -83,8 +84,7 @@ def rank_by_value(
         with_cuts = _null_safe_join(df, bounds, groups, "left")
     else:
         with_cuts = df.withColumn("_cuts", df.agg(quantiles).scalar())
-    below = F.size(F.filter(F.col("_cuts"), lambda x: x < F.col(order)))
-    bucketed = with_cuts.withColumn("_bucket", F.greatest(below, F.lit(0))).drop("_cuts")
+    bucketed = with_cuts.withColumn("_bucket", _cuts_below(F.col("_cuts"), F.col(order), fan_bits)).drop("_cuts")
     return _bucket_rank(bucketed, groups, [order, *ties], out, limit, fan).drop("_bucket")
 
 
@@ -119,6 +119,16 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _cuts_below(cuts: Column, value: Column, fan_bits: int) -> Column:
+    """How many of the 2^bits - 1 sorted cuts lie below ``value``, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(fan_bits))])
+
+    def descend(at: Column, step: Column) -> Column:
+        return at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), descend)
+
+
 def _plain_rank(df, groups, order, out, limit):
     window = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= limit)

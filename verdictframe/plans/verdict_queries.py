@@ -201,7 +201,7 @@ SELECT population, grp, metric, count(*) AS n, round(100 * avg(same), 6) AS same
   round(100 * avg("cross"), 6) AS cross_pct, round(100 * avg(delta), 6) AS delta_pp FROM m GROUP BY population, grp, metric""",
 )
 def stratum_points(spark, sf_dir):
-    stats = P.stratum_stats(_answers(spark, sf_dir), "core_id")
+    stats = P.stratum_stats(_answers(spark, sf_dir), "core_id", populations=P.population_names())
     n = F.sum("den")
     out = stats.groupBy("population", F.col("group").alias("grp"), "metric").agg(
         n.alias("n"),
@@ -280,13 +280,13 @@ def bootstrap_poisson(spark, sf_dir):
 def bootstrap_blocks(spark, sf_dir):
     """All strata of the full and validated populations with 10,000 shared multinomial replicates."""
     stats = checkpointed(P.stratum_stats(_answers(spark, sf_dir), "core_id"))
-    clusters = T.verdicts(spark, sf_dir).select("core_id", "is_validated")
+    clusters = checkpointed(T.verdicts(spark, sf_dir).select("core_id", "is_validated").distinct())
     valid = F.col("is_validated")
     populations = {"full": clusters, "validated": clusters.where(valid), "gap_fill": clusters.where(~valid)}
     out = None
     for offset, (name, population) in enumerate(populations.items()):
         part = B.cluster_bootstrap(
-            stats.where(F.col("population") == name).drop("population"),
+            stats,
             ["group", "metric"],
             "core_id",
             population,

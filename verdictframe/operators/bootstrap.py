@@ -129,8 +129,9 @@ def _bucket_kernel(n_boot: int, seed: int, sizes: dict[int, int]):
         split = np.random.default_rng([seed, 0]).multinomial(total, size / total, size=n_boot)[:, where]
 
         strata = sorted({s for names in pdf["s"] for s in names})
-        if not strata:
-            return pd.DataFrame({"s": [], "b": [], "num": [], "den": []})
+        if not strata:  # only clusters without rows: they take draws but add nothing
+            none = np.empty(0)
+            return pd.DataFrame({"s": none.astype(object), "b": none.astype(np.int32), "num": none, "den": none})
         place = {s: i for i, s in enumerate(strata)}
         num = np.zeros((len(pdf), len(strata)))
         den = np.zeros_like(num)

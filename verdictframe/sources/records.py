@@ -29,16 +29,22 @@ def read_growing(spark: SparkSession, path: str | list[str], schema: str) -> Dat
     Every broken line is dropped, not only those after the first one: lines of a split file have
     no common order to stop at.
     """
-    rows = spark.read.schema(with_corrupt(spark, schema)).option("mode", "PERMISSIVE").json(path)
+    rows = read_with_dead_letters(spark, path, schema)
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def read_with_dead_letters(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """All rows, broken lines kept as text in ``_corrupt_record``."""
-    return spark.read.schema(with_corrupt(spark, schema)).option("mode", "PERMISSIVE").json(path)
+    """All non-blank rows, broken lines kept as text in ``_corrupt_record``.
+
+    Lines are parsed with ``from_json`` rather than by the JSON reader, which refuses queries that
+    need nothing but the broken lines.
+    """
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return lines.select(F.from_json("value", with_corrupt(schema), options).alias("r")).select("r.*")
 
 
-def with_corrupt(spark: SparkSession, schema: str) -> StructType:
+def with_corrupt(schema: str | StructType) -> StructType:
     parsed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     return StructType([*parsed.fields, StructField(CORRUPT, StringType())])
 

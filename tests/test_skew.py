@@ -47,12 +47,29 @@ def test_limited_rank(hot, limit):
 def test_value_rank_with_ties_and_nulls(spark, hot):
     df = hot.withColumn("v", F.when(F.col("id") % 11 != 0, F.when(F.col("v") < 400, 7).otherwise(F.col("v"))))
     got = ranking.rank_by_value(df, ["k"], "v", ["id"], "r")
-    want = plain_ranks(df, ["k"], ["v", "id"]).select("id", "want")
+    tied = df.withColumn("h", ranking.hash_order("", "id"))
+    want = plain_ranks(tied, ["k"], ["v", "h"]).select("id", "want")
     assert got.join(want, "id").where("r <> want").count() == 0 and got.count() == N
+    assert got.exceptAll(ranking.rank_by_value(df.repartition(5), ["k"], "v", ["id"], "r")).count() == 0
     whole = ranking.rank_by_value(df, [], "id", out="r")
     assert whole.where("r <> id + 1").count() == 0
 
 
+def test_a_common_value_is_split(spark, hot, monkeypatch):
+    """No window partition holds more than a sliver of the rows that share one value."""
+    seen = {}
+    inner = ranking._bucket_rank
+
+    def spy(df, *args):
+        seen["largest"] = df.groupBy("_bucket").count().agg(F.max("count")).first()[0]
+        return inner(df, *args)
+
+    monkeypatch.setattr(ranking, "_bucket_rank", spy)
+    df = hot.withColumn("v", F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 2 == 0, 500).otherwise(F.col("v")))
+    assert ranking.rank_by_value(df, [], "v", ["id"], "r").agg(F.max("r")).first()[0] == N
+    assert seen["largest"] < 0.01 * N
+
+
 def test_null_groups(spark):
     df = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"))
     got = ranking.rank_by_hash(df, ["k"], 1, ["id"], "r")

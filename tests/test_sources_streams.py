@@ -148,6 +148,24 @@ def test_latest_step_and_generation(spark):
     assert got[0] == {"generator": "q", "mode": "b", "behavior_label": "y"} and got[1]["generator"] is None
 
 
+def test_step_chain_and_resume(spark):
+    from verdictframe.operators import history
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "core_id string, n int")
+    steps = {
+        "judge": lambda d: d.withColumn("n", F.col("n") * 10),
+        "filter": lambda d: d.where("n > 1"),
+        "validate": lambda d: d.withColumn("n", F.col("n") + 1),
+    }
+    assert {r["core_id"]: r["n"] for r in rows(responses.chain(df, steps))} == {"b": 30, "c": 40}
+    assert {r["n"] for r in rows(responses.chain(df, steps, "validate"))} == {3, 4}
+    done = spark.createDataFrame([("b", 99)], "core_id string, n int")
+    assert {r["core_id"]: r["n"] for r in rows(history.resume(df, done, steps["judge"]))} == {"a": 10, "b": 99, "c": 30}
+    two = spark.createDataFrame([("a", "x"), ("a", "y")], "core_id string, generator string")
+    kept = history.pending(two, two.where("generator = 'x'"), ("core_id", "generator"))
+    assert [r["generator"] for r in rows(kept)] == ["y"]
+
+
 def test_provider_family_pairs(spark):
     from verdictframe.functions.scalars import pair_type
 

@@ -73,19 +73,31 @@ def rank_by_value(
     limit: int | None = None,
     fan_bits: int = 8,
 ) -> DataFrame:
-    """Rank 1..n by a numeric column; buckets follow its quantiles, so any distribution splits."""
-    fan = 1 << fan_bits
+    """Rank 1..n by a numeric column, nulls first, equal values in hash order of ``ties``.
+
+    Buckets follow the quantiles of the column, so any distribution splits. A value so common that
+    it is a quantile itself (or null) splits further by the tie hash. Without ``ties`` the column
+    should be unique.
+    """
+    tie = "_tie"
+    keyed = df.withColumn(tie, hash_order("", *ties) if ties else F.lit(0).cast("bigint"))
+    sorting = [order, tie, *ties]
     if limit is not None and limit <= SMALL_LIMIT:
-        return _plain_rank(df, groups, [order, *ties], out, limit)
-    cuts = [i / fan for i in range(1, fan)]
-    quantiles = F.percentile_approx(F.col(order), cuts, 10 * fan).alias("_cuts")
+        return _plain_rank(keyed, groups, sorting, out, limit).drop(tie)
+    fan = 1 << fan_bits
+    quantiles = F.percentile_approx(F.col(order), [i / fan for i in range(1, fan)], 10 * fan).alias("_cuts")
     if groups:
-        bounds = df.groupBy(*groups).agg(quantiles)
-        with_cuts = _null_safe_join(df, bounds, groups, "left")
+        with_cuts = _null_safe_join(keyed, df.groupBy(*groups).agg(quantiles), groups, "left")
     else:
-        with_cuts = df.withColumn("_cuts", df.agg(quantiles).scalar())
-    bucketed = with_cuts.withColumn("_bucket", _cuts_below(F.col("_cuts"), F.col(order), fan_bits)).drop("_cuts")
-    return _bucket_rank(bucketed, groups, [order, *ties], out, limit, fan).drop("_bucket")
+        with_cuts = keyed.withColumn("_cuts", df.agg(quantiles).scalar())
+    below = _cuts_below(F.col("_cuts"), F.col(order), fan_bits)
+    placed = with_cuts.withColumn("_below", below).withColumn(
+        "_same", F.col(order).isNull() | F.coalesce(F.get("_cuts", F.col("_below")) == F.col(order), F.lit(False))
+    )
+    place = F.when(F.col(order).isNull(), 0).otherwise(1 + 2 * F.col("_below") + F.col("_same").cast("int"))
+    split = F.when(F.col("_same"), F.shiftright(F.col(tie), HASH_BITS - fan_bits)).otherwise(0)
+    bucketed = placed.withColumn("_bucket", place * fan + split).drop("_cuts", "_below", "_same")
+    return _bucket_rank(bucketed, groups, sorting, out, limit, 2 * (fan + 1) * fan).drop(tie, "_bucket")
 
 
 def first_by_value(
@@ -143,7 +155,7 @@ def _bucket_rank(df, groups, order, out, limit, fan, quota=None):
         offsets = offsets.where(F.col("_offset") < limit)
     if quota is not None:
         offsets = _null_safe_join(offsets, quota, groups, "inner").where(F.col("_offset") < F.col("_quota"))
-    # without groups there are at most ``fan`` offsets; with groups Spark decides by their size
+    # without groups there are at most ``fan`` offsets, 130,000 or so; with groups Spark decides by size
     joined = _null_safe_join(df, offsets if groups else F.broadcast(offsets), keys, "inner")
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = joined.withColumn(out, F.col("_offset") + F.row_number().over(window)).drop("_offset")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.functions import jsonvals as J
 from verdictframe.functions.scalars import stable_id
-from verdictframe.functions.text import col
+from verdictframe.functions.text import col, let
 from verdictframe.schemas import PASSAGE
 
 # Evidence labels, the id prefix and the passage minimum of the record format.
@@ -44,22 +44,30 @@ def _is_array(value: Column) -> Column:
 
 def count_answer_passages(raw: Column) -> Column:
     """Passages tagged as answering; a top-level array wins over labels inside the passages."""
-    top = J.field(raw, "evidence_correct")
-    inside = F.filter(passages(raw), lambda p: _is_tag(J.field(p, "evidence_correct"), ANSWER_TAG))
-    parallel = F.filter(J.as_array(top), lambda x: _is_tag(x, ANSWER_TAG))
-    return F.when(_is_array(top), F.size(parallel)).otherwise(F.size(inside))
+
+    def count(r: Column) -> Column:
+        top = J.field(r, "evidence_correct")
+        inside = F.filter(passages(r), lambda p: _is_tag(J.field(p, "evidence_correct"), ANSWER_TAG))
+        parallel = F.filter(J.as_array(top), lambda x: _is_tag(x, ANSWER_TAG))
+        return F.when(_is_array(top), F.size(parallel)).otherwise(F.size(inside))
+
+    return let(raw, count)
 
 
 def passes_gates(raw: Column) -> Column:
     """Valid, seeking unless said otherwise, no false premise, validated if stated, two answers."""
-    seeking, checked = J.field(raw, "question_seeking"), J.field(raw, "answer_validate")
-    return (
-        truthy(J.field(raw, "question_valid"))
-        & (seeking.isNull() | truthy(seeking))
-        & ~truthy(J.field(raw, "question_false_premise"))
-        & (checked.isNull() | truthy(checked))
-        & (count_answer_passages(raw) >= MIN_ANSWER_PASSAGES)
-    )
+
+    def gates(r: Column) -> Column:
+        seeking, checked = J.field(r, "question_seeking"), J.field(r, "answer_validate")
+        return (
+            truthy(J.field(r, "question_valid"))
+            & (seeking.isNull() | truthy(seeking))
+            & ~truthy(J.field(r, "question_false_premise"))
+            & (checked.isNull() | truthy(checked))
+            & (count_answer_passages(r) >= MIN_ANSWER_PASSAGES)
+        )
+
+    return let(raw, gates)
 
 
 def passage_text(passage: Column, position: Column) -> Column:
@@ -77,11 +85,15 @@ def passage_text(passage: Column, position: Column) -> Column:
     return F.coalesce(flat, own, J.as_string(F.try_element_at(F.map_values(present), F.lit(1))), F.lit(""))
 
 
-def evidence_at(raw: Column, name: str, position: Column, passage: Column) -> Column:
-    """Label from the parallel array, or from the passage when the array is missing or too short."""
+def top_labels(raw: Column, name: str) -> Column:
+    """The parallel label array, null when there is none."""
     top = J.field(raw, name)
-    labels = J.as_array(top)
-    inside = _is_array(top) & (position < F.size(labels))
+    return F.when(_is_array(top), J.as_array(top))
+
+
+def evidence_at(labels: Column, name: str, position: Column, passage: Column) -> Column:
+    """Label from the parallel array, or from the passage when the array is missing or too short."""
+    inside = F.coalesce(position < F.size(labels), F.lit(False))
     return F.when(inside, J.as_string(F.get(labels, position))).otherwise(J.as_string(J.field(passage, name)))
 
 
@@ -92,7 +104,9 @@ def sample_id(raw: Column) -> Column:
 
 
 def grounding(raw: Column) -> Column:
-    def one(p: Column, i: Column) -> Column:
+    names = ("evidence_relevant", "evidence_correct", "evidence_cited")
+
+    def one(labels: Column, p: Column, i: Column) -> Column:
         given = J.as_int(J.field(p, "passage_id"))
         date = J.field(p, "passage_date")
         return F.struct(
@@ -100,13 +114,14 @@ def grounding(raw: Column) -> Column:
             passage_text(p, i).alias("text"),
             J.as_string(J.field(p, "provider")).alias("provider"),
             F.when(J.truthy(date), J.as_string(date)).otherwise(J.as_string(J.field(p, "date"))).alias("passage_date"),
-            evidence_at(raw, "evidence_relevant", i, p).alias("evidence_relevant"),
-            evidence_at(raw, "evidence_correct", i, p).alias("evidence_correct"),
-            evidence_at(raw, "evidence_cited", i, p).alias("evidence_cited"),
+            *[evidence_at(labels[n], n, i, p).alias(n) for n in names],
             F.lit(False).alias("was_modified"),
         )
 
-    return F.transform(passages(raw), one).cast(f"array<{PASSAGE}>")
+    # the label arrays are read once per record, not once per passage
+    tops = F.struct(*[top_labels(raw, n).alias(n) for n in names])
+    built = let(tops, lambda labels: F.transform(passages(raw), lambda p, i: one(labels, p, i)))
+    return built.cast(f"array<{PASSAGE}>")
 
 
 def to_core(df: DataFrame, raw: str = "raw", keep: Sequence[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.functions import jsonvals as J
 from verdictframe.functions.text import behavior_label, col, let
-from verdictframe.schemas import BEHAVIOR_LABELS, GATES, LEVELS, VERDICTS
+from verdictframe.schemas import BEHAVIOR_LABELS, GATES, LEVELS, STEP_ORDER, VERDICTS
 
 RESPONSE_FIELDS = "text string, input_tokens bigint, output_tokens bigint, error string"
 
@@ -51,26 +51,30 @@ def score_requests(
 
 def parse_responses(df: DataFrame, text: str = "text", error: str = "error") -> DataFrame:
     """Adds ``parsed`` (VARIANT) and ``response_status``: ok, no_json, call_failed or unexpected."""
-    staged = df.withColumn("parsed", J.strict_json(F.trim(F.col(text))))
-
-    def judged(v: Column) -> Column:
-        return (
-            F.when(F.col(error).isNotNull(), "call_failed")
-            .when(~J.truthy(v), "no_json")
-            .when(~J.is_object(v), "unexpected")
-            .otherwise("ok")
-        )
-
-    return staged.withColumn("response_status", let(F.col("parsed"), judged))
+    trimmed = F.trim(F.col(text))
+    staged = df.withColumn("parsed", J.strict_json(trimmed))
+    # a valid JSON text shows its type in its first character
+    is_object, empty_object = F.startswith(trimmed, F.lit("{")), trimmed.rlike(r"^\{\s*\}$")
+    status = (
+        F.when(F.col(error).isNotNull(), "call_failed")
+        .when(F.col("parsed").isNull() | empty_object, "no_json")
+        .when(is_object, "ok")
+        .when(J.truthy(F.col("parsed")), "unexpected")
+        .otherwise("no_json")
+    )
+    return staged.withColumn("response_status", status)
 
 
 def validation_fields(parsed: Column | str) -> Column:
     """Validation struct; every gate is null when nothing was parsed."""
 
     def fields(v: Column) -> Column:
+        return let(J.truthy(v), lambda has: given(v, has))
+
+    def given(v: Column, has: Column) -> Column:
         reasons = F.filter(J.as_array(J.field(v, "rejection_reasons")), J.truthy)
         return F.struct(
-            *[F.when(J.truthy(v), J.truthy(J.field(v, g))).alias(g) for g in GATES],
+            *[F.when(has, J.truthy(J.field(v, g))).alias(g) for g in GATES],
             J.as_string(J.field(v, "plausibility")).alias("plausibility"),
             F.lit(None).cast("boolean").alias("human_audited"),
             F.transform(reasons, J.as_text).alias("rejection_reasons"),
@@ -166,14 +170,28 @@ def derive_gold(label_eval: Column | str, deterministic_label: Column | str) ->
     )
 
 
-def roll_up_status(df: DataFrame, keys: Sequence[str], ok: Column, failed: str = "failed:all_failed") -> DataFrame:
-    """ok, ok_partial or ``failed`` per record, from one row per call."""
+def roll_up_status(
+    df: DataFrame,
+    keys: Sequence[str],
+    ok: Column,
+    failed: str = "failed:all_failed",
+    records: DataFrame | None = None,
+    skipped: str = "skipped:no_calls",
+) -> DataFrame:
+    """ok, ok_partial or ``failed`` per record, from one row per call.
+
+    With ``records`` (all record keys) those without any call read ``skipped``.
+    """
     good = F.coalesce(ok, F.lit(False))
-    counted = df.groupBy(*keys).agg(F.count_if(good).alias("_ok"), F.count_if(~good).alias("_bad"))
+    counted = df.groupBy(*keys).agg(F.count_if(good).alias("n_ok"), F.count_if(~good).alias("n_failed"))
     status = (
-        F.when((F.col("_ok") > 0) & (F.col("_bad") == 0), "ok").when(F.col("_ok") > 0, "ok_partial").otherwise(failed)
+        F.when((F.col("n_ok") > 0) & (F.col("n_failed") == 0), "ok").when(F.col("n_ok") > 0, "ok_partial").otherwise(failed)
     )
-    return counted.select(*keys, F.col("_ok").alias("n_ok"), F.col("_bad").alias("n_failed"), status.alias("status"))
+    if records is None:
+        return counted.withColumn("status", status)
+    every = records.select(*keys).join(counted, list(keys), "left")
+    known = F.when(F.col("n_ok").isNull(), skipped).otherwise(status)
+    return every.withColumn("status", known).na.fill(0, ["n_ok", "n_failed"])
 
 
 def stamp(state: Column | str, step: str, value: Column) -> Column:
@@ -194,8 +212,16 @@ def rescue(df: DataFrame, problem: Column, step: str, key: str = "core_id") -> D
     )
 
 
-def chain(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Apply step functions in order; a step drops rows by filtering them."""
-    for step in steps:
-        df = df.transform(step)
+def chain(
+    df: DataFrame, steps: Mapping[str, Callable[[DataFrame], DataFrame]], stop_after: str | None = None
+) -> DataFrame:
+    """Apply step functions in step order, up to ``stop_after``; a step drops rows by filtering them.
+
+    Names outside the standard order run last, as given. The chain is one lazy plan.
+    """
+    order = {name: i for i, name in enumerate(STEP_ORDER)}
+    for name in sorted(steps, key=lambda n: order.get(n, len(order))):
+        df = df.transform(steps[name])
+        if name == stop_after:
+            break
     return df

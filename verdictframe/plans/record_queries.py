@@ -333,8 +333,8 @@ def strict_json_parse(spark, sf_dir):
   ['high', NULL, 'low'][(k % 3 + 1)::int] AS confidence FROM ({RESPONSES_SQL}) WHERE good AND NOT failed AND event_id % 4 <> 3""",
 )
 def verdict_fields(spark, sf_dir):
-    parsed = RS.parse_responses(responses(spark, sf_dir)).where(F.col("response_status") == "ok")
-    rows = parsed.select("event_id", RS.verdict_fields("parsed").alias("v")).where(F.col("v").isNotNull())
+    answered = responses(spark, sf_dir).where(F.col("error").isNull())
+    rows = answered.select("event_id", RS.verdict_fields(J.strict_json(F.trim("text"))).alias("v")).where(F.col("v").isNotNull())
     return rows.select(
         "event_id", "v.verdict", "v.contains_factual_error", "v.supporting_source_passage_id",
         F.md5("v.wrong_claim").alias("wrong_claim"), "v.confidence",
@@ -397,14 +397,17 @@ def label_eval_fields(spark, sf_dir):
 
 @query(
     "status_rollup",
-    f"""WITH x AS (SELECT conv_id, blank OR i % 7 <> 6 AS ok FROM ({LABEL_SQL}))
-SELECT conv_id, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed,
-  CASE WHEN count(*) FILTER (NOT ok) = 0 THEN 'ok' WHEN count(*) FILTER (ok) > 0 THEN 'ok_partial' ELSE 'failed:all_evals_failed' END AS status FROM x GROUP BY conv_id""",
+    f"""WITH x AS (SELECT conv_id, blank OR i % 7 <> 6 AS ok, turn % 2 = 1 AND conv_id % 5 <> 0 AS called FROM ({LABEL_SQL}))
+SELECT conv_id, count(*) FILTER (called AND ok) AS n_ok, count(*) FILTER (called AND NOT ok) AS n_failed,
+  CASE WHEN count(*) FILTER (called) = 0 THEN 'skipped:no_generator_outputs' WHEN count(*) FILTER (called AND NOT ok) = 0 THEN 'ok'
+    WHEN count(*) FILTER (called AND ok) > 0 THEN 'ok_partial' ELSE 'failed:all_evals_failed' END AS status FROM x GROUP BY conv_id""",
 )
 def status_rollup(spark, sf_dir):
     rows = label_responses(spark, sf_dir)
     done = RS.label_eval_fields("answer_text", "parsed").isNotNull()
-    return RS.roll_up_status(rows, ["conv_id"], done, "failed:all_evals_failed")
+    records = rows.select("conv_id").distinct()
+    called = rows.where("turn % 2 = 1 AND conv_id % 5 <> 0")
+    return RS.roll_up_status(called, ["conv_id"], done, "failed:all_evals_failed", records, "skipped:no_generator_outputs")
 
 
 SPEC_VALUES = ['"a"', '" b "', '""', '"a"', "null", "7"]

@@ -166,11 +166,11 @@ def slice_rest(spark, sf_dir):
 
 
 @query("rank_by_skewed_value", """SELECT l_returnflag, count(*) AS n, sum(r)::bigint AS ranks, round(sum(r * l_quantity), 3) AS weighted FROM
-  (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem) GROUP BY l_returnflag""")
+  (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, left(md5(':' || concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::bigint)), 15)) AS r FROM lineitem) GROUP BY l_returnflag""")
 def rank_by_skewed_value(spark, sf_dir):
-    """Exact ranks in three huge groups, each split over quantile buckets."""
-    li = T.table(spark, sf_dir, "lineitem")
-    ranked = rank_by_value(li, ["l_returnflag"], "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "r")
+    """Exact ranks in three huge groups of few distinct values, split by quantile and tie hash."""
+    li = T.table(spark, sf_dir, "lineitem").withColumn("cents", F.floor(F.col("l_extendedprice")).cast("bigint"))
+    ranked = rank_by_value(li, ["l_returnflag"], "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"], "r")
     return ranked.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.sum("r").alias("ranks"), F.round(F.sum(F.col("r") * F.col("l_quantity")), 3).alias("weighted")
     )
@@ -482,5 +482,6 @@ FROM (SELECT *, core_id % 3 AS p FROM ({CASES_SQL}) WHERE cell = 'FP')""",
 def order_queue(spark, sf_dir):
     cases = review_case_rows(spark, sf_dir).where("cell = 'FP'").withColumn("priority", F.col("core_id") % 3)
     ordered = R.queue_order(["g0", "g1", "g2"], ["g2", "g0", "g1"])
-    ranked = rank_by_value(cases.withColumn("_o", ordered), [], "_o", ["core_id"], "place")
+    packed = ordered * (1 << 40) + F.col("core_id")  # one unique number, so that no bucket is hot
+    ranked = rank_by_value(cases.withColumn("_o", packed), [], "_o", out="place")
     return ranked.select("place", "case_id")

@@ -390,6 +390,25 @@ def localization(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("claim_pct", "passage_pct")})
 
 
+@query(
+    "localization_flags",
+    f"""WITH x AS (SELECT judge, core_id, text, string_split({norm('text')}, ' ')[(core_id % 60 + 1)::int] AS value,
+  CASE WHEN core_id % 5 <> 0 THEN core_id % 7 END AS passage FROM ({T.DOC_VERDICTS}))
+SELECT judge, core_id, CASE WHEN length(value) > 0 AND length(text) > 0 THEN {norm('value')} <> '' AND contains({norm('text')}, {norm('value')}) END AS target_match,
+  CASE WHEN passage IS NOT NULL THEN passage IN (core_id % 3, 5) END AS localization_match FROM x""",
+)
+def localization_flags(spark, sf_dir):
+    rows = T.doc_verdicts(spark, sf_dir).withColumns(
+        {
+            "value": F.get(F.split(X.normalize("text"), " "), (F.col("core_id") % 60).cast("int")),
+            "passage": F.when(F.col("core_id") % 5 != 0, (F.col("core_id") % 7).cast("int")),
+            "modified": F.array((F.col("core_id") % 3).cast("int"), F.lit(5)),
+        }
+    )
+    target, place = L.localization_flags("text", "value", "passage", "modified")
+    return rows.select("judge", "core_id", target.alias("target_match"), place.alias("localization_match"))
+
+
 @query(
     "review_cases",
     f"""WITH v AS (SELECT * , CASE core_id % 3 WHEN 0 THEN 'refusal_or_insufficient' WHEN 1 THEN 'conflict_awareness' END AS label FROM ({T.DOC_VERDICTS})),

@@ -150,7 +150,7 @@ def paired_delta_by_generator(spark, sf_dir):
     "paired_delta_last_wins",
     f"""WITH v AS (SELECT * FROM ({T.VERDICTS}) WHERE judge <> 'g2' OR l_linenumber <> 3),
 l AS (SELECT core_id, generator, judge, arg_max(pred, o) AS pred, arg_max(gold, o) AS gold, max(o) AS o
-  FROM (SELECT *, l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey AS o FROM v) GROUP BY core_id, generator, judge),
+  FROM (SELECT *, (l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey) * 4 + pred::int * 2 + gold::int AS o FROM v) GROUP BY core_id, generator, judge),
 a AS (SELECT core_id, generator, arg_max(gold, o) AS gold, max(pred::int) FILTER (judge = generator) AS same,
   sum(pred::int) FILTER (judge <> generator) / count(*) FILTER (judge <> generator) AS "cross" FROM l GROUP BY core_id, generator),
 u AS (SELECT *, same IS NOT NULL AND "cross" IS NOT NULL AS usable, same - "cross" AS delta FROM a)
@@ -158,7 +158,8 @@ SELECT generator, {POINT_SQL} FROM u GROUP BY generator""",
 )
 def paired_delta_last_wins(spark, sf_dir):
     v = T.verdicts(spark, sf_dir).where((F.col("judge") != "g2") | (F.col("l_linenumber") != 3))
-    order = F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")
+    row = F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")
+    order = row * 4 + F.col("pred").cast("int") * 2 + F.col("gold").cast("int")
     answers = P.paired_answers(v.withColumn("ord", order), ["core_id", "generator"], order="ord")
     return _points(answers, ["generator"])
 

@@ -176,3 +176,16 @@ def test_json_scalars(spark):
     assert [row[f"int_{n}"] for n in "ifsxbn"] == [3, 2, 12, None, 1, None]
     assert [row[f"t_{n}"] for n in ("i", "n", "o", "l", "e", "fs", "missing")] == [True, False, True, True, False, True, False]
     assert row["cites"] == [1, 2, -5] and row["none"] == "None" and row["gone"] is None
+
+
+def test_response_status(spark):
+    texts = ['{"a":1}', '\n\t{"a":1}\n', "{ }", "{}", "[]", "[1]", "0", "7", "null", '"x"', "", None, "oops", '{"a":1}']
+    want = ["ok", "ok", "no_json", "no_json", "no_json", "unexpected", "no_json", "unexpected", "no_json", "unexpected", "no_json", "no_json", "no_json", "call_failed"]
+    df = spark.createDataFrame([(i, t, "late" if i == 13 else None) for i, t in enumerate(texts)], "i int, text string, error string")
+    got = {r["i"]: r["response_status"] for r in rows(responses.parse_responses(df).select("i", "response_status"))}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_is_blank(spark):
+    df = spark.createDataFrame([("",), (" \t\n",), ("\u00a0\u2003",), (None,), (" x",)], "t string")
+    assert [r[0] for r in df.select(X.is_blank("t")).collect()] == [True, True, True, True, False]

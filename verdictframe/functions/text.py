@@ -80,6 +80,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def is_blank(c: Column | str) -> Column:
+    """Null, empty or nothing but white space of any kind."""
+    return ~F.coalesce(col(c), F.lit("")).rlike(r"(?U)\S")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body uses it.
 

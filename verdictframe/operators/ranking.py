@@ -119,6 +119,12 @@ def dense_index(df: DataFrame, key: str, out: str = "idx", fan_bits: int = 8) ->
     return ranked.withColumn(out, F.col(out) - 1).drop("_bucket")
 
 
+def rank_hashed(df: DataFrame, order: str, out: str = "rank", fan_bits: int = 8) -> DataFrame:
+    """Rank 1..n of a whole table by a column that already is a ``hash_order``."""
+    bucketed = df.withColumn("_bucket", F.shiftright(F.col(order), HASH_BITS - fan_bits))
+    return _bucket_rank(bucketed, [], [order], out, None, 1 << fan_bits).drop("_bucket")
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The row with the highest ``order`` per key, as an aggregate with map-side combine."""
     rest = [c for c in df.columns if c not in keys]

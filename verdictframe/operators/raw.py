@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.functions import jsonvals as J
 from verdictframe.functions.scalars import stable_id
-from verdictframe.functions.text import col, let
+from verdictframe.functions.text import col, is_blank, let
 from verdictframe.schemas import PASSAGE
 
 # Evidence labels, the id prefix and the passage minimum of the record format.
@@ -78,7 +78,7 @@ def passage_text(passage: Column, position: Column) -> Column:
     slots = F.try_variant_get(passage, "$", "map<string,variant>")
     present = F.map_filter(
         slots,
-        lambda k, v: F.startswith(k, F.lit("cite_")) & (F.length(F.trim(J.as_string(v))) > 0),
+        lambda k, v: F.startswith(k, F.lit("cite_")) & ~is_blank(J.as_string(v)),
     )
     own = J.as_string(present[F.concat(F.lit("cite_"), (position + 1).cast("string"))])
     flat = F.nullif(J.as_string(J.field(passage, "text")), F.lit(""))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.functions import jsonvals as J
-from verdictframe.functions.text import behavior_label, col, let
+from verdictframe.functions.text import behavior_label, col, is_blank, let
 from verdictframe.schemas import BEHAVIOR_LABELS, GATES, LEVELS, STEP_ORDER, VERDICTS
 
 RESPONSE_FIELDS = "text string, input_tokens bigint, output_tokens bigint, error string"
@@ -22,7 +22,7 @@ def expand_work(
 
     The lists are literals, so the expansion is an explode inside the scan stage, not a join.
     """
-    rows = df.where(F.length(F.trim(F.coalesce(F.col(answer), F.lit("")))) > 0) if answer else df
+    rows = df.where(~is_blank(answer)) if answer else df
     if modes:
         rows = rows.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
     return rows.withColumn(model_col, F.explode(F.array(*[F.lit(m) for m in models])))
@@ -54,7 +54,7 @@ def parse_responses(df: DataFrame, text: str = "text", error: str = "error") ->
     trimmed = F.trim(F.col(text))
     staged = df.withColumn("parsed", J.strict_json(trimmed))
     # a valid JSON text shows its type in its first character
-    is_object, empty_object = F.startswith(trimmed, F.lit("{")), trimmed.rlike(r"^\{\s*\}$")
+    is_object, empty_object = trimmed.rlike(r"^\s*\{"), trimmed.rlike(r"^\s*\{\s*\}\s*$")
     status = (
         F.when(F.col(error).isNotNull(), "call_failed")
         .when(F.col("parsed").isNull() | empty_object, "no_json")
@@ -136,8 +136,7 @@ def label_eval_fields(answer_text: Column | str, parsed: Column | str) -> Column
         F.lit("generator produced no answer text").alias("rationale"),
         F.lit("high").alias("confidence"),
     )
-    empty = F.length(F.trim(F.coalesce(col(answer_text), F.lit("")))) == 0
-    return F.when(empty, blank).otherwise(let(col(parsed), evaluated))
+    return F.when(is_blank(answer_text), blank).otherwise(let(col(parsed), evaluated))
 
 
 def verdict_fields(parsed: Column | str) -> Column:

@@ -183,33 +183,31 @@ def event_bounds(events: Column, n: Column) -> tuple[Column, Column]:
     return rule_of_three(none, every, n, blank, blank)
 
 
-def match_examples(cases: DataFrame, examples: DataFrame, cell: str = "cell", question: str = "question",
-                   key: str = "case_id") -> DataFrame:
+def match_examples(
+    cases: DataFrame, examples: DataFrame, cell: str = "cell", question: str = "question", key: str = "case_id"
+) -> DataFrame:
     """Cases of an example's cell whose question starts like the example's, or the other way round.
 
-    Joins on (cell, first characters) instead of the cell alone, so a common cell does not pair
-    everything with everything: two texts of which one starts with the other share their first
-    ``width`` characters, where ``width`` is the shorter length, taken from the example table.
+    Both directions are equi joins on whole texts, so a common cell or opening never pairs many
+    cases with many examples. A case is cut to the lengths examples have, after a semi join on
+    their common shortest length has removed most cases; and every beginning of an example is a
+    row that a shorter case must equal.
     """
-    wanted = examples.select(F.col(cell), normalize(question).alias("_wq")).where(F.length("_wq") > 0).distinct()
-    wanted = wanted.withColumn("_head", F.left("_wq", F.lit(8)))
+    wanted = examples.select(F.col(cell), normalize(question).alias("_q")).where(F.length("_q") > 0).distinct()
     asked = cases.select(key, cell, normalize(question).alias("_cq"))
-    long_enough = asked.withColumn("_head", F.left("_cq", F.lit(8)))
-    both_long = long_enough.join(wanted.where(F.length("_wq") >= 8), [cell, "_head"]).where(
-        F.startswith("_cq", "_wq") | F.startswith("_wq", "_cq")
-    )
-    # texts shorter than the head can only match on their own whole length, so they join by it
-    sizes = F.sequence(F.lit(0), F.lit(7))
-    short_example = _prefix_join(asked, wanted.where(F.length("_wq") < 8), cell, "_cq", "_wq", sizes)
-    short_case = _prefix_join(wanted, asked.where(F.length("_cq") < 8), cell, "_wq", "_cq", sizes)
-    found = [m.select(key) for m in (both_long, short_example, short_case)]
-    return found[0].union(found[1]).union(found[2]).distinct()
-
-
-def _prefix_join(long: DataFrame, short: DataFrame, cell: str, long_text: str, short_text: str, sizes: Column) -> DataFrame:
-    heads = long.withColumn("_n", F.explode(sizes)).where(F.col("_n") <= F.length(long_text))
-    heads = heads.withColumn("_p", F.left(long_text, F.col("_n")))
-    return heads.drop("_head").join(short.drop("_head").withColumn("_p", F.col(short_text)), [cell, "_p"])
+    shortest = wanted.agg(F.min(F.length("_q"))).scalar()
+    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("_q")))).scalar()
+
+    heads = wanted.select(cell, F.left("_q", shortest).alias("_head")).distinct()
+    near = asked.withColumn("_head", F.left("_cq", shortest)).join(heads, [cell, "_head"], "left_semi")
+    cut = near.withColumn("_n", F.explode(lengths)).where(F.col("_n") <= F.length("_cq"))
+    cut = cut.withColumn("_q", F.left("_cq", F.col("_n")))
+    longer = cut.join(wanted, [cell, "_q"], "left_semi").select(key)
+
+    starts = wanted.select(cell, "_q", F.explode(F.sequence(F.lit(0), F.length("_q"))).alias("_n"))
+    starts = starts.select(cell, F.left("_q", F.col("_n")).alias("_cq")).distinct()
+    shorter = asked.join(starts, [cell, "_cq"], "left_semi").select(key)
+    return longer.union(shorter).distinct()
 
 
 def build_queue(cases: DataFrame, examples: DataFrame, seed: int = 20260627, n_false_negative: int = 10,

@@ -15,8 +15,10 @@ from verdictframe.operators.ranking import (
     null_safe_join,
     rank_by_hash,
     rank_by_value,
+    rank_hashed,
     take_quota,
 )
+from verdictframe.session import checkpointed
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int | Column, seed: int, key: str) -> DataFrame:
@@ -42,27 +44,27 @@ def stratum_quotas(df: DataFrame, strata: Sequence[str], n: int | Column, seed:
 
     After r whole rounds a stratum of size s has given min(s, r) rows. With sizes in ascending
     order the total is linear between two sizes, which yields the last whole round; the rest goes
-    to the first larger strata in hash order. Both windows run over one row per stratum.
+    to the first larger strata in hash order. The window runs over the distinct sizes, of which a
+    table of N rows has fewer than the square root of 2N.
     """
     total = n if isinstance(n, Column) else F.lit(n)
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_s")).withColumn("_h", hash_order(seed, *strata))
-    k = sizes.agg(F.count(F.lit(1))).scalar()
-    up_to = Window.orderBy("_s", "_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = sizes.select(
-        "_s", F.row_number().over(Window.orderBy("_s", "_h")).alias("j"), F.sum("_s").over(up_to).alias("prefix")
-    )
-    whole = steps.where(F.col("prefix") + (k - F.col("j")) * F.col("_s") <= total)
-    last = whole.agg(
-        F.coalesce(F.max("j"), F.lit(0)).alias("j"), F.coalesce(F.max("prefix"), F.lit(0)).alias("prefix")
+    counted = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_s"))
+    sizes = checkpointed(counted.withColumn("_h", hash_order(seed, *strata)))  # read five times below
+    by_size = sizes.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
+    up_to = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = by_size.select(
+        "_s", F.sum("_c").over(up_to).alias("closed"), F.sum(F.col("_s") * F.col("_c")).over(up_to).alias("given")
     )
-    open_strata = k - F.col("j")
-    rounds = F.when(open_strata > 0, F.floor((total - F.col("prefix")) / open_strata))
-    edge = last.select(rounds.alias("r"), (total - F.col("prefix") - open_strata * rounds).alias("e"))
+    k = sizes.agg(F.count(F.lit(1))).scalar()
+    whole = steps.where(F.col("given") + (k - F.col("closed")) * F.col("_s") <= total)
+    last = whole.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("closed", "given")])
+    still_open = k - F.col("closed")
+    rounds = F.when(still_open > 0, F.floor((total - F.col("given")) / still_open)).otherwise(F.lit(1 << 62))
+    edge = last.select(rounds.alias("r"), (total - F.col("given") - still_open * rounds).alias("e"))
     r, e = edge.select("r").scalar(), edge.select("e").scalar()
-    place = F.row_number().over(Window.partitionBy((F.col("_s") > r)).orderBy("_h"))
-    extra = F.when((F.col("_s") > r) & (F.col("_p") <= e), 1).otherwise(0)
-    taken = F.coalesce(F.least(F.col("_s"), r + extra), F.col("_s"))
-    return sizes.withColumn("_p", place).select(*strata, taken.alias("_quota"))
+    closed = sizes.where(F.col("_s") <= r).select(*strata, F.col("_s").alias("_quota"))
+    ranked = rank_hashed(sizes.where(F.col("_s") > r), "_h", "_p")
+    return closed.unionByName(ranked.select(*strata, (r + (F.col("_p") <= e).cast("bigint")).alias("_quota")))
 
 
 def prefer_then_backfill(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdictframe.functions.text import normalize
 from verdictframe.operators import assignment as A
 from verdictframe.operators import history as H
 from verdictframe.operators import review as R
@@ -462,16 +463,34 @@ def review_join(spark, sf_dir):
     return out.select("case_id", "human_gold_ok", R.is_done("human_gold_ok").alias("reviewed"))
 
 
-@query("review_queue")
+QUEUE_SQL = f"""WITH c AS ({CASES_SQL}), v AS (SELECT * FROM c WHERE is_validated),
+e AS (SELECT 'g' || (item_id % 3) || '_on_g' || (item_id % 2) AS cell, trim(left({T.norm_sql('text')}, (item_id % 50 + 2)::int)) AS wq FROM benchmark),
+x AS (SELECT DISTINCT case_id FROM (SELECT case_id, judge || '_on_' || generator AS cell, {T.norm_sql('question')} AS cq FROM c) JOIN e USING (cell)
+  WHERE starts_with(cq, wq) OR starts_with(wq, cq)),
+f AS (SELECT case_id, generator FROM v WHERE category = 'apparent_fp' AND same_deployment),
+q AS (SELECT generator, count(*) AS quota FROM f GROUP BY generator),
+r AS (SELECT case_id, generator, row_number() OVER (PARTITION BY generator ORDER BY md5('17:' || case_id)) AS rn FROM v WHERE category = 'apparent_fp' AND NOT same_deployment),
+m AS (SELECT case_id, row_number() OVER (PARTITION BY generator ORDER BY md5('17:' || case_id)) AS rn FROM v WHERE category = 'false_negative'),
+s AS (SELECT *, row_number() OVER (PARTITION BY category, judge, generator ORDER BY md5('17:' || case_id)) AS rn FROM v WHERE category IN ('true_positive', 'true_negative')),
+z AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rn, md5('17:' || judge || ':' || generator), case_id) AS place FROM s),
+p AS (SELECT case_id, 'same_fp' AS subset, 1 AS priority, 1 AS turn FROM f
+  UNION ALL SELECT case_id, 'cross_fp', 2, 2 FROM r JOIN q USING (generator) WHERE rn <= quota
+  UNION ALL SELECT case_id, 'false_negative', 4, 3 FROM m WHERE rn <= 10
+  UNION ALL SELECT case_id, CASE category WHEN 'true_positive' THEN 'sanity_tp' ELSE 'sanity_tn' END, 5, CASE category WHEN 'true_positive' THEN 4 ELSE 5 END FROM z WHERE place <= 15
+  UNION ALL SELECT case_id, 'paper_example', 3, 6 FROM x)
+SELECT case_id, arg_min(subset, turn) AS subset, arg_min(priority, turn) AS priority, bool_or(subset = 'paper_example') AS paper_example FROM p GROUP BY case_id"""
+
+
+@query("review_queue", QUEUE_SQL)
 def review_queue(spark, sf_dir):
     """The prioritised queue over all cases, in review order."""
     cases = review_case_rows(spark, sf_dir)
     examples = T.table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("g"), (F.col("item_id") % 3).cast("string"), F.lit("_on_g"), (F.col("item_id") % 2).cast("string")).alias("cell"),
-        F.col("text").alias("question"),
+        F.left(normalize("text"), (F.col("item_id") % 50 + 2).cast("int")).alias("question"),
     )
     queue = R.build_queue(cases, examples, SEED).join(cases.drop("question"), "case_id")
-    return R.order_queue(queue, T.JUDGES, T.JUDGES)
+    return R.order_queue(queue, T.JUDGES, T.JUDGES).select("case_id", "subset", "priority", "paper_example")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from verdictframe.functions.text import is_blank
 from verdictframe.schemas import STEP_ORDER
 
 CORRUPT = "_corrupt_record"
@@ -39,7 +40,7 @@ def read_with_dead_letters(spark: SparkSession, path: str | list[str], schema: s
     Lines are parsed with ``from_json`` rather than by the JSON reader, which refuses queries that
     need nothing but the broken lines.
     """
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    lines = spark.read.text(path).where(~is_blank("value"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     return lines.select(F.from_json("value", with_corrupt(schema), options).alias("r")).select("r.*")
 
@@ -76,12 +77,12 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
 
 def count_lines(spark: SparkSession, path: str | list[str]) -> int:
     """Number of non-blank lines."""
-    return spark.read.text(path).where(F.length(F.trim("value")) > 0).count()
+    return spark.read.text(path).where(~is_blank("value")).count()
 
 
 def land_raw(spark: SparkSession, source: str, target: str, limit: int | None = None) -> int:
     """Copy a landed raw dataset, optionally only its first rows."""
-    lines = spark.read.text(source).where(F.length(F.trim("value")) > 0)
+    lines = spark.read.text(source).where(~is_blank("value"))
     seen = Observation()
     rows = lines.limit(limit) if limit is not None else lines
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").text(target)

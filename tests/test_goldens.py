@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from verdictframe.functions.scalars import pct
 from verdictframe.operators import behavior, bootstrap, labels, matrix, paired, review, usage
-from verdictframe.operators.assignment import _level_off, _plan_classes, capacity_targets
+from verdictframe.operators.assignment import SEPARATOR, _level_off, _plan_classes, capacity_targets
 from verdictframe.plans import verdict_queries as V
 
 CELLS = """full GPT GPT 134 9 39 115 93.706 77.457 84.81 7.258
@@ -203,7 +203,7 @@ def test_level_off_equals_unit_steps():
 
 
 def test_plan_is_single_validators_first():
-    plan = _plan_classes([("a,b", 2, 100), ("a", 1, 5), ("b", 1, 50)], {"a": 30, "b": 40})
+    plan = _plan_classes([(SEPARATOR.join("ab"), 2, 100), ("a", 1, 5), ("b", 1, 50)], {"a": 30, "b": 40})
     assert [p[0] for p in plan][:2] == ["a", "b"]
     taken = {}
     for _, provider, lo, hi, *_ in plan:

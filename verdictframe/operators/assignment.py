@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from verdictframe.operators.ranking import rank_by_hash, rank_by_value
 
 MAX_PROVIDERS = 12
+SEPARATOR = "\u001f"  # joins provider names into a class name
 
 
 def capacity_targets(capacity: Mapping[str, int], target: int) -> dict[str, int]:
@@ -67,13 +68,13 @@ def assign_balanced(
     if len(names) > MAX_PROVIDERS:
         raise ValueError(f"more than {MAX_PROVIDERS} providers")
     per_question = valid.groupBy(key).agg(
-        F.array_join(F.sort_array(F.collect_set(provider)), ",").alias("class"),
+        F.array_join(F.sort_array(F.collect_set(provider)), SEPARATOR).alias("class"),
         F.count_distinct(provider).alias("validators"),
-        F.array_join(F.sort_array(F.collect_set(F.coalesce(F.col(kind), F.lit("unknown")))), ",").alias("kinds"),
+        F.array_join(F.sort_array(F.collect_set(F.coalesce(F.col(kind), F.lit("unknown")))), SEPARATOR).alias("kinds"),
     )
     sizes = per_question.groupBy("class", "validators").agg(F.count(F.lit(1)).alias("n"))
     classes = [(r["class"], r["validators"], r["n"]) for r in sizes.collect()]
-    capacity = {p: sum(n for c, _, n in classes if p in c.split(",")) for p in names}
+    capacity = {p: sum(n for c, _, n in classes if p in c.split(SEPARATOR)) for p in names}
     plan = _plan_classes(classes, capacity_targets(capacity, target))
     shares = candidates.sparkSession.createDataFrame(
         plan, "class string, provider string, lo bigint, hi bigint, total bigint, stride bigint"
@@ -96,7 +97,7 @@ def _plan_classes(classes: Sequence[tuple[str, int, int]], targets: Mapping[str,
     left = dict(targets)
     plan = []
     for name, _, size in sorted(classes, key=lambda c: (c[1], c[0])):
-        taken = _level_off({p: left[p] for p in name.split(",")}, size)
+        taken = _level_off({p: left[p] for p in name.split(SEPARATOR)}, size)
         total = sum(taken.values())
         stride = max(1, round(total * 0.618))
         while gcd(stride, total) > 1:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictframe.llm import langid, linededup, packing, pii, simhash
+from verdictframe.llm import kdtree, langid, licenses, linededup, packing, pieces, pii, pq, simhash, warc
 from verdictframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,25 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT h, max(page_id) AS keep FROM p GROUP BY h)
+SELECT page_id, bytes AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM p JOIN k USING (h)
+"""
+
+
+@query("op1_seekable_warc", OP1_SQL)
+def op1(spark, sf_dir):
+    folder = warc.new_folder(spark)
+    index = warc.write_bundles(table(spark, sf_dir, "pages"), folder)
+    return warc.read_bundles(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op2_language_mixture")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +57,21 @@ def op2(spark, sf_dir):
     return langid.identify(seen, model).drop("text")
 
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op3_kd_tree_topk", OP3_SQL)
+def op3(spark, sf_dir):
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 PACKED = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -54,11 +88,55 @@ def op5(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op6_product_quantised_links", OP6_SQL)
+def op6(spark, sf_dir):
+    return pq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_simhash_trie")
 def op7(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op8_sentencepiece_spans")
+def op8(spark, sf_dir):
+    got = pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return got.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_rare_word_licenses")
+def op9(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    start = F.transform("base", lambda b: b["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(start).cast("bigint").alias("first_word"),
+        F.array_max(start).cast("bigint").alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )
+
+
 OP10_SQL = r"""
 WITH lines AS (
   SELECT row_id, doc_id, i, lines[i] AS line,

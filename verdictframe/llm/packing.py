@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import random
+import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,29 +29,89 @@ class Encoder:
     """Token ids by the installed tokenizer, word by word.
 
     The vocabulary's pre-tokenizer never joins text across a space or a line end, so the ids of a text
-    are those of its words in turn. A task keeps the ids of words it has met, up to a fixed number.
+    are those of its words in turn. A task keeps the ids of words it has met, up to a fixed number. Words
+    of Latin letters with marks after them are split here as the pre-tokenizer would, and their letters
+    go straight to the tokenizer's model; everything else takes the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        letters_alone = len(cuts) == 2 and spec["model"].get("end_of_word_suffix") and cuts[0]["type"] == "Split" and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in str(cuts[0]["pattern"].get("Regex"))
+        self.simple = None
+        if steps == ["NFC", "Replace", "Lowercase"] and letters_alone and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"]:
+            self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:|%$#&*()\-]*)")
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "÷"}
+            self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            ends = [i for token, i in spec["model"]["vocab"].items() if token.endswith(spec["model"]["end_of_word_suffix"])]
+            self.ends = np.zeros(max(ends) + 1, dtype=bool)
+            self.ends[ends] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def _ids(tokenizer, words: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: one run of the model over many words, cut where a token ends a word."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            text = " ".join([x if x.isascii() else x.translate(self.bytes) for x in part])
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = (4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)).tolist()
+            if len(cut) != len(part):
+                raise ValueError("the vocabulary doesn't end every word with a token of its own")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cut], cut)]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        known, letters = self.known, self.letters
+        waiting, other = [], new
+        if self.simple:
+            match, other = self.simple.fullmatch, []
+            for word in new:
+                m = match(word)
+                if m is None:
+                    other.append(word)
+                    continue
+                x, mark = m.groups()
+                x = x.lower()
+                if x in letters and mark in known:
+                    known[word] = letters[x] + known[mark] if mark else letters[x]
+                else:
+                    waiting.append((word, x, mark))
+            fresh = list({x for _, x, _ in waiting}.difference(letters))
+            letters.update(zip(fresh, self._letters(fresh)))
+            other += {x for _, _, x in waiting}.difference(known, other)
+        known.update(zip(other, self._ids(self.tokenizer, other)))
+        for word, x, mark in waiting:
+            known[word] = letters[x] + known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[word] = array("I", got.ids).tobytes()
-        out = [b"".join([known[w] for w in words]) for words in split]
+        new = list(set().union(*split).difference(self.known))
+        self._learn(new)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
         for word in new:
             if len(word) > _LONG_WORD:
-                del known[word]
-        if len(known) > _CACHE_WORDS:
+                self.known.pop(word, None)
+                self.letters.pop(word.lower(), None)
+        if len(self.known) > _CACHE_WORDS:
             self.known = {"": b""}
+        if len(self.letters) > _CACHE_WORDS:
+            self.letters = {"": b""}
         return out
 
 

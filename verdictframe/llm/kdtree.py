@@ -115,6 +115,7 @@ def _look(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame(out, columns=["q", "id", "row", "score"]).astype("int64")
 
     keys = ["dim", "shard", "part"]
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of its own: both sides come from one table
     return vectors.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "q bigint, id bigint, row bigint, score bigint")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdictframe.functions.text import col, let
+from verdictframe.functions.text import col, let, strip
 
 
 def strict_json(text: Column | str) -> Column:
@@ -76,7 +76,7 @@ def as_int(value: Column) -> Column:
         lambda kind, text: F.when(kind == "BIGINT", text.try_cast("bigint"))
         .when(_is_number(kind), text.try_cast("double").try_cast("bigint"))
         .when(kind == "BOOLEAN", (text == "true").cast("bigint"))
-        .when((kind == "STRING") & F.trim(text).rlike(r"^[+-]?[0-9]+$"), F.trim(text).try_cast("bigint")),
+        .when((kind == "STRING") & strip(text).rlike(r"^[+-]?[0-9]+$"), strip(text).try_cast("bigint")),
     )
 
 

@@ -51,13 +51,6 @@ def latency_ms(started: Column | str, ended: Column | str) -> Column:
     return ((col(ended) - col(started)) * 1000).cast("bigint")
 
 
-def truthy_text(c: Column | str) -> Column:
-    """Truth of a raw field read as text: yes, true, 1 or any non-zero number."""
-    text = F.lower(F.trim(col(c)))
-    number = text.try_cast("double")
-    return F.coalesce(text.isin("true", "yes", "1") | (F.coalesce(number, F.lit(0.0)) != 0), F.lit(False))
-
-
 def gates_pass(validation: Column | str = "validation", gates=GATES) -> Column:
     """Two-valued: a null gate never passes."""
     source = col(validation)

@@ -85,6 +85,11 @@ def is_blank(c: Column | str) -> Column:
     return ~F.coalesce(col(c), F.lit("")).rlike(r"(?U)\S")
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at both ends; ``trim`` knows the space only."""
+    return F.regexp_replace(col(c), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body uses it.
 

@@ -14,6 +14,7 @@ from verdictframe.functions.text import (
     let,
     normalize,
     replace_ignore_case,
+    strip,
 )
 from verdictframe.operators.raw import ANSWER_TAG, RELATED_TAG
 from verdictframe.schemas import CHANGE_TYPES, MENTION_KINDS, PASSAGE
@@ -55,7 +56,7 @@ def parse_spec(df: DataFrame, parsed: str = "parsed") -> DataFrame:
     """Perturbation spec columns plus ``spec_status``: ok or the first check that failed."""
     v = F.col(parsed)
     parts = {n: J.field(v, n) for n in ("original_value", "perturbed_value", "perturbation_type")}
-    named = df.withColumns({f"_{n}": F.trim(J.as_text(x)) for n, x in parts.items()})
+    named = df.withColumns({f"_{n}": strip(J.as_text(x)) for n, x in parts.items()})
     old, new, kind = F.col("_original_value"), F.col("_perturbed_value"), F.col("_perturbation_type")
     status = (
         F.when(~J.truthy(v), "failed:no_json")

@@ -105,7 +105,7 @@ def first_by_value(
 ) -> DataFrame:
     """Rows ``offset`` .. ``offset + n`` of the whole table in the order of a numeric column."""
     if offset + n <= SMALL_LIMIT:
-        ordered = df.orderBy(order, *ties)
+        ordered = df.orderBy(order, *([hash_order("", *ties), *ties] if ties else []))
         return (ordered.offset(offset) if offset else ordered).limit(n)
     ranked = rank_by_value(df, [], order, ties, "_rank", limit=offset + n)
     return ranked.where(F.col("_rank") > offset).drop("_rank")

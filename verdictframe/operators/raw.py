@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.functions import jsonvals as J
 from verdictframe.functions.scalars import stable_id
-from verdictframe.functions.text import col, is_blank, let
+from verdictframe.functions.text import col, is_blank, let, strip
 from verdictframe.schemas import PASSAGE
 
 # Evidence labels, the id prefix and the passage minimum of the record format.
@@ -26,7 +26,7 @@ MIN_ANSWER_PASSAGES = 2
 
 def truthy(value: Column) -> Column:
     """Truth of a raw field: strings must read true, yes or 1; other values follow JSON truth."""
-    text = F.lower(F.trim(value.cast("string")))
+    text = F.lower(strip(value.cast("string")))
     return F.when(J.json_type(value) == "STRING", text.isin("true", "yes", "1")).otherwise(J.truthy(value))
 
 

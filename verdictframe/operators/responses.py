@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.functions import jsonvals as J
-from verdictframe.functions.text import behavior_label, col, is_blank, let
+from verdictframe.functions.text import behavior_label, col, is_blank, let, strip
 from verdictframe.schemas import BEHAVIOR_LABELS, GATES, LEVELS, STEP_ORDER, VERDICTS
 
 RESPONSE_FIELDS = "text string, input_tokens bigint, output_tokens bigint, error string"
@@ -51,7 +51,7 @@ def score_requests(
 
 def parse_responses(df: DataFrame, text: str = "text", error: str = "error") -> DataFrame:
     """Adds ``parsed`` (VARIANT) and ``response_status``: ok, no_json, call_failed or unexpected."""
-    trimmed = F.trim(F.col(text))
+    trimmed = strip(text)
     staged = df.withColumn("parsed", J.strict_json(trimmed))
     # a valid JSON text shows its type in its first character
     is_object, empty_object = trimmed.rlike(r"^\s*\{"), trimmed.rlike(r"^\s*\{\s*\}\s*$")

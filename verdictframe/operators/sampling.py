@@ -24,10 +24,12 @@ from verdictframe.session import checkpointed
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int | Column, seed: int, key: str) -> DataFrame:
     """One row of every stratum per round until ``n`` are taken; strata are visited in hash order.
 
+    An id is taken once: of rows that share ``key`` the one whose stratum comes first stays, so the
+    draw of n rows is a part of that of n + 1. The order of the result rows is not defined.
     Small draws rank at most ``n`` rows per stratum and take the top ``n``. Others never sort the
     draw: stratum sizes alone say how many rows each stratum gives.
     """
-    named = _named(df, strata)
+    named = one_per_id(_named(df, strata), strata, key)
     if isinstance(n, int) and n <= SMALL_LIMIT:
         ranked = rank_by_hash(named, strata, seed, [key], "_round", limit=n)
         ordered = ranked.withColumn("_stratum", hash_order(seed, *strata))
@@ -35,6 +37,12 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int | Column, see
     return take_quota(named, strata, stratum_quotas(named, strata, n, seed), seed, [key])
 
 
+def one_per_id(df: DataFrame, strata: Sequence[str], key: str, first: str | None = None) -> DataFrame:
+    """One row for each value of ``key``: of the smallest ``first``, then of the first stratum in hash order."""
+    order = F.struct(*([F.col(first)] if first else []), hash_order("", *strata), *strata)
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+
+
 def _named(df: DataFrame, strata: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in strata})
 
@@ -70,20 +78,23 @@ def stratum_quotas(df: DataFrame, strata: Sequence[str], n: int | Column, seed:
 def prefer_then_backfill(
     df: DataFrame, preferred: Column, strata: Sequence[str], n: int, seed: int, key: str
 ) -> DataFrame:
-    """Stratified draw from the preferred rows first, the rest (seed + 1) only to fill up to ``n``."""
+    """Stratified draw from the preferred rows first, the rest (seed + 1) only to fill up to ``n``.
+
+    An id counts once, as preferred if any of its rows is. Both ways below take the same rows.
+    """
     pool = F.when(F.coalesce(preferred, F.lit(False)), 0).otherwise(1)
-    named = _named(df.withColumn("_pool", pool), strata)
+    named = one_per_id(_named(df.withColumn("_pool", pool), strata), ["_pool", *strata], key, first="_pool")
     if n > SMALL_LIMIT:
         first, rest = named.where("_pool = 0"), named.where("_pool = 1")
         short = F.greatest(F.lit(0), F.lit(n) - first.agg(F.count(F.lit(1))).scalar())
         return stratified_sample(first, strata, n, seed, key).unionByName(
             stratified_sample(rest, strata, short, seed + 1, key)
         )
-    keyed = named.withColumn("_seed", (F.lit(seed) + F.col("_pool")).cast("string"))
-    # the seed column takes part in the hash, so both pools are ranked by one operator
-    ranked = rank_by_hash(keyed, ["_pool", *strata], "", ["_seed", key], "_round", limit=n)
-    ordered = ranked.withColumn("_stratum", hash_order("", "_seed", *strata))
-    return ordered.orderBy("_pool", "_round", "_stratum", key).limit(n).drop("_round", "_stratum", "_seed")
+    ranked = []
+    for number in (0, 1):
+        rows = rank_by_hash(named.where(F.col("_pool") == number), strata, seed + number, [key], "_round", limit=n)
+        ranked.append(rows.withColumn("_stratum", hash_order(seed + number, *strata)))
+    return ranked[0].unionByName(ranked[1]).orderBy("_pool", "_round", "_stratum", key).limit(n).drop("_round", "_stratum")
 
 
 def capped_sample(df: DataFrame, strata: Sequence[str], cap: int, seed: int, key: str) -> DataFrame:
@@ -120,11 +131,14 @@ def combine_sources(
     return ranked.withColumn("ord2", F.col(source).cast("bigint"))
 
 
-def slice_rows(df: DataFrame, seq: str, offset: int = 0, take: int | None = None) -> DataFrame:
-    """Rows ``offset`` .. ``offset + take`` in ``seq`` order."""
+def slice_rows(df: DataFrame, seq: str, offset: int = 0, take: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Rows ``offset`` .. ``offset + take`` in ``seq`` order, equal values in hash order of ``ties``.
+
+    Pages only fit together if (``seq``, ``ties``) tells all rows apart.
+    """
     if take is None:
-        return rank_by_value(df, [], seq, out="_rank").where(F.col("_rank") > offset).drop("_rank")
-    return first_by_value(df, seq, take, offset=offset)
+        return rank_by_value(df, [], seq, ties, out="_rank").where(F.col("_rank") > offset).drop("_rank")
+    return first_by_value(df, seq, take, ties, offset)
 
 
 def first_selected(picks: DataFrame, key: str, subset: str, order: str) -> DataFrame:

@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from verdictframe.functions.text import is_blank
 from verdictframe.operators import quality as Q
 from verdictframe.operators import usage as U
 from verdictframe.plans import tables as T
-from verdictframe.plans.record_queries import raw_records
+from verdictframe.plans.record_queries import GATED_SQL, raw_records
 from verdictframe.plans.registry import query, round_columns
 from verdictframe.operators import raw as RAW
 from verdictframe.schemas import STEP_ORDER
@@ -128,7 +129,7 @@ def lookup_record(spark, sf_dir):
 )
 def nonblank_lines(spark, sf_dir):
     lines = T.table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("lang").agg(F.count_if(F.length(F.trim("line")) > 0).alias("lines"))
+    return lines.groupBy("lang").agg(F.count_if(~is_blank("line")).alias("lines"))
 
 
 @query(
@@ -167,13 +168,13 @@ def report_json(spark, sf_dir):
 
 @query(
     "dataset_manifest",
-    """WITH x AS (SELECT count(*) AS n FROM documents)
-SELECT 'docs' AS name, n AS raw_row_count, (SELECT count(*) FROM documents WHERE doc_id % 7 IN (0, 1, 2, 6)) AS passing_gates, 300 AS requested_n, 17 AS seed FROM x""",
+    GATED_SQL
+    + """ SELECT 'docs' AS name, (SELECT count(*) FROM documents) AS raw_row_count, count(*) FILTER (valid AND seeking AND NOT premise AND checked AND tagged >= 2) AS passing_gates,
+  300 AS requested_n, 17 AS seed FROM g""",
 )
 def dataset_manifest(spark, sf_dir):
     raw = raw_records(spark, sf_dir)
-    valid = raw.where(RAW.truthy(RAW.J.field(F.col("raw"), "question_valid")))
-    return S.dataset_manifest(raw, valid, "docs", 17, 300)
+    return S.dataset_manifest(raw, raw.where(RAW.passes_gates(F.col("raw"))), "docs", 17, 300)
 
 
 # ---- streams ----------------------------------------------------------------------------------

@@ -41,9 +41,9 @@ def stratified_sample_large(spark, sf_dir):
 
 @query(
     "prefer_backfill",
-    """WITH r AS (SELECT doc_id, lang, pool, row_number() OVER (PARTITION BY pool, lang ORDER BY md5(':' || (17 + pool) || ':' || doc_id), doc_id) AS rn
+    """WITH r AS (SELECT doc_id, lang, pool, row_number() OVER (PARTITION BY pool, lang ORDER BY md5((17 + pool) || ':' || doc_id), doc_id) AS rn
   FROM (SELECT *, CASE WHEN n_chars > 2500 THEN 0 ELSE 1 END AS pool FROM documents))
-SELECT doc_id, lang, pool AS _pool FROM r ORDER BY pool, rn, md5(':' || (17 + pool) || ':' || lang), doc_id LIMIT 400""",
+SELECT doc_id, lang, pool AS _pool FROM r ORDER BY pool, rn, md5((17 + pool) || ':' || lang), doc_id LIMIT 400""",
 )
 def prefer_backfill(spark, sf_dir):
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")

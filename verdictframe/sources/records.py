@@ -20,8 +20,8 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 
 def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON lines as one VARIANT column, for input whose keys may be absent."""
-    return spark.read.option("singleVariantColumn", "raw").json(path)
+    """JSON lines as one VARIANT column, for input whose keys may be absent; a broken line fails the read."""
+    return spark.read.option("singleVariantColumn", "raw").option("mode", "FAILFAST").json(path)
 
 
 def read_growing(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -90,12 +90,12 @@ def land_raw(spark: SparkSession, source: str, target: str, limit: int | None =
 
 
 def read_tagged(spark: SparkSession, path: str | list[str], schema: str, tags: Mapping[str, Mapping[str, str]]) -> DataFrame:
-    """One scan over many runs; a row's tags come from the run folder in its path.
+    """One scan over many runs; a row's tags come from the run folder in its path. A broken line fails the read.
 
     ``tags`` maps run folder to tag values. It is configuration, so it becomes a literal map in
     the plan instead of a join.
     """
-    rows = spark.read.schema(schema).json(path)
+    rows = read_jsonl(spark, path, schema)
     run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     rows = rows.withColumn("run_id", run)
     names = sorted({t for values in tags.values() for t in values})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from verdictframe.functions import text as TX
-from verdictframe.operators import edits, raw, sampling
+from verdictframe.operators import assignment, edits, raw, sampling
 from verdictframe.sources import records
 from verdictframe.streaming import traces as ST
 
@@ -77,3 +77,12 @@ def test_streams_share_a_target(spark, tmp_path):
         ST.upsert_steps(stream, target, str(tmp_path / f"c-{name}")).start().awaitTermination()
     got = {r["core_id"]: r["v"] for r in rows(spark.read.parquet(target))}
     assert got == {**dict.fromkeys("vwxyz", "a"), **dict.fromkeys("abc", "b")}
+
+
+def test_any_number_of_providers(spark):
+    df = spark.range(600).select((F.col("id") % 300).alias("core_id"), F.concat(F.lit("p"), F.format_string("%02d", (F.col("id") * 7 + F.floor(F.col("id") / 300)) % 20)).alias("provider"), F.lit("k").alias("kind"), F.lit(True).alias("is_validated"))
+    got = assignment.assign_balanced(df, 200)
+    counts = {r["provider"]: r["count"] for r in got.groupBy("provider").count().collect()}
+    assert sum(counts.values()) == 200 == got.select("core_id").distinct().count()
+    assert set(counts.values()) == {10} and len(counts) == 20
+    assert assignment.assign_balanced(df.limit(0), 200).count() == 0

@@ -58,21 +58,21 @@ META_MARKERS = (
 META_MARKERS_FLAG_AUDIT = META_MARKERS + ("do not specify",)
 # Rejection-reason keywords, first hit wins.
 REASON_KEYWORDS = (
-    ("contextual anchor", "contextual anchors"),
-    ("anchors", "contextual anchors"),
-    ("still contains", "leakage (paraphrase)"),
-    ("still appears", "leakage (paraphrase)"),
-    ("leaks", "leakage (paraphrase)"),
-    ("deterministic_leakage", "leakage (deterministic)"),
-    ("not materially", "not answer-causal"),
-    ("does not change", "not answer-causal"),
-    ("would not change", "not answer-causal"),
-    ("globally consistent is false", "inconsistent context"),
-    ("still support", "inconsistent context"),
-    ("implausible", "implausible perturbation"),
-    ("conflicts with real-world", "implausible perturbation"),
-    ("type_valid is false", "type mismatch"),
-    ("grammar", "type mismatch"),
+    ("contextual anchors", "contextual anchor"),
+    ("contextual anchors", "anchors"),
+    ("leakage (paraphrase)", "still contains"),
+    ("leakage (paraphrase)", "still appears"),
+    ("leakage (paraphrase)", "leaks"),
+    ("leakage (deterministic)", "deterministic_leakage"),
+    ("not answer-causal", "not materially"),
+    ("not answer-causal", "does not change"),
+    ("not answer-causal", "would not change"),
+    ("inconsistent context", "globally consistent is false"),
+    ("inconsistent context", "still support"),
+    ("implausible perturbation", "implausible"),
+    ("implausible perturbation", "conflicts with real-world"),
+    ("type mismatch", "type_valid is false"),
+    ("type mismatch", "grammar"),
 )
 
 
@@ -161,7 +161,7 @@ def behavior_label(
 def bucket_reason(c: Column | str, keywords: Sequence[tuple[str, str]] = REASON_KEYWORDS) -> Column:
     low = F.lower(col(c))
     out = None
-    for keyword, label in keywords:
+    for label, keyword in keywords:
         hit = F.contains(low, F.lit(keyword))
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise("other")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.operators.ranking import rank_by_hash, rank_by_value
+from verdictframe.session import checkpointed
 
-MAX_PROVIDERS = 12
 SEPARATOR = "\u001f"  # joins provider names into a class name
 
 
@@ -57,24 +57,28 @@ def assign_balanced(
 ) -> DataFrame:
     """One validated record per question with provider counts as even as capacities allow.
 
-    Questions fall into classes by the set of providers that validated them; there are at most
-    2^providers classes whatever the data size, and only their counts reach the driver. Questions
+    Questions fall into classes by the set of providers that validated them; one count for each set
+    that occurs reaches the driver, however many questions there are. Questions
     with one validator go first, then larger classes; each class takes from its providers the
     largest remaining deficit first. That fixes how many questions of a class go to which provider,
     and every question finds its provider by its rank in the class, interleaved over change types.
     """
     valid = candidates.where(F.coalesce(F.col(validated), F.lit(False)))
-    names = [r[0] for r in valid.select(provider).distinct().orderBy(provider).limit(MAX_PROVIDERS + 1).collect()]
-    if len(names) > MAX_PROVIDERS:
-        raise ValueError(f"more than {MAX_PROVIDERS} providers")
     per_question = valid.groupBy(key).agg(
         F.array_join(F.sort_array(F.collect_set(provider)), SEPARATOR).alias("class"),
         F.count_distinct(provider).alias("validators"),
         F.array_join(F.sort_array(F.collect_set(F.coalesce(F.col(kind), F.lit("unknown")))), SEPARATOR).alias("kinds"),
     )
+    per_question = checkpointed(per_question)  # read for the class sizes, both ranks and the choice
     sizes = per_question.groupBy("class", "validators").agg(F.count(F.lit(1)).alias("n"))
     classes = [(r["class"], r["validators"], r["n"]) for r in sizes.collect()]
-    capacity = {p: sum(n for c, _, n in classes if p in c.split(SEPARATOR)) for p in names}
+    capacity: dict[str, int] = {}
+    for name, _, n in classes:
+        for p in name.split(SEPARATOR):
+            capacity[p] = capacity.get(p, 0) + n
+    if not capacity:
+        return valid.withColumn("validators", F.lit(0).cast("bigint")).limit(0)
+    capacity = dict(sorted(capacity.items()))
     plan = _plan_classes(classes, capacity_targets(capacity, target))
     shares = candidates.sparkSession.createDataFrame(
         plan, "class string, provider string, lo bigint, hi bigint, total bigint, stride bigint"
@@ -85,7 +89,7 @@ def assign_balanced(
     pos = F.col("_pos") - 1
     slot = (pos * F.col("stride")) % F.col("total")  # a permutation that spreads types over providers
     chosen = (
-        ranked.join(F.broadcast(shares), "class")  # at most providers x 2^providers rows
+        ranked.join(shares, "class")
         .where((pos < F.col("total")) & (slot >= F.col("lo")) & (slot < F.col("hi")))
         .select(key, F.col("provider").alias(provider), "validators")
     )

@@ -177,6 +177,75 @@ def dataset_manifest(spark, sf_dir):
     return S.dataset_manifest(raw, raw.where(RAW.passes_gates(F.col("raw"))), "docs", 17, 300)
 
 
+# ---- sinks and scans: a driver table through the writer and back through the reader --------------
+
+_DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def _documents(spark, sf_dir):
+    return T.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
+
+
+@query("jsonl_round_trip", "SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
+def jsonl_round_trip(spark, sf_dir):
+    folder = f"{_work_folder(spark)}/docs"
+    S.write_jsonl(_documents(spark, sf_dir), folder)
+    return S.read_jsonl(spark, folder, _DOCS).select("doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars")
+
+
+@query(
+    "jsonl_append",
+    """SELECT lang, count(*) AS n, sum(n_chars)::bigint AS chars, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS first_rows,
+  (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0) AS more_rows FROM documents GROUP BY lang""",
+)
+def jsonl_append(spark, sf_dir):
+    """Two writes to one dataset; each reports its own row count."""
+    folder, docs = f"{_work_folder(spark)}/docs", _documents(spark, sf_dir)
+    first = S.write_jsonl(docs.where("doc_id % 3 = 0"), folder)
+    more = S.append_jsonl(docs.where("doc_id % 3 <> 0"), folder)
+    stored = S.read_jsonl(spark, folder, _DOCS).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return stored.withColumns({"first_rows": F.lit(first).cast("bigint"), "more_rows": F.lit(more).cast("bigint")})
+
+
+@query(
+    "landed_copy",
+    "SELECT doc_id, source, (SELECT count(*) FROM documents) AS landed, (SELECT count(*) FROM documents) AS counted FROM documents",
+)
+def landed_copy(spark, sf_dir):
+    """A raw dataset with blank lines of any kind, landed without them and counted."""
+    folder = _work_folder(spark)
+    line = F.to_json(F.struct("doc_id", "source"))
+    blank = F.when(F.col("doc_id") % 4 == 0, F.array(line, F.lit(" \t"), F.lit(""))).otherwise(F.array(line))
+    _documents(spark, sf_dir).select(F.explode(blank).alias("value")).write.text(f"{folder}/raw")
+    landed = S.land_raw(spark, f"{folder}/raw", f"{folder}/landed")
+    counted = S.count_lines(spark, f"{folder}/landed")
+    rows = S.read_jsonl(spark, f"{folder}/landed", "doc_id bigint, source string")
+    return rows.withColumns({"landed": F.lit(landed).cast("bigint"), "counted": F.lit(counted).cast("bigint")})
+
+
+@query("torn_lines", "SELECT doc_id, lang FROM documents WHERE doc_id % 10 <> 0")
+def torn_lines(spark, sf_dir):
+    """A file still being written: every tenth line is torn off."""
+    folder = f"{_work_folder(spark)}/docs"
+    line = F.to_json(F.struct("doc_id", "lang"))
+    _documents(spark, sf_dir).select(F.when(F.col("doc_id") % 10 == 0, F.left(line, F.lit(9))).otherwise(line).alias("value")).write.text(folder)
+    return S.read_growing(spark, folder, "doc_id bigint, lang string")
+
+
+@query(
+    "tagged_scan",
+    """SELECT 'run' || (doc_id % 3) AS run_id, CASE doc_id % 3 WHEN 0 THEN 'ja' WHEN 1 THEN 'jb' END AS judge, lang, count(*) AS n FROM documents GROUP BY ALL""",
+)
+def tagged_scan(spark, sf_dir):
+    """One scan over three run folders; a run without tags reads null."""
+    folder, docs = _work_folder(spark), _documents(spark, sf_dir)
+    for i in range(3):
+        S.write_jsonl(docs.where(F.col("doc_id") % 3 == i).select("doc_id", "lang"), f"{folder}/run{i}")
+    tags = {"run0": {"judge": "ja"}, "run1": {"judge": "jb"}}
+    rows = S.read_tagged(spark, [f"{folder}/run{i}" for i in range(3)], "doc_id bigint, lang string", tags)
+    return rows.groupBy("run_id", "judge", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- streams ----------------------------------------------------------------------------------
 
 

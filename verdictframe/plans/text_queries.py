@@ -106,7 +106,7 @@ REASONS = [
 
 
 def _reason_case() -> str:
-    arms = " ".join(f"WHEN contains(lower(r), '{k}') THEN '{v}'" for k, v in X.REASON_KEYWORDS)
+    arms = " ".join(f"WHEN contains(lower(r), '{k}') THEN '{v}'" for v, k in X.REASON_KEYWORDS)
     return f"CASE {arms} ELSE 'other' END"
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdictframe.functions.text import normalize
 from verdictframe.operators import assignment as A
 from verdictframe.operators import history as H
 from verdictframe.operators import review as R
@@ -464,7 +463,7 @@ def review_join(spark, sf_dir):
 
 
 QUEUE_SQL = f"""WITH c AS ({CASES_SQL}), v AS (SELECT * FROM c WHERE is_validated),
-e AS (SELECT 'g' || (item_id % 3) || '_on_g' || (item_id % 2) AS cell, trim(left({T.norm_sql('text')}, (item_id % 50 + 2)::int)) AS wq FROM benchmark),
+e AS (SELECT 'g' || (item_id % 3) || '_on_g' || (item_id % 2) AS cell, {T.norm_sql('text')} AS wq FROM benchmark),
 x AS (SELECT DISTINCT case_id FROM (SELECT case_id, judge || '_on_' || generator AS cell, {T.norm_sql('question')} AS cq FROM c) JOIN e USING (cell)
   WHERE starts_with(cq, wq) OR starts_with(wq, cq)),
 f AS (SELECT case_id, generator FROM v WHERE category = 'apparent_fp' AND same_deployment),
@@ -487,7 +486,7 @@ def review_queue(spark, sf_dir):
     cases = review_case_rows(spark, sf_dir)
     examples = T.table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("g"), (F.col("item_id") % 3).cast("string"), F.lit("_on_g"), (F.col("item_id") % 2).cast("string")).alias("cell"),
-        F.left(normalize("text"), (F.col("item_id") % 50 + 2).cast("int")).alias("question"),
+        F.col("text").alias("question"),
     )
     queue = R.build_queue(cases, examples, SEED).join(cases.drop("question"), "case_id")
     return R.order_queue(queue, T.JUDGES, T.JUDGES).select("case_id", "subset", "priority", "paper_example")

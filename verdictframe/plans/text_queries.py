@@ -437,15 +437,15 @@ def review_cases(spark, sf_dir):
 
 @query(
     "example_match",
-    f"""WITH e AS (SELECT 'c' || (item_id % 4) AS cell, left({norm('text')}, (item_id % 50 + 2)::int) AS wq FROM benchmark),
+    f"""WITH e AS (SELECT 'c' || (item_id % 4) AS cell, {norm('text')} AS wq FROM benchmark),
 c AS (SELECT doc_id AS case_id, 'c' || (doc_id % 4) AS cell, {norm('text')} AS cq FROM documents)
 SELECT DISTINCT case_id FROM c JOIN (SELECT cell, trim(wq) AS wq FROM e) USING (cell) WHERE starts_with(cq, wq) OR starts_with(wq, cq)""",
 )
 def example_match(spark, sf_dir):
-    """Cases match the shortened question of an example; shortening is what examples look like."""
+    """Cases whose question begins with an example's whole question, or is the beginning of it."""
     examples = T.table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("c"), (F.col("item_id") % 4).cast("string")).alias("cell"),
-        F.left(X.normalize("text"), (F.col("item_id") % 50 + 2).cast("int")).alias("question"),
+        F.col("text").alias("question"),
     )
     cases = T.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("case_id"), F.concat(F.lit("c"), (F.col("doc_id") % 4).cast("string")).alias("cell"),

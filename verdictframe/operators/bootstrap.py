@@ -293,16 +293,27 @@ def rule_of_three(none: Column, every: Column, n: Column, low: Column, high: Col
     )
 
 
+_DRAWS_AT_ONCE = 4_000_000  # numbers of one block of replicates
+
+
 def _rate_kernel(n_boot: int, seed: int):
-    """A group holds one row per distinct (events, verdicts) pair of an answer, so it stays tiny."""
+    """A group holds one row per distinct (events, verdicts) pair of an answer.
+
+    Replicates are drawn a few at a time, the same ones as at once, so memory follows the pairs only.
+    """
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["num", "den"])
         mult = pdf["mult"].to_numpy(dtype=np.int64)
         total = int(mult.sum())
         rng = np.random.default_rng([seed, *key[0].encode()])
-        draws = rng.multinomial(total, mult / total, size=n_boot).astype(np.float64)
-        reps = draws @ pdf["num"].to_numpy(float) / (draws @ pdf["den"].to_numpy(float))
+        num, den = pdf["num"].to_numpy(float), pdf["den"].to_numpy(float)
+        step = max(1, _DRAWS_AT_ONCE // len(mult))
+        parts = []
+        for at in range(0, n_boot, step):
+            draws = rng.multinomial(total, mult / total, size=min(step, n_boot - at)).astype(np.float64)
+            parts.append(draws @ num / (draws @ den))
+        reps = np.concatenate(parts)
         lo, hi = np.percentile(100.0 * reps, [2.5, 97.5])
         return pd.DataFrame({"grp": [key[0]], "lo": [lo], "hi": [hi]})
 

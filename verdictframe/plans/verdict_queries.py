@@ -333,19 +333,20 @@ def headline_ci(spark, sf_dir):
 
 @query(
     "rate_ci_rule_of_three",
-    f"""WITH v AS ({T.DOC_VERDICTS}), r AS (SELECT judge, generator, lang, pred FROM (SELECT *, behavior AS lang FROM v) WHERE gold),
-t AS (SELECT judge, generator, lang, count(*) AS n, count(*) FILTER (pred) AS events FROM r GROUP BY ALL)
-SELECT judge, generator, lang, n, events, round(1e2 * events / n, 6) AS point,
+    f"""WITH v AS ({T.DOC_VERDICTS}), r AS (SELECT judge, generator, lang, pred, core_id FROM (SELECT *, behavior AS lang FROM v) WHERE gold),
+t AS (SELECT judge, generator, lang, count(*) AS n, count(*) FILTER (pred) AS events, count(DISTINCT core_id) AS clusters FROM r GROUP BY ALL)
+SELECT judge, generator, lang, n, events, clusters, true AS in_order, round(1e2 * events / n, 6) AS point,
   CASE WHEN events = n AND events > 0 THEN round(1e2 - 3e2 / n, 6) END AS all_event_low,
   CASE WHEN events = 0 THEN round(3e2 / n, 6) END AS no_event_high FROM t""",
 )
 def rate_ci(spark, sf_dir):
-    """Collapsed intervals only; the resampled side of the others is random and left out here."""
+    """Bounds of collapsed intervals exactly; of the resampled ones, that they stand around the point."""
     rows = T.doc_verdicts(spark, sf_dir).withColumnRenamed("behavior", "lang").where("gold")
-    out = B.rate_interval(rows, ["judge", "generator", "lang"], ["core_id"], "pred", n_boot=2000)
+    out = B.rate_interval(rows, ["judge", "generator", "lang"], ["core_id"], "pred")
     none, every = F.col("events") == 0, F.col("events") == F.col("n")
+    around = (F.col("ci_low") <= F.col("point") + 1e-9) & (F.col("point") <= F.col("ci_high") + 1e-9)
     return out.select(
-        "judge", "generator", "lang", "n", "events", rounded("point").alias("point"),
+        "judge", "generator", "lang", "n", "events", "clusters", around.alias("in_order"), rounded("point").alias("point"),
         F.when(every & ~none, rounded("ci_low")).alias("all_event_low"),
         F.when(none, rounded("ci_high")).alias("no_event_high"),
     )

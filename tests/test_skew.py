@@ -60,9 +60,9 @@ def test_a_common_value_is_split(spark, hot, monkeypatch):
     seen = {}
     inner = ranking._bucket_rank
 
-    def spy(df, *args):
+    def spy(df, *args, **more):
         seen["largest"] = df.groupBy("_bucket").count().agg(F.max("count")).first()[0]
-        return inner(df, *args)
+        return inner(df, *args, **more)
 
     monkeypatch.setattr(ranking, "_bucket_rank", spy)
     df = hot.withColumn("v", F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 2 == 0, 500).otherwise(F.col("v")))
@@ -70,6 +70,20 @@ def test_a_common_value_is_split(spark, hot, monkeypatch):
     assert seen["largest"] < 0.01 * N
 
 
+@pytest.mark.parametrize("groups", [[], ["k"]])
+def test_buckets_grow_in_number(spark, hot, groups, monkeypatch):
+    """With room for a few rows a bucket there are more of them, inside common values too; ranks stay exact."""
+    df = hot.withColumn("v", F.when(F.col("id") % 11 != 0, F.when(F.col("v") < 400, 7).otherwise(F.col("v"))))
+    want = plain_ranks(df.withColumn("h", ranking.hash_order("", "id")), groups, ["v", "h"]).select("id", "want")
+    got = ranking.rank_by_value(df, groups, "v", ["id"], "r", rows_per_bucket=20)
+    assert got.join(want, "id").where("r <> want").count() == 0 and got.count() == N
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 10)
+    hashed = df.withColumn("h", ranking.hash_order(3, "id"))
+    assert hashed.groupBy(ranking._hash_bucket(df, F.col("h"))).count().agg(F.max("count")).first()[0] < 40
+    want = plain_ranks(hashed, groups, ["h"]).select("id", "want")
+    assert ranking.rank_by_hash(df, groups, 3, ["id"], "r").join(want, "id").where("r <> want").count() == 0
+
+
 def test_null_groups(spark):
     df = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"))
     got = ranking.rank_by_hash(df, ["k"], 1, ["id"], "r")

@@ -6,6 +6,8 @@ A plain ``row_number`` window puts a group into one task. Two ways around that a
   input partition before the shuffle (WindowGroupLimit), so a hot group shrinks at once;
 * any other rank: rows are split into ordered buckets, bucket counts give each bucket's offset,
   and ``row_number`` runs inside (group, bucket). The sum of both is the exact rank.
+
+There are 256 buckets a group at least, and as many more as the table's row count asks for.
 """
 
 from __future__ import annotations
@@ -18,12 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HASH_BITS = 60
+FAN_BITS = 8
+ROWS_PER_BUCKET = 1 << 20  # buckets grow in number, not in size
 SMALL_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 
 
 def hash_order(seed: int | str, *columns: Column | str) -> Column:
     """Uniform 60-bit order key from md5, the same for any partitioning and engine."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[_c(c).cast("string") for c in columns]))
+    return hash_order_of(F.md5(F.concat_ws(":", F.lit(str(seed)), *[_c(c).cast("string") for c in columns])))
+
+
+def hash_order_of(digest: Column) -> Column:
+    """The first 60 bits of a hexadecimal digest as a number."""
     return F.conv(F.left(digest, F.lit(HASH_BITS // 4)), 16, 10).cast("bigint")
 
 
@@ -34,15 +42,14 @@ def rank_by_hash(
     ids: Sequence[str],
     out: str = "rank",
     limit: int | None = None,
-    fan_bits: int = 8,
 ) -> DataFrame:
     """Seeded random rank 1..n inside each group; with ``limit`` only ranks up to it are kept."""
     key = "_order"
     keyed = df.withColumn(key, hash_order(seed, *ids))
     if limit is not None and limit <= SMALL_LIMIT:
         return _plain_rank(keyed, groups, [key, *ids], out, limit).drop(key)
-    bucketed = keyed.withColumn("_bucket", F.shiftright(F.col(key), HASH_BITS - fan_bits))
-    return _bucket_rank(bucketed, groups, [key, *ids], out, limit, 1 << fan_bits).drop(key, "_bucket")
+    bucketed = keyed.withColumn("_bucket", _hash_bucket(df, F.col(key)))
+    return _bucket_rank(bucketed, groups, [key, *ids], out, limit).drop(key, "_bucket")
 
 
 def take_quota(
@@ -51,7 +58,6 @@ def take_quota(
     quota: DataFrame,
     seed: int | str,
     ids: Sequence[str],
-    fan_bits: int = 8,
 ) -> DataFrame:
     """The first ``_quota`` rows of each group in hash order; ``quota`` holds groups and ``_quota``.
 
@@ -59,8 +65,8 @@ def take_quota(
     """
     key = "_order"
     keyed = df.withColumn(key, hash_order(seed, *ids))
-    bucketed = keyed.withColumn("_bucket", F.shiftright(F.col(key), HASH_BITS - fan_bits))
-    ranked = _bucket_rank(bucketed, groups, [key, *ids], "_rank", None, 1 << fan_bits, quota)
+    bucketed = keyed.withColumn("_bucket", _hash_bucket(df, F.col(key)))
+    ranked = _bucket_rank(bucketed, groups, [key, *ids], "_rank", None, quota)
     return ranked.where(F.col("_rank") <= F.col("_quota")).drop(key, "_bucket", "_rank", "_quota")
 
 
@@ -71,33 +77,58 @@ def rank_by_value(
     ties: Sequence[str] = (),
     out: str = "rank",
     limit: int | None = None,
-    fan_bits: int = 8,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Rank 1..n by a numeric column, nulls first, equal values in hash order of ``ties``.
 
     Buckets follow the quantiles of the column, so any distribution splits. A value so common that
-    it is a quantile itself (or null) splits further by the tie hash. Without ``ties`` the column
-    should be unique.
+    it is a quantile itself (or null) splits further by the tie hash. The table is counted first: where
+    256 buckets would hold more than ``rows_per_bucket`` rows, each is split by its own quantiles in the
+    same way, as often as it takes. Without ``ties`` the column should be unique.
     """
     tie = "_tie"
     keyed = df.withColumn(tie, hash_order("", *ties) if ties else F.lit(0).cast("bigint"))
     sorting = [order, tie, *ties]
     if limit is not None and limit <= SMALL_LIMIT:
         return _plain_rank(keyed, groups, sorting, out, limit).drop(tie)
-    fan = 1 << fan_bits
+    most = min(HASH_BITS // FAN_BITS, 1 + _bits_beyond(df.count(), rows_per_bucket) // FAN_BITS)
+    buckets: list[str] = []
+    for level in range(most):
+        name = f"_bucket{level or ''}"
+        keyed = _split_by_value(keyed, [*groups, *buckets], order, tie, level, name)
+        buckets.append(name)
+    return _bucket_rank(keyed, groups, sorting, out, limit, buckets=buckets).drop(tie, *buckets)
+
+
+def _split_by_value(df, groups, order, tie, level, out):
+    """Ordered buckets inside ``groups`` by quantiles of ``order``; a common value splits by leading tie bits."""
+    fan = 1 << FAN_BITS
     quantiles = F.percentile_approx(F.col(order), [i / fan for i in range(1, fan)], 10 * fan).alias("_cuts")
     if groups:
-        with_cuts = _null_safe_join(keyed, df.groupBy(*groups).agg(quantiles), groups, "left")
+        with_cuts = _null_safe_join(df, df.groupBy(*groups).agg(quantiles), groups, "left")
     else:
-        with_cuts = keyed.withColumn("_cuts", df.agg(quantiles).scalar())
-    below = _cuts_below(F.col("_cuts"), F.col(order), fan_bits)
+        with_cuts = df.withColumn("_cuts", df.agg(quantiles).scalar())
+    below = _cuts_below(F.col("_cuts"), F.col(order), FAN_BITS)
     placed = with_cuts.withColumn("_below", below).withColumn(
         "_same", F.col(order).isNull() | F.coalesce(F.get("_cuts", F.col("_below")) == F.col(order), F.lit(False))
     )
     place = F.when(F.col(order).isNull(), 0).otherwise(1 + 2 * F.col("_below") + F.col("_same").cast("int"))
-    split = F.when(F.col("_same"), F.shiftright(F.col(tie), HASH_BITS - fan_bits)).otherwise(0)
-    bucketed = placed.withColumn("_bucket", place * fan + split).drop("_cuts", "_below", "_same")
-    return _bucket_rank(bucketed, groups, sorting, out, limit, 2 * (fan + 1) * fan).drop(tie, "_bucket")
+    bits = FAN_BITS * (level + 1)  # all leading bits: the outer split need not have used them
+    split = F.when(F.col("_same"), F.shiftright(F.col(tie), HASH_BITS - bits)).otherwise(0)
+    number = place.cast("bigint") * (1 << bits) + split if bits < 48 else F.struct(place, split)
+    return placed.withColumn(out, number).drop("_cuts", "_below", "_same")
+
+
+def _bits_beyond(rows: int, per_bucket: int) -> int:
+    """How many bits more than ``FAN_BITS`` it takes to give a bucket about ``per_bucket`` rows."""
+    return max(0, (-(-rows // per_bucket) - 1).bit_length() - FAN_BITS)
+
+
+def _hash_bucket(df: DataFrame, order: Column) -> Column:
+    """Leading bits of a hash order, as many as the row count of ``df`` asks for; the count is a scalar subquery."""
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    bits = F.greatest(F.lit(FAN_BITS), F.ceil(F.log2(F.greatest(F.lit(1), rows) / ROWS_PER_BUCKET))).cast("int")
+    return F.call_function("shiftright", order, F.lit(HASH_BITS) - bits)
 
 
 def first_by_value(
@@ -111,18 +142,16 @@ def first_by_value(
     return ranked.where(F.col("_rank") > offset).drop("_rank")
 
 
-def dense_index(df: DataFrame, key: str, out: str = "idx", fan_bits: int = 8) -> DataFrame:
-    """Index 0..n-1 over distinct keys, in the order of (md5 prefix, key)."""
-    digits = fan_bits // 4
-    bucket = F.conv(F.left(F.md5(F.col(key).cast("string")), F.lit(digits)), 16, 10).cast("int")
-    ranked = _bucket_rank(df.withColumn("_bucket", bucket), [], [key], out, None, 1 << fan_bits)
-    return ranked.withColumn(out, F.col(out) - 1).drop("_bucket")
+def dense_index(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
+    """Index 0..n-1 over distinct keys, in the order of (md5, key)."""
+    ranked = rank_hashed(df.withColumn("_md5", hash_order_of(F.md5(F.col(key).cast("string")))), "_md5", out, [key])
+    return ranked.withColumn(out, F.col(out) - 1).drop("_md5")
 
 
-def rank_hashed(df: DataFrame, order: str, out: str = "rank", fan_bits: int = 8) -> DataFrame:
+def rank_hashed(df: DataFrame, order: str, out: str = "rank", ties: Sequence[str] = ()) -> DataFrame:
     """Rank 1..n of a whole table by a column that already is a ``hash_order``."""
-    bucketed = df.withColumn("_bucket", F.shiftright(F.col(order), HASH_BITS - fan_bits))
-    return _bucket_rank(bucketed, [], [order], out, None, 1 << fan_bits).drop("_bucket")
+    bucketed = df.withColumn("_bucket", _hash_bucket(df, F.col(order)))
+    return _bucket_rank(bucketed, [], [order, *ties], out, None).drop("_bucket")
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -152,29 +181,30 @@ def _plain_rank(df, groups, order, out, limit):
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= limit)
 
 
-def _bucket_rank(df, groups, order, out, limit, fan, quota=None):
-    keys = [*groups, "_bucket"]
+def _bucket_rank(df, groups, order, out, limit, quota=None, buckets=("_bucket",)):
+    keys = [*groups, *buckets]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     if limit is not None:
         offsets = offsets.where(F.col("_offset") < limit)
     if quota is not None:
         offsets = _null_safe_join(offsets, quota, groups, "inner").where(F.col("_offset") < F.col("_quota"))
-    # without groups there are at most ``fan`` offsets, 130,000 or so; with groups Spark decides by size
-    joined = _null_safe_join(df, offsets if groups else F.broadcast(offsets), keys, "inner")
+    joined = _null_safe_join(df, offsets, groups, "inner", buckets)
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = joined.withColumn(out, F.col("_offset") + F.row_number().over(window)).drop("_offset")
     return ranked.where(F.col(out) <= limit) if limit is not None else ranked
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def _null_safe_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, never_null: Sequence[str] = ()
+) -> DataFrame:
     """Equi join in which null keys match each other; keeps the left key columns."""
     renamed = right
-    for k in keys:
+    for k in [*keys, *never_null]:
         renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(k) == F.col(f"_r_{k}") for k in never_null]
+    return left.join(renamed, reduce(lambda a, b: a & b, same), how).drop(*[f"_r_{k}" for k in [*keys, *never_null]])
 
 
 null_safe_join = _null_safe_join

@@ -176,7 +176,7 @@ def rank_by_skewed_value(spark, sf_dir):
     )
 
 
-@query("dense_index", "SELECT o_orderkey, row_number() OVER (ORDER BY ('0x' || left(md5(o_orderkey::varchar), 2))::bigint, o_orderkey) - 1 AS idx FROM orders")
+@query("dense_index", "SELECT o_orderkey, row_number() OVER (ORDER BY left(md5(o_orderkey::varchar), 15), o_orderkey) - 1 AS idx FROM orders")
 def dense(spark, sf_dir):
     return dense_index(T.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 

@@ -234,7 +234,7 @@ N_DRAWS, DRAW_SEED = 200, 20260627
 @query(
     "bootstrap_ci",
     STATS_SQL
-    + f""", i AS (SELECT *, row_number() OVER (ORDER BY ('0x' || left(md5(core_id::varchar), 2))::bigint, core_id) - 1 AS idx FROM s),
+    + f""", i AS (SELECT *, row_number() OVER (ORDER BY left(md5(core_id::varchar), 15), core_id) - 1 AS idx FROM s),
 n AS (SELECT count(*) AS n FROM s),
 d AS (SELECT b, ('0x' || left(md5(concat_ws(':', '{DRAW_SEED}', b, idx)), 8))::bigint % n AS hit FROM i, n, range({N_DRAWS}) r(b)),
 r AS (SELECT b, sum(num) / sum(den) AS rep, sum(den) AS total FROM d JOIN i ON hit = i.idx GROUP BY b),

@@ -6,10 +6,10 @@ Three methods, cheapest first for large tables:
     Exact multinomial resampling. Clusters with equal sufficient statistics are interchangeable,
     so the number of draws that hit each *distinct* statistics vector is again multinomial, with
     the vector's multiplicity as weight. The vectors are counted in one aggregate, split by hash
-    into buckets, and each bucket draws its own part: bucket totals are multinomial over bucket
-    sizes (every task derives the same totals from the seed), and inside a bucket the draws are
-    multinomial over its vectors. Work is replicates x distinct vectors, and a task only sees its
-    bucket.
+    into buckets, and each bucket draws its own part: a binary tree over the buckets halves the
+    draws of a replicate at each node by a binomial whose seed is the node's, so a task only walks
+    its own path; inside a bucket the draws are multinomial over its vectors. Work is replicates x
+    distinct vectors, and a task holds one bucket at a time, however many there are.
 ``hashed_draws``
     Exact multinomial resampling with one row per draw, each a pure function of (seed, replicate,
     draw). Work is replicates x clusters; use it when a run must be repeatable in another engine.
@@ -24,6 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,6 @@ from verdictframe.session import checkpointed
 
 _BLOCK_CELLS = 2_000_000  # weight-matrix cells held at once by a task
 _VECTORS_PER_BUCKET = 4096
-_MAX_BUCKETS = 1024
 _BROADCAST_CLUSTERS = 1_000_000  # 24 bytes each
 
 
@@ -79,13 +79,14 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Point and percentile interval of sum(num)/sum(den) per stratum over the population's clusters.
 
-    All strata share the draws; strata come back as text.
+    All strata share the draws; strata come back as text. ``n_clusters`` counts the clusters that have
+    rows in a stratum, ``se`` is the normal approximation's standard error of the point.
 
     The vector table is checkpointed: it is counted to choose the number of buckets, then read for
-    the bucket sizes (at most ``_MAX_BUCKETS`` numbers, which go to every task) and for the draws.
+    the bucket sizes (one number for every ``_VECTORS_PER_BUCKET`` vectors, broadcast) and the draws.
     """
     vectors = checkpointed(statistic_vectors(stats, by, cluster, population))
-    buckets = buckets or min(_MAX_BUCKETS, max(8, -(-vectors.count() // _VECTORS_PER_BUCKET)))
+    buckets = buckets or max(8, -(-vectors.count() // _VECTORS_PER_BUCKET))
     key = F.to_json("vec")
     shipped = vectors.select(
         F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"),
@@ -95,11 +96,15 @@ def cluster_bootstrap(
         F.col("vec.num").alias("num"),
         F.col("vec.den").alias("den"),
     )
-    sizes = {r["bucket"]: r["size"] for r in shipped.groupBy("bucket").agg(F.sum("mult").alias("size")).collect()}
-    # a fixed partition count: the table is small in bytes but each bucket is a lot of work
-    spread = shipped.repartition(buckets, "bucket")
+    sizes = np.zeros(buckets, dtype=np.int64)
+    for r in shipped.groupBy("bucket").agg(F.sum("mult").alias("size")).collect():
+        sizes[r["bucket"]] = r["size"]
+    shared = stats.sparkSession.sparkContext.broadcast(sizes)
+    # a fixed partition count: the table is small in bytes but each bucket is a lot of work; the partial
+    # sums below combine the buckets of a partition before they are shuffled
+    spread = shipped.repartition(min(buckets, 4 * _tasks(stats)), "bucket")
     parts = spread.groupBy("bucket").applyInPandas(
-        _bucket_kernel(n_boot, seed, dict(sorted(sizes.items()))), "s string, b int, num double, den double"
+        _bucket_kernel(n_boot, seed, shared), "s string, b int, num double, den double"
     )
     sums = parts.groupBy("s", "b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     reps = sums.where(F.col("den") > 0).select("s", (F.col("num") / F.col("den")).alias("rep"))
@@ -107,26 +112,64 @@ def cluster_bootstrap(
     point = _points(vectors, scale)
     names = F.split(F.col("s"), "\u001f")
     return point.join(interval, "s", "left").select(
-        *[names[i].alias(c) for i, c in enumerate(by)], "n", "point", "ci_low", "ci_high", "replicates"
+        *[names[i].alias(c) for i, c in enumerate(by)],
+        "n", "n_clusters", "point", "se", "ci_low", "ci_high", "replicates",
     )
 
 
 def _points(vectors: DataFrame, scale: float) -> DataFrame:
-    """The estimate itself, from the distinct vectors and how often each occurs."""
-    entries = vectors.select("mult", F.explode("vec").alias("e"))
-    num, den = F.sum(F.col("mult") * F.col("e.num")), F.sum(F.col("mult") * F.col("e.den"))
-    return entries.groupBy(F.col("e.s").alias("s")).agg(den.cast("bigint").alias("n"), (scale * num / den).alias("point"))
+    """The estimate itself and its linearised standard error, from the distinct vectors and their counts."""
+    entries = vectors.select("mult", F.explode("vec").alias("e")).select("mult", "e.s", "e.num", "e.den")
+    m, num, den = F.col("mult"), F.col("num"), F.col("den")
+    sums = entries.groupBy("s").agg(
+        F.sum(F.when(den > 0, m)).alias("n_clusters"),
+        F.sum(m * num).alias("x"),
+        F.sum(m * den).alias("y"),
+        F.sum(m * num * num).alias("xx"),
+        F.sum(m * num * den).alias("xy"),
+        F.sum(m * den * den).alias("yy"),
+    )
+    rate = F.col("x") / F.col("y")
+    spread = F.greatest(F.lit(0.0), F.col("xx") - 2 * rate * F.col("xy") + rate * rate * F.col("yy"))
+    return sums.select(
+        "s",
+        F.col("y").cast("bigint").alias("n"),
+        "n_clusters",
+        (scale * rate).alias("point"),
+        (scale * F.sqrt(spread) / F.col("y")).alias("se"),
+    )
+
+
+def near_normal(band: float = 0.15, low: str = "ci_low", high: str = "ci_high") -> Column:
+    """Whether both bounds are within ``band`` of the width of point +- 1.96 se; a zero se asks for equality."""
+    half = 1.96 * F.col("se")
+    room = 2 * band * half + 1e-9
+    off = F.greatest(F.abs(F.col(low) - F.col("point") + half), F.abs(F.col(high) - F.col("point") - half))
+    return F.coalesce(off <= room, F.lit(False))
+
+
+def _path_totals(sizes: np.ndarray, bucket: int, n_boot: int, seed: int) -> np.ndarray:
+    """Draws that fall to one bucket in each replicate, as every task would compute them."""
+    before = np.r_[0, np.cumsum(sizes)]
+    totals = np.full(n_boot, before[-1])
+    low, high = 0, len(sizes)
+    while high - low > 1:
+        middle = (low + high) // 2
+        whole, left = before[high] - before[low], before[middle] - before[low]
+        rng = np.random.default_rng([seed, 0, low, high])
+        first = rng.binomial(totals, left / whole if whole else 0.0)
+        if bucket < middle:
+            totals, high = first, middle
+        else:
+            totals, low = totals - first, middle
+    return totals
 
 
-def _bucket_kernel(n_boot: int, seed: int, sizes: dict[int, int]):
+def _bucket_kernel(n_boot: int, seed: int, sizes: Broadcast):
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
         bucket = int(key[0])
-        size = np.array(list(sizes.values()), dtype=np.int64)
-        total = int(size.sum())
-        where = list(sizes).index(bucket)
-        # the same seed in every task gives every bucket its part of one joint split
-        split = np.random.default_rng([seed, 0]).multinomial(total, size / total, size=n_boot)[:, where]
+        split = _path_totals(sizes.value, bucket, n_boot, seed)
 
         strata = sorted({s for names in pdf["s"] for s in names})
         if not strata:  # only clusters without rows: they take draws but add nothing

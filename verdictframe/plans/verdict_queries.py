@@ -228,24 +228,21 @@ def cluster_stats(spark, sf_dir):
     return round_columns(_gold_stats(spark, sf_dir), "num")
 
 
-N_DRAWS, DRAW_SEED = 200, 20260627
+N_DRAWS, DRAW_SEED = 10_000, 20260627
+SUPPLIER_SQL = ANSWERS_SQL + """, pop AS (SELECT DISTINCT l_suppkey FROM v),
+s AS (SELECT l_suppkey, coalesce(sum(delta) FILTER (usable AND gold), 0) AS num,
+  count(*) FILTER (usable AND gold) AS den FROM pop LEFT JOIN u USING (l_suppkey) GROUP BY l_suppkey)"""
+INTERVAL_SQL = """SELECT (SELECT sum(den)::bigint FROM s) AS n, round((SELECT 100 * sum(num) / sum(den) FROM s), 6) AS point,
+  round(100 * quantile_cont(rep, 0.025), 6) AS ci_low, round(100 * quantile_cont(rep, 0.975), 6) AS ci_high, count(*) AS replicates,
+  quantile_cont(rep, 0.025) <= 0 AND quantile_cont(rep, 0.975) >= 0 AS covers_zero FROM r WHERE total > 0"""
 
 
-@query(
-    "bootstrap_ci",
-    STATS_SQL
-    + f""", i AS (SELECT *, row_number() OVER (ORDER BY left(md5(core_id::varchar), 15), core_id) - 1 AS idx FROM s),
-n AS (SELECT count(*) AS n FROM s),
-d AS (SELECT b, ('0x' || left(md5(concat_ws(':', '{DRAW_SEED}', b, idx)), 8))::bigint % n AS hit FROM i, n, range({N_DRAWS}) r(b)),
-r AS (SELECT b, sum(num) / sum(den) AS rep, sum(den) AS total FROM d JOIN i ON hit = i.idx GROUP BY b),
-ci AS (SELECT 100 * quantile_cont(rep, 0.025) AS lo, 100 * quantile_cont(rep, 0.975) AS hi, count(*) AS replicates FROM r WHERE total > 0)
-SELECT (SELECT sum(den)::bigint FROM s) AS n, round((SELECT 100 * sum(num) / sum(den) FROM s), 6) AS point,
-  round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, replicates, lo <= 0 AND hi >= 0 AS covers_zero FROM ci""",
-)
-def bootstrap_ci(spark, sf_dir):
-    """The whole population, 200 replicates; draws are hashes, so SQL can repeat them."""
-    stats = checkpointed(_gold_stats(spark, sf_dir))
-    reps = B.hashed_draws(stats, "core_id", N_DRAWS, DRAW_SEED)
+def _supplier_stats(spark, sf_dir):
+    answers = _answers(spark, sf_dir)
+    return checkpointed(P.cluster_stats(answers.where("gold"), "l_suppkey", T.verdicts(spark, sf_dir)))
+
+
+def _interval(stats, reps):
     usable = reps.where(F.col("den") > 0).select((F.col("num") / F.col("den")).alias("rep"))
     interval = B.percentile_interval(usable, [])
     point = stats.agg(F.sum("den").alias("n"), (100 * F.sum("num") / F.sum("den")).alias("point"))
@@ -257,24 +254,75 @@ def bootstrap_ci(spark, sf_dir):
     return round_columns(out, "point", "ci_low", "ci_high")
 
 
+@query(
+    "bootstrap_ci",
+    SUPPLIER_SQL
+    + f""", i AS (SELECT *, row_number() OVER (ORDER BY left(md5(l_suppkey::varchar), 15), l_suppkey) - 1 AS idx FROM s),
+n AS (SELECT count(*) AS n FROM s),
+d AS (SELECT b, ('0x' || left(md5(concat_ws(':', '{DRAW_SEED}', b, idx)), 8))::bigint % n AS hit FROM i, n, range({N_DRAWS}) r(b)),
+r AS (SELECT b, sum(num) / sum(den) AS rep, sum(den) AS total FROM d JOIN i ON hit = i.idx GROUP BY b) {INTERVAL_SQL}""",
+)
+def bootstrap_ci(spark, sf_dir):
+    """Suppliers as clusters; draws are hashes, so SQL can repeat them."""
+    stats = _supplier_stats(spark, sf_dir)
+    return _interval(stats, B.hashed_draws(stats, "l_suppkey", N_DRAWS, DRAW_SEED))
+
+
 def _weight_sql(u: str) -> str:
     return " + ".join(f"({u} >= {bound!r}::double)::int" for bound in B._POISSON_CDF)
 
 
-N_POISSON = 30
+@query(
+    "bootstrap_poisson",
+    SUPPLIER_SQL
+    + f""", w AS (SELECT b, num, den, ('0x' || left(md5(concat_ws(':', '{DRAW_SEED}', b, l_suppkey)), 15))::bigint / 1152921504606846976::double AS u
+  FROM s, range({N_DRAWS}) r(b)),
+x AS (SELECT b, num, den, {_weight_sql('u')} AS weight FROM w),
+r AS (SELECT b, sum(weight * num) / sum(weight * den) AS rep, sum(weight * den) AS total FROM x GROUP BY b) {INTERVAL_SQL}""",
+)
+def bootstrap_poisson(spark, sf_dir):
+    stats = _supplier_stats(spark, sf_dir)
+    return _interval(stats, B.poisson_bootstrap(stats, [], "l_suppkey", N_DRAWS, DRAW_SEED))
+
+
+def _checked(out):
+    """Random bounds as what SQL can vouch for: their order and their distance from the normal ones."""
+    low, high, point = F.col("ci_low"), F.col("ci_high"), F.col("point")
+    in_order = F.coalesce((low <= point + 1e-9) & (point <= high + 1e-9), F.lit(False))
+    # beside the point, a replicate is lost only if it draws no cluster with rows, which needs a handful of them
+    return out.withColumns({"in_order": in_order, "near_normal": (F.col("n_clusters") < 100) | B.near_normal()}).drop("ci_low", "ci_high", "se")
 
 
 @query(
-    "bootstrap_poisson",
+    "bootstrap_clusters",
     STATS_SQL
-    + f""", w AS (SELECT b, num, den, ('0x' || left(md5(concat_ws(':', '{DRAW_SEED}', b, core_id)), 15))::bigint / 1152921504606846976::double AS u
-  FROM s, range({N_POISSON}) r(b)),
-x AS (SELECT b, num, den, {_weight_sql('u')} AS weight FROM w)
-SELECT b::int AS b, sum(weight * den)::bigint AS den, round(100 * sum(weight * num) / sum(weight * den), 6) AS rep_pp FROM x GROUP BY b""",
+    + f""" SELECT 'all' AS grp, sum(den)::bigint AS n, count(*) FILTER (den > 0) AS n_clusters, round(100 * sum(num) / sum(den), 6) AS point,
+  {N_DRAWS} AS replicates, true AS in_order, true AS near_normal FROM s""",
 )
-def bootstrap_poisson(spark, sf_dir):
-    sums = B.poisson_bootstrap(_gold_stats(spark, sf_dir), [], "core_id", N_POISSON, DRAW_SEED)
-    return sums.select("b", "den", rounded(100 * F.col("num") / F.col("den")).alias("rep_pp"))
+def bootstrap_clusters(spark, sf_dir):
+    """Questions as clusters, multinomial draws; the bounds are held against the normal approximation."""
+    stats = checkpointed(_gold_stats(spark, sf_dir).withColumn("grp", F.lit("all")))
+    out = B.cluster_bootstrap(stats, ["grp"], "core_id", stats, N_DRAWS, DRAW_SEED)
+    return round_columns(_checked(out), "point")
+
+
+@query(
+    "paired_slices_ci",
+    ANSWERS_SQL
+    + f""", s(slice, label) AS (VALUES ('all', NULL), ('follow', 'context_follow'), ('follow_both', 'context_follow'),
+  ('follow_both', 'both_claims'), ('committed', 'context_follow'), ('committed', 'both_claims'), ('committed', 'memory_override')),
+x AS (SELECT slice, core_id, gold, delta FROM u JOIN s ON slice = 'all' OR behavior = label WHERE usable AND is_validated),
+y AS (SELECT slice, core_id, CASE WHEN gold THEN 'recall_delta' ELSE 'avoided_flag_delta' END AS metric, delta FROM x
+  UNION ALL SELECT slice, core_id, 'all_flag_delta', delta FROM x)
+SELECT slice, metric, count(*) AS n, count(DISTINCT core_id) AS n_clusters, round(100 * avg(delta), 6) AS point, {N_DRAWS} AS replicates,
+  true AS in_order, true AS near_normal FROM y GROUP BY slice, metric""",
+)
+def paired_slices_ci(spark, sf_dir):
+    """Overlapping slices share the draws over the questions that count as validated."""
+    answers = _answers(spark, sf_dir).where("is_validated")
+    stats = checkpointed(P.slice_stats(answers, "core_id", SLICES).withColumnRenamed("group", "slice"))
+    out = B.cluster_bootstrap(stats, ["slice", "metric"], "core_id", stats, N_DRAWS, DRAW_SEED)
+    return round_columns(_checked(out), "point")
 
 
 @query("bootstrap_blocks")

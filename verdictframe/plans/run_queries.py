@@ -271,6 +271,65 @@ def stream_usage_window(spark, sf_dir):
     return out.select(F.unix_seconds("w.start").alias("day"), *[c for c in out.columns if c != "w"])
 
 
+def _landed_events(spark, sf_dir, folder, copies=False):
+    """The events as a source of several files in event time, taken one a batch; every fifth comes again a file later."""
+    events = T.table(spark, sf_dir, "events").withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
+    cuts = events.approxQuantile("_t", [0.25, 0.5, 0.75], 0.001)
+    number = sum((F.col("_t") > F.lit(int(c))).cast("int") for c in cuts)
+    numbered = events.withColumn("_f", number)
+    if copies:
+        numbered = numbered.unionByName(numbered.where("event_id % 5 = 0").withColumn("_f", F.col("_f") + 1))
+    for f in range(len(cuts) + 1 + int(copies)):
+        numbered.where(F.col("_f") == f).drop("_f", "_t").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    schema = T.table(spark, sf_dir, "events").schema
+    return ST.trace_stream(spark, f"{folder}/landed", schema, "parquet", files_per_trigger=1)
+
+
+@query(
+    "stream_usage_closed",
+    f"""WITH t AS ({T.TRACES}) SELECT epoch(date_trunc('day', ts))::bigint AS day, model, count(*) AS calls, count(*) FILTER (error) AS errors, sum(input_tokens)::bigint AS input_tokens,
+  count(*) FILTER (input_tokens IS NULL) AS missing_input_usage, sum(latency_ms)::bigint AS sum_call_ms FROM t
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM t) - INTERVAL 10 MINUTE GROUP BY ALL""",
+)
+def stream_usage_closed(spark, sf_dir):
+    """Daily usage over several batches, appended to files as the watermark closes a day; state expires with it."""
+    folder = _work_folder(spark)
+    windows = ST.usage_windows(T.trace_columns(_landed_events(spark, sf_dir, folder)))
+    out = ST.run_to_files(windows, f"{folder}/usage", f"{folder}/checkpoint")
+    return out.select(F.unix_seconds("w.start").alias("day"), *[c for c in out.columns if c != "w"])
+
+
+@query(
+    "stream_dedup_batches",
+    f"SELECT model, count(*) AS events, sum(latency_ms)::bigint AS sum_call_ms FROM ({T.TRACES}) GROUP BY model",
+)
+def stream_dedup_batches(spark, sf_dir):
+    """Copies that arrive in a later batch than their event are not counted again."""
+    folder = _work_folder(spark)
+    stream = T.trace_columns(_landed_events(spark, sf_dir, folder, copies=True))
+    events = ST.run_to_files(ST.dedup_events(stream), f"{folder}/events", f"{folder}/checkpoint")
+    return events.groupBy("model").agg(F.count(F.lit(1)).alias("events"), F.sum("latency_ms").alias("sum_call_ms"))
+
+
+@query(
+    "stream_upsert_shared",
+    """SELECT user_id, count(*) AS rows, (SELECT count(DISTINCT user_id) FROM events WHERE event_id % 2 = 0) AS first_keys
+FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id""",
+)
+def stream_upsert_shared(spark, sf_dir):
+    """Two streams of several batches, one after the other, with checkpoints of their own and one target."""
+    folder = _work_folder(spark)
+    first_keys = None
+    for i, half in enumerate(("even", "odd")):
+        stream = _landed_events(spark, sf_dir, f"{folder}/{half}").where(F.col("event_id") % 2 == i).select("user_id", "event_type")
+        ST.upsert_steps(stream, f"{folder}/target", f"{folder}/checkpoint-{half}", ["user_id"]).start().awaitTermination()
+        if first_keys is None:
+            first_keys = spark.read.parquet(f"{folder}/target").count()
+    stored = spark.read.parquet(f"{folder}/target")
+    counted = stored.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.withColumn("first_keys", F.lit(first_keys).cast("bigint"))
+
+
 @query(
     "stream_dedup_count",
     f"SELECT model, count(*) AS events, sum(latency_ms)::bigint AS sum_call_ms FROM ({T.TRACES}) GROUP BY model",

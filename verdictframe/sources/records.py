@@ -121,13 +121,17 @@ def _joined(c: Column, separator: str) -> Column:
     return F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), separator), F.lit(""))
 
 
-def report_json(sections: Mapping[str, DataFrame]) -> DataFrame:
-    """One-row table with a JSON document; each section is an (aggregated) result table."""
+def report_json(sections: Mapping[str, DataFrame], most_rows: int = 10_000) -> DataFrame:
+    """One-row table with a JSON document; each section is an aggregated result table.
+
+    A section of more than ``most_rows`` rows is no report: it fails, and no more rows than that are gathered.
+    """
     parts = []
     for name, df in sections.items():
         rows = F.sort_array(F.collect_list(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
         text = F.concat(F.lit(f'"{name}":['), F.array_join(rows, ","), F.lit("]"))
-        parts.append(df.agg(text.alias("part")))
+        too_many = F.raise_error(F.lit(f"section {name} has more than {most_rows} rows")).cast("string")
+        parts.append(df.limit(most_rows + 1).agg(F.when(F.count(F.lit(1)) > most_rows, too_many).otherwise(text).alias("part")))
     union = parts[0]
     for p in parts[1:]:
         union = union.union(p)
@@ -174,7 +178,8 @@ def catalogue(rows: DataFrame, dataset: str, updated: str) -> DataFrame:
 def runs_with_steps(rows: DataFrame, run: str = "run_id", step: str = "step") -> DataFrame:
     """Runs, newest id first, with the steps present in step order."""
     order = F.array(*[F.lit(s) for s in STEP_ORDER])
-    present = rows.groupBy(run).agg(F.collect_set(step).alias("_s"))
+    known = F.when(F.col(step).isin(*STEP_ORDER), F.col(step))  # other names don't gather, their runs stay
+    present = rows.groupBy(run).agg(F.collect_set(known).alias("_s"))
     kept = F.filter(order, lambda s: F.array_contains("_s", s))
     return present.select(run, F.array_join(kept, ",").alias("steps_present")).orderBy(F.desc(run))
 

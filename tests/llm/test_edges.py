@@ -45,6 +45,20 @@ def test_line_runs_do_not_depend_on_batches(spark, sf_dir):
     assert one == many
 
 
+def test_hot_lines_change_the_plan_only(spark, monkeypatch):
+    rows = [(i, f"line that a third shares\nown line number {i}\npair line number {i // 2}", "en") if i % 3 == 0 else (i, f"pair line number {i // 2}\nown line number {i}", "en") for i in range(300)]
+    docs = frame(spark, rows).repartition(7)
+    hashes = linededup.line_hashes(docs.selectExpr("doc_id AS doc", "xxhash64(text) AS rk", "text"))
+    counts = {bytes(r.h): r["count"] for r in hashes.groupBy("h").count().collect()}
+    assert [counts[bytes(r.h)] for r in linededup.hot_hashes(hashes, share=0.1).collect()] == [100]
+    got = []
+    for share in (0.1, 0.002, 2.0):  # the shared line, all repeated lines, none
+        monkeypatch.setattr(linededup.hot_hashes, "__defaults__", (linededup.HOT_SAMPLE, share))
+        got.append({(r.doc_id, r.text, r._n_dropped) for r in linededup.dedup_lines(docs).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 300
+    assert sum(n for *_, n in got[0]) == 99 + 150
+
+
 def test_groups(spark):
     got = simhash.simhash_groups(frame(spark, ODD)).collect()
     by = {}

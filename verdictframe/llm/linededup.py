@@ -15,6 +15,8 @@ from verdictframe.session import checkpointed, ensure_checkpoint_dir
 
 #: Runs of one level that are merged into one of the next.
 FANOUT = 2
+#: Line occurrences that are looked at for hot lines, about, and the share of them from which a line is hot.
+HOT_SAMPLE, HOT_SHARE = 1_000_000, 1 / 1000
 _ROWS_AT_ONCE = 100_000
 
 
@@ -96,6 +98,18 @@ class Runs:
             run, level = self._write(_union(full)), level + 1
 
 
+def hot_hashes(hashes: DataFrame, sample: int = HOT_SAMPLE, share: float = HOT_SHARE) -> DataFrame:
+    """(h) of lines that make up at least ``share`` of a bounded sample: at most 1 / share rows, whatever the input.
+
+    Only the plan depends on which lines these are, never the result.
+    """
+    every = max(1, hashes.count() // sample)
+    some = hashes.where(F.pmod(F.xxhash64("doc", "rk"), F.lit(every)) == 0)
+    counts = checkpointed(some.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= max(2, share * total)).select("h")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:
@@ -114,8 +128,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text is one empty line. Rows that share an id are one document: none of them loses
     a line to another. Null ids come after all others and share one nameless document. Other columns
     stay as they are; columns of the two result names are replaced. An empty table gives no rows.
-    Hot lines shrink map side before the runs, and the join that finds their holders is split by
-    adaptive execution. A row gathers no more hashes than its own text has lines.
+    Hot lines shrink map side before the runs; their holders are found by a broadcast of the hot lines,
+    of which there are a thousand at most, those of all others by a shuffle. A row gathers no more
+    hashes than its own text has lines.
     """
     extra = {"_n_lines", "_n_dropped"}
     names = [c for c in docs.columns if c not in extra]
@@ -133,7 +148,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.add(runs.unseen(batch.groupBy("h").agg(F.min("doc").alias("first"))))
     seen = _union(runs.open())
     later = F.col("first").isNotNull() & (F.col("doc").isNull() | (F.col("doc") > F.col("first")))
-    lost = hashes.join(seen, "h").where(later).groupBy("doc", "rk").agg(F.collect_set("h").alias("_lost"))
+    hot = checkpointed(seen.join(F.broadcast(hot_hashes(hashes)), "h"))
+    common = hashes.join(F.broadcast(hot), "h")
+    others = hashes.join(F.broadcast(hot.select("h")), "h", "left_anti").join(seen, "h")
+    lost = common.unionByName(others).where(later).groupBy("doc", "rk").agg(F.collect_set("h").alias("_lost"))
     both = docs.withColumn("_rk", rk)
     both = both.join(lost.withColumnsRenamed({"doc": "_doc", "rk": "_rk2"}), F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_rk") == F.col("_rk2")), "left")
     both = both.select(*names, "_lost")

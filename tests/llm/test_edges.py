@@ -130,6 +130,15 @@ def test_license_templates(spark):
     assert got[None].n_words == 0
 
 
+def test_licenses_of_repeated_rows(spark):
+    rows = [(i, f"plain text number {i} the of and to software", "en") for i in range(30)]
+    bsd, mpl = licenses.TEMPLATES["bsd"], licenses.TEMPLATES["mpl"]
+    once = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, [*rows, (100, bsd), (None, mpl)])).collect()}
+    again = [(r.doc_id, r.labels, r.score > 0.59) for r in licenses.scan(frame(spark, [*rows, (100, bsd), (100, bsd), (None, mpl), (None, mpl), (None, mpl)])).collect() if r.doc_id in (100, None)]
+    assert once[100][0] == "bsd" and once[None][0] == "mpl"
+    assert sorted(again, key=str) == sorted([(100, "bsd", True)] * 2 + [(None, "mpl", True)] * 3, key=str)
+
+
 def test_sentencepiece_spans(spark):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -111,11 +111,14 @@ def _facts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def _template_hits(facts: DataFrame, idf: dict[str, float], rarest: int, match: float) -> DataFrame:
-    """(k1, k2, label, score) of templates whose rare words stand in place and whose key phrase is whole."""
+    """(k1, k2, label, score) of templates whose rare words stand in place and whose key phrase is whole.
+
+    Equal rows have one key and are looked up once: each word counts once at its place.
+    """
     weight = F.create_map(*[F.lit(x) for w in sorted(POSTINGS) for x in (w, idf.get(w, 0.0))])
     held = F.col("held")
     ranked = F.slice(F.reverse(F.array_sort(F.transform(held, lambda w: F.struct(weight[w].alias("idf"), w.alias("word"))))), 1, rarest)
-    files = facts.where(F.size("seen") > 0).select("k1", "k2", "seen", F.transform(ranked, lambda r: r["word"]).alias("rare"))
+    files = facts.where(F.size("seen") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", "seen", F.transform(ranked, lambda r: r["word"]).alias("rare"))
     words = files.select("k1", "k2", F.explode("seen").alias("s"), "rare").select("k1", "k2", "s.word", "s.pos", F.array_contains("rare", F.col("s.word")).alias("rare"))
     entry = lambda t, p, m: F.struct(F.lit(t).alias("label"), F.lit(p).alias("at"), F.lit(m).alias("key"))
     postings = F.create_map(*[x for w, ps in sorted(POSTINGS.items()) for x in (F.lit(w), F.array(*[entry(*p) for p in ps]))])

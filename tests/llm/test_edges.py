@@ -139,6 +139,22 @@ def test_licenses_of_repeated_rows(spark):
     assert sorted(again, key=str) == sorted([(100, "bsd", True)] * 2 + [(None, "mpl", True)] * 3, key=str)
 
 
+def test_licenses_of_full_files(spark):
+    every = sorted(w for w in licenses.POSTINGS)
+    # words that only the BSD text has are rarer in the corpus than any other
+    common = " x ".join(w for w in every if {label for label, *_ in licenses.POSTINGS[w]} != {"bsd"})
+    rows = [(i, common, "en") for i in range(30)]
+    rows += [(100, "\n\n".join(licenses.TEMPLATES.values()), "en")]
+    # very long texts with the whole vocabulary in loose words, and one template each
+    rows += [(200 + i, " x ".join(every) + " word" * 40_000 + f" {text} " + " y ".join(reversed(every)), "en") for i, text in enumerate(licenses.TEMPLATES.values())]
+    rows += [(300, " x ".join(every) + " word" * 40_000, "en")]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got[100].labels == ",".join(sorted(licenses.TEMPLATES)) and got[100].score == 1
+    for i, label in enumerate(licenses.TEMPLATES):
+        assert set(got[200 + i].labels.split(",")) == {label, *filter(None, got[200 + i].base_labels.split(","))} and got[200 + i].score > 0.999
+    assert got[300].labels == "" and got[300].score == 0
+
+
 def test_sentencepiece_spans(spark):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)

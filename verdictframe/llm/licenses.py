@@ -11,7 +11,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import row_key
 from verdictframe.session import checkpointed
 
 # Words of licence texts as commonly published, and the phrases without which a text isn't that licence.
@@ -36,7 +35,7 @@ MANDATORY = {
     "mpl": "mozilla public license",
     "unlicense": "free and unencumbered software released into the public domain",
 }
-#: Rarest licence words that are looked up in a file, and share of a template's rare weight that must stand in place.
+#: Rarest words of each template that are looked up in a file, and share of a template's rare weight that must stand in place.
 RAREST, MATCH = 12, 0.6
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -88,10 +87,9 @@ def base_places(words: Column) -> Column:
 
 
 def _facts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Per row: hash key, word count, base places, licence words in it, and where they stand if it may hold a template."""
+    """Per row: a number of its own, word count, base places, licence words in it, and where they stand if it may hold a template."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text_words(text).alias("words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_words(text).alias("words"))
     words = F.col("words")
     vocabulary = F.array(*[F.lit(w) for w in sorted(POSTINGS)])
     no_base = F.expr("cast(array() as array<struct<label:string,start:int>>)")
@@ -101,8 +99,7 @@ def _facts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     has = lambda names: F.arrays_overlap(words, F.array(*[F.lit(n) for n in sorted(set(names))]))
     return rows.select(
         "doc_id",
-        "k1",
-        "k2",
+        "row",
         F.size(words).cast("bigint").alias("n_words"),
         F.when(has(last), base_places(words)).otherwise(no_base).alias("base"),
         F.array_intersect(vocabulary, words).alias("held"),
@@ -110,38 +107,47 @@ def _facts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     )
 
 
+def _looked_up(label: str, idf: dict[str, float], rarest: int) -> Column:
+    """(least, full): IDF from which a held word of the template is looked up, and the weight of all places of those words."""
+    words = _words(TEMPLATES[label])
+    ordered = sorted(set(words), key=lambda w: (-idf[w], w))
+    own = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(idf[w]).alias("idf"), F.lit(idf[w] * words.count(w)).alias("all")) for w in ordered])
+    there = F.filter(own, lambda x: F.array_contains("held", x["word"]))
+    least = F.coalesce(F.get(there, F.lit(rarest - 1))["idf"], F.lit(0.0))  # words as rare as the last one count too
+    return F.struct(least.alias("least"), F.aggregate(there, F.lit(0.0), lambda a, x: a + F.when(x["idf"] >= least, x["all"]).otherwise(0.0)).alias("full"))
+
+
 def _template_hits(facts: DataFrame, idf: dict[str, float], rarest: int, match: float) -> DataFrame:
-    """(k1, k2, label, score) of templates whose rare words stand in place and whose key phrase is whole.
+    """(row, label, score) of templates whose rare words stand in place and whose key phrase is whole.
 
-    Equal rows have one key and are looked up once: each word counts once at its place.
+    A row's number keeps it apart from its equals, so each word counts once at its place. Every template
+    has rare words of its own, so none loses its places to another's.
     """
-    weight = F.create_map(*[F.lit(x) for w in sorted(POSTINGS) for x in (w, idf.get(w, 0.0))])
-    held = F.col("held")
-    ranked = F.slice(F.reverse(F.array_sort(F.transform(held, lambda w: F.struct(weight[w].alias("idf"), w.alias("word"))))), 1, rarest)
-    files = facts.where(F.size("seen") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", "seen", F.transform(ranked, lambda r: r["word"]).alias("rare"))
-    words = files.select("k1", "k2", F.explode("seen").alias("s"), "rare").select("k1", "k2", "s.word", "s.pos", F.array_contains("rare", F.col("s.word")).alias("rare"))
-    entry = lambda t, p, m: F.struct(F.lit(t).alias("label"), F.lit(p).alias("at"), F.lit(m).alias("key"))
+    bounds = F.array(*[_looked_up(label, idf, rarest) for label in TEMPLATES])
+    files = facts.where(F.size("seen") > 0).select("row", "seen", bounds.alias("bounds"))
+    words = files.select("row", F.explode("seen").alias("s"), "bounds").select("row", "s.word", "s.pos", "bounds")
+    number = {label: i for i, label in enumerate(TEMPLATES)}
+    entry = lambda t, p, m: F.struct(F.lit(t).alias("label"), F.lit(number[t]).alias("n"), F.lit(p).alias("at"), F.lit(m).alias("key"), F.lit(idf[_words(TEMPLATES[t])[p]]).alias("weight"))
     postings = F.create_map(*[x for w, ps in sorted(POSTINGS.items()) for x in (F.lit(w), F.array(*[entry(*p) for p in ps]))])
-    met = words.select("k1", "k2", "word", "rare", "pos", F.explode(postings[F.col("word")]).alias("p"))
-    met = met.where(F.col("rare") | F.col("p.key")).select("k1", "k2", "p.label", "p.key", "rare", (F.col("pos") - F.col("p.at")).alias("offset"), weight[F.col("word")].alias("weight"))
-    aligned = met.groupBy("k1", "k2", "label", "offset").agg(F.count(F.when(F.col("key"), 1)).alias("keys"), F.coalesce(F.sum(F.when(F.col("rare"), F.col("weight"))), F.lit(0.0)).alias("in_place"))
+    met = words.select("row", "pos", "bounds", F.explode(postings[F.col("word")]).alias("p"))
+    met = met.select("row", "p.label", "p.key", "p.weight", (F.col("pos") - F.col("p.at")).alias("offset"), F.get("bounds", F.col("p.n")).alias("b"))
+    met = met.withColumn("rare", F.col("weight") >= F.col("b.least")).where("rare OR key").select("*", "b.full")
+    aligned = met.groupBy("row", "label", "offset").agg(F.count(F.when(F.col("key"), 1)).alias("keys"), F.coalesce(F.sum(F.when(F.col("rare"), F.col("weight"))), F.lit(0.0)).alias("in_place"), F.max("full").alias("full"))
     needed = F.create_map(*[F.lit(x) for label, key in MANDATORY.items() for x in (label, len(key.split()))])
     whole = aligned.where(F.col("keys") == needed[F.col("label")])
-    # The weight that the file's rare words could have in the template at most.
-    best = whole.groupBy("k1", "k2", "label").agg(F.max("in_place").alias("in_place"))
-    own = F.create_map(*[x for label in TEMPLATES for x in (F.lit(label), F.array(*[F.lit(w) for w in _words(TEMPLATES[label])]))])
-    full = F.aggregate(F.filter(own[F.col("label")], lambda w: F.array_contains("rare", w)), F.lit(0.0), lambda a, w: a + weight[w])
-    scored = best.join(files.select("k1", "k2", "rare").distinct(), ["k1", "k2"]).withColumn("full", full)
-    return scored.where((F.col("full") > 0) & (F.col("in_place") >= match * F.col("full"))).select("k1", "k2", "label", F.least(F.lit(1.0), F.col("in_place") / F.col("full")).alias("score"))
+    # full is the weight that the template's rare words in the file could have at most.
+    best = whole.groupBy("row", "label").agg(F.max("in_place").alias("in_place"), F.max("full").alias("full"))
+    return best.where(F.col("in_place") >= match * F.col("full")).select("row", "label", F.least(F.lit(1.0), F.col("in_place") / F.col("full")).alias("score"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rarest: int = RAREST, match: float = MATCH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, base (places), base_labels, labels, score.
 
     Base labels are those of phrases that stand in the text. The method adds the label of every template
-    whose key phrase stands whole in the text and with which, at one relative position, the ``rarest``
-    words of highest IDF that the file holds agree by at least ``match`` of their weight. IDF counts every
-    document. score is 1 with a base label, else the best agreement of an added one, else 0.
+    whose key phrase stands whole in the text and with which, at one relative position, those of its own
+    words that the file holds and that have the ``rarest`` highest IDF (equals of the last one included)
+    agree by at least ``match`` of their weight. IDF counts every document. score is 1 with a base label,
+    else the best agreement of an added one, else 0.
 
     A null or empty text has no words and no labels. Repeated rows get equal results, an empty table
     gives none, other columns are not read. The only numbers that reach the driver are document counts
@@ -153,8 +159,8 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rarest
     df = {r["word"]: r["n"] for r in counts}
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in POSTINGS}
     hits = _template_hits(facts, idf, rarest, match)
-    more = hits.groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
-    both = facts.drop("held", "seen").join(more, ["k1", "k2"], "left")
+    more = hits.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    both = facts.drop("held", "seen").join(more, "row", "left")
     base = F.array_distinct(F.transform("base", lambda b: b["label"]))
     joined = lambda a: F.array_join(F.array_sort(a), ",")
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))

@@ -294,6 +294,14 @@ def test_vector_links(spark, monkeypatch):
     assert pq.near_vectors(vectors(spark, [(1, None, 1)])).count() == 1
 
 
+def test_equal_vectors_only(spark):
+    shown = lambda rows: sorted(tuple(r) for r in pq.near_vectors(vectors(spark, rows)).collect())
+    same = [(i, [1.0, 2.0, 3.0], 1) for i in (7, 5, 9, 5)]
+    assert shown(same) == [(5, 3, 5, True), (5, 3, 5, True), (7, 3, 5, False), (9, 3, 5, False)]
+    # one point of each length, one row alone, one that can't link
+    assert shown([*same[:2], (3, [1.0, 2.0], 1), (4, None, 1)]) == [(3, 0, 3, True), (4, 0, 4, True), (5, 1, 5, True), (7, 1, 5, False)]
+
+
 def test_vector_recall(spark, sf_dir):
     """Share of brute-force links that many small lists still find."""
     data = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()

@@ -224,8 +224,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         coded = checkpointed(own.select("row", "label", "size", "vector").mapInPandas(code, schema))
         part = _pairs(coded, index, least)
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return every.select(F.col("id").alias("vec_id"), *_alone())
+    if found is None:  # no dimension has two points: equal vectors are all that can link
+        found = spark.createDataFrame([], "kind int, a bigint, b bigint")
     links = found.where("kind = 0").groupBy(F.col("a").alias("row")).agg(F.sum("b").alias("links"))
     tied = connected_components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "row")
     known = points.select(*keys, "row", "low", "size").join(links, "row", "left").join(tied, "row", "left").withColumn("c", F.coalesce("component", "row"))

@@ -118,6 +118,29 @@ def test_pii_learns_contexts(spark):
     assert found[50] == "please call home on [PHONE] now"
 
 
+def test_pii_learns_spaced_numbers(spark):
+    rows = [(i, f"please call home on +1 (555) 100-{1000 + i} today", "en") for i in range(12)]
+    rows += [(100 + i, f"charge my card {4111_1111_1111_0000 + i} now", "en") for i in range(3)]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "3000 0000 0000 04"]
+    rows += [(200 + i, f"bill the card {c} now", "en") for i, c in enumerate(cards)]
+    rows += [(50, "please call home on (555) 777-8888 now", "en"), (51, "please call home on 555 777 9999, or", "en"), (52, "bill the card 1234 5678 9012 3456 now", "en")]
+    rows += [(53, "please call home on 555 777 6666 10.1.2.3 x", "en"), (54, "number of rooms 12 345 6789 found", "en"), (55, "x" * 90 + " on +1 (555) 200-3000", "en"), (None, "please call home on (555) 777-8888 now", "en")]
+    docs = frame(spark, rows)
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert masked[50] == masked[None] == "please call home on [PHONE] now" and masked[51] == "please call home on [PHONE], or"
+    assert masked[52] == "bill the card [CARD] now" and masked[54] == rows[-3][1]
+    assert masked[53] == "please call home on [PHONE] [IP] x"
+    shown = {r.doc_id: r.shown for r in pii.personal_data(docs).select("doc_id", pii.spans_text(F.col("spans")).alias("shown")).collect()}
+    assert shown[50] == "phone:20:34" and shown[52] == "card:14:33"
+
+
+def test_pii_contexts_are_whole_words(spark):
+    before = ["a b ", "x" * 90 + " on ", "x" * 30_000 + "  " + "y" * 2_000 + "\t", "one\n" + "x" * 90 + " ", "on ", "", "é " * 60 + "Last, words " + " " * 100]
+    rows = spark.createDataFrame([(i, t + "1234", len(t)) for i, t in enumerate(before)], "i int, text string, at int")
+    got = [r[0] for r in rows.orderBy("i").select(pii._context(F.col("text"), F.col("at"))).collect()]
+    assert got == ["a b", "x" * 90 + " on", "x" * 30_000 + "  " + "y" * 2_000, "", "", "", "last words"]
+
+
 def test_license_templates(spark):
     rows = [(i, f"plain text number {i} the of and to software", "en") for i in range(30)]
     rows += [(100 + i, f"// head\n{text}\n tail", "en") for i, text in enumerate(licenses.TEMPLATES.values())]

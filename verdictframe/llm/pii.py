@@ -21,6 +21,8 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _CARD = r"[0-9 -]{2,}+"  # on a view of the text whose separators all stand between digits
 _TOKEN = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
+# A number in groups: digits with the separators of phones and cards, not cut out of a word.
+_RUN = r"(?<![\p{L}\p{N}])[+(]{0,2}[0-9][ ().0-9-]*[0-9](?![\p{L}\p{N}])"
 _SMALL = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
 
@@ -94,8 +96,29 @@ def spans_text(spans: Column) -> Column:
 
 def _context(text: Column, start: Column) -> Column:
     """The two words before a span, in lower case without marks; empty if there aren't two."""
-    before = F.substring(text, F.greatest(F.lit(1), start - 79), F.least(F.lit(80), start))
-    return F.trim(F.regexp_replace(F.regexp_extract(F.lower(before), r"(?<![^ \t-\r])([^ \t-\r]++[ \t]++[^ \t-\r]++)[ \t]*+$", 1), r"[^\p{L} ]", ""))
+
+    def before(size):
+        return F.substring(text, F.greatest(F.lit(1), start + 1 - size), F.least(F.lit(size), start))
+
+    # Most words are short, so little is looked at first; more where the first of the two words may be cut.
+    shown = F.substring(text, F.lit(1), start)
+    for size in (20_480, 1_280, 80):
+        cut = (start > size) & before(size).rlike(r"^[^ \t-\r]*+[ \t]*+[^ \t-\r]*+[ \t]*+$")
+        shown = F.when(cut, shown).otherwise(before(size))
+    return F.trim(F.regexp_replace(F.regexp_extract(F.lower(shown), r"(?<![^ \t-\r])([^ \t-\r]++[ \t]++[^ \t-\r]++)[ \t]*+$", 1), r"[^\p{L} ]", ""))
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with the characters of the spans blanked by a mark that no pattern takes."""
+    start = F.expr("named_struct('pos', 0, 'out', cast(array() as array<string>))")
+
+    def step(a, s):
+        at = F.greatest(a["pos"], s["start"])
+        blank = F.repeat(F.lit("\u0001"), F.greatest(F.lit(0), s["end"] - at))
+        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), F.concat(a["out"], F.array(F.substring(text, a["pos"] + 1, at - a["pos"]), blank)).alias("out"))
+
+    done = F.aggregate(spans, start, step)
+    return F.array_join(F.concat(done["out"], F.array(F.substring(text, done["pos"] + 1, F.char_length(text)))), "")
 
 
 def _fits(kind: Column, surface: Column) -> Column:
@@ -110,34 +133,42 @@ def _fits(kind: Column, surface: Column) -> Column:
 
 
 def _facts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Per row: hash key, base spans, and the occurrences (base spans and other tokens with a digit or @) with their contexts."""
+    """Per row: hash key, base spans, and the occurrences with their contexts.
+
+    Occurrences are base spans, other tokens with digits or @, and numbers in groups with spaces between.
+    Of a token and a number that start at one place only the number counts as an instance of the context.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     rows = rows.withColumn("base", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.expr(f"cast(array() as {_SPANS})")))
-    t, base = F.col("text"), F.col("base")
+    rows = rows.withColumn("view", F.when(F.size("base") > 0, _without(F.col("text"), F.col("base"))).otherwise(F.col("text")))
+    number = lambda m: m["hit"].contains(" ") & F.char_length(_digits(m["hit"])).between(7, 19)
+    rows = rows.withColumn("runs", F.when(F.col("view").rlike("[0-9][().-]* [ ().-]*[0-9]"), _matches(F.col("view"), _RUN, number)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")))
+    t, base, runs = F.col("text"), F.col("base"), F.col("runs")
     other = F.filter(
         _matches(t, _TOKEN, lambda m: F.char_length(_digits(m["hit"])).between(4, 40) | m["hit"].contains("@")),
         lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])),
     )
     seen = F.concat(
-        F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(t, s["start"] + 1, s["end"] - s["start"]).alias("surface"), _context(t, s["start"]).alias("context"))),
-        F.transform(other, lambda m: F.struct(F.lit(None).cast("int").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("surface"), _context(t, m["start"]).alias("context"))),
+        F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(t, s["start"] + 1, s["end"] - s["start"]).alias("surface"), _context(t, s["start"]).alias("context"), F.lit(True).alias("counts"))),
+        F.transform(F.concat(other, runs), lambda m: F.struct(F.lit(None).cast("int").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("surface"), _context(t, m["start"]).alias("context"), (~F.exists(runs, lambda r: (r["start"] == m["start"]) & (r["end"] > m["end"]))).alias("counts"))),
     )
-    nothing = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,surface:string,context:string>>)")
-    return rows.withColumn("seen", F.when(t.rlike("[0-9@]"), seen).otherwise(nothing)).drop("text")
+    nothing = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,surface:string,context:string,counts:boolean>>)")
+    return rows.withColumn("seen", F.when(t.rlike("[0-9@]"), seen).otherwise(nothing)).drop("text", "view", "runs")
 
 
 def learned(occurrences: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confidence: float = CONFIDENCE, score: float = SCORE) -> DataFrame:
     """(surface, kind): unseen identifiers that high-confidence contexts vouch for.
 
-    ``occurrences`` has (context, surface, kind), kind null where no pattern matched. The graph has an
+    ``occurrences`` has (context, surface, kind, counts), kind null where no pattern matched, counts false
+    for the start of a longer surface at the same place. The graph has an
     edge for each distinct (context, surface). A context's confidence for a kind is the mean score of
-    its surfaces, if at least ``seeds`` of them are of that kind; a surface's score is the mean over all
+    its surfaces that count, if at least ``seeds`` of them are of that kind; a surface's score is the mean over all
     its contexts, and one that reaches ``score`` counts as found in the next round. Contexts and surfaces are
     counted by hash aggregates over distinct edges, however often one of them occurs.
     """
-    edges = checkpointed(occurrences.where("context <> ''").groupBy("context", "surface").agg(F.max("kind").alias("kind")))
+    edges = checkpointed(occurrences.where("context <> ''").groupBy("context", "surface").agg(F.max("kind").alias("kind"), F.max("counts").alias("counts")))
     new = edges.where("kind is null").select("context", "surface")
     degree = new.groupBy("surface").agg(F.count(F.lit(1)).alias("contexts"))
     found = None
@@ -146,9 +177,10 @@ def learned(occurrences: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, co
             scored = edges.withColumn("now", F.col("kind"))
         else:
             scored = edges.join(found.withColumnRenamed("kind", "later"), "surface", "left").withColumn("now", F.coalesce("kind", "later"))
-        totals = scored.groupBy("context").agg(F.count(F.lit(1)).alias("all"), *[F.count(F.when(F.col("now") == k, 1)).alias(f"n{k}") for k in range(len(KINDS))])
+        counts = [F.count(F.when(F.col("counts") & (F.col("now") == k), 1)).alias(f"n{k}") for k in range(len(KINDS))]
+        totals = scored.groupBy("context").agg(F.count(F.when(F.col("counts"), 1)).alias("all"), F.count(F.when(F.col("kind").isNull(), 1)).alias("new"), *counts)
         best = F.greatest(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(k).alias("kind")) for k in range(len(KINDS))])
-        good = totals.withColumn("b", best).where((F.col("b.n") >= seeds) & (F.col("b.n") < F.col("all")) & (F.col("b.n") >= confidence * F.col("all"))).select("context", F.col("b.kind").alias("kind"), (F.col("b.n") / F.col("all")).alias("weight"))
+        good = totals.withColumn("b", best).where((F.col("b.n") >= seeds) & (F.col("new") > 0) & (F.col("b.n") >= confidence * F.col("all"))).select("context", F.col("b.kind").alias("kind"), (F.col("b.n") / F.col("all")).alias("weight"))
         votes = new.join(good, "context").where(_fits(F.col("kind"), F.col("surface"))).groupBy("surface", "kind").agg(F.sum("weight").alias("weight"))
         strong = votes.join(degree, "surface").where(F.col("weight") >= score * F.col("contexts"))
         found = checkpointed(strong.groupBy("surface").agg(F.max_by("kind", "weight").alias("kind")))
@@ -158,15 +190,16 @@ def learned(occurrences: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, co
 def personal_data(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """(doc_id, k1, k2, base, spans) per row of ``docs``; spans are arrays of (kind, start, end), sorted.
 
-    ``base`` has what the patterns match; ``spans`` adds tokens of the same look that stand where the
+    ``base`` has what the patterns match; ``spans`` adds tokens and numbers in groups of the same look that stand where the
     corpus shows personal data of that kind to stand. A null or empty text has none. Repeated rows get
     equal results; an empty table gives no rows; other columns are not read. k1 and k2 are a hash of id and
     text, so rows need no id of their own.
     """
     facts = checkpointed(_facts(docs, text_col, id_col))
     occurrences = facts.where(F.size("seen") > 0).select("k1", "k2", F.explode("seen").alias("o")).select("k1", "k2", "o.*")
-    found = learned(occurrences.select("context", "surface", "kind"), **options)
+    found = learned(occurrences.select("context", "surface", "kind", "counts"), **options)
     more = occurrences.where("kind is null").drop("kind").join(found, "surface")
+    more = more.groupBy("k1", "k2", "kind", "start").agg(F.max("end").alias("end"))  # the whole number, not its start
     more = more.groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     both = facts.join(more, ["k1", "k2"], "left")
     added = F.coalesce("more", F.expr(f"cast(array() as {_SPANS})"))

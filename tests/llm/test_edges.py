@@ -71,6 +71,14 @@ def test_groups(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 5, 6]
 
 
+def test_keep_one_goes_by_row(spark):
+    words = lambda a: " ".join(f"w{a * 1000 + i}" for i in range(60))
+    rows = [(1, words(1)), (1, words(2)), (2, words(3)), (3, words(3)), (3, words(4)), (3, words(4)), (None, words(5)), (None, words(5)), (None, words(5).upper()), (None, words(4)), (4, words(6)), (4, words(6).upper())]
+    got = sorted(((r.doc_id, r.text.lower()) for r in simhash.keep_one(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, words(1)), (1, words(2)), (2, words(3)), (3, words(4)), (None, words(5)), (4, words(6))], key=str)
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
 def test_language(spark):
     docs = frame(spark, [*ODD, *[(100 + i, "der hund und die katze" if i % 2 else "the dog and the cat", "de" if i % 2 else "en") for i in range(20)]])
     model = langid.fit(docs)

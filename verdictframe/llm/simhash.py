@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import parts_for, roots, strings
+from verdictframe.llm.common import parts_for, roots, row_key, strings
 from verdictframe.llm.components import connected_components
 from verdictframe.session import checkpointed
 
@@ -38,15 +38,18 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp long) per row of ``docs``; a null text reads as empty and has fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, keyed: bool = False) -> DataFrame:
+    """(id, fp long) per row of ``docs``, with its ``row_key`` (k1, k2) if ``keyed``; a null text reads as empty and has fingerprint zero."""
+    keys = ["k1", "k2"] if keyed else []
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, width, seed) for t in strings(b.column(1))], pa.int64())], ["id", "fp"])
+            fps = pa.array([fingerprint(t, width, seed) for t in strings(b.column(1))], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, *b.columns[2:]], ["id", "fp", *keys])
 
-    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, fp bigint")
+    hashes = [h.alias(k) for k, h in zip(keys, row_key(F.col(id_col), F.col(text_col)))]
+    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *hashes)
+    return ids.mapInArrow(run, ", ".join([f"id {ids.schema['id'].dataType.simpleString()}, fp bigint", *[f"{k} bigint" for k in keys]]))
 
 
 def _masks(free: list[int], blocks: int) -> list[int]:
@@ -176,6 +179,13 @@ def hamming_components(fps: DataFrame, budget: int = 4, rows_per_task: int = ROW
     return connected_components(stars)
 
 
+def _chained(marked: DataFrame, budget: int, *more: Column) -> DataFrame:
+    """(fp, low, c) per fingerprint of ``marked``, and aggregates ``more``: its smallest id and its component."""
+    distinct = marked.groupBy("fp").agg(F.min("id").alias("low"), *more)
+    found = hamming_components(distinct, budget)
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``docs``.
 
@@ -185,20 +195,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns other than the two named are not read. Copies meet as one fingerprint before any join.
     """
     marked = checkpointed(fingerprints(docs, id_col, text_col, width, seed))
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("low"))
-    found = hamming_components(distinct, budget)
-    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+    named = _chained(marked, budget)
     least = named.groupBy("c").agg(F.min("low").alias("component_id"))
     by_fp = checkpointed(named.select("fp", "c").join(least, "c").select("fp", "component_id"))
     return marked.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each SimHash group: that of the smallest doc_id, once if it is repeated.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
+    """``docs`` with exactly one row of each SimHash group: that of the smallest id, rows without id last.
 
-    Rows without doc_id can be nobody's representative and stay.
+    Rows are told apart by id and text, so rows that share an id but not a group stay with their own
+    groups. Where a group's smallest id has several texts a hash decides; of equal rows one stays.
     """
-    groups = simhash_groups(docs, **options)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    marked = checkpointed(fingerprints(docs, id_col, text_col, width, seed, keyed=True))
+    named = _chained(marked, budget, F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "k1", "k2")).alias("first"))
+    kept = named.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2"))
+    k1, k2 = row_key(F.col(id_col), F.col(text_col))
+    rows = docs.withColumns({"_h1": k1, "_h2": k2}).join(kept, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left_semi")
+    return rows.dropDuplicates(["_h1", "_h2"]).select(*docs.columns)

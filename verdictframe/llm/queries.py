@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictframe.llm import kdtree, langid, licenses, linededup, packing, pieces, pii, pq, simhash, warc
+from verdictframe.llm import balltree, kdtree, langid, licenses, linededup, packing, pieces, pii, pq, quality, simhash, warc, whitening
 from verdictframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,76 @@ FROM lines l LEFT JOIN firsts f USING (key) GROUP BY l.doc_id
 def op10(spark, sf_dir):
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_polarised_whitening")
+def op11(spark, sf_dir):
+    white = whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS docs, sum(len(t))::BIGINT AS total FROM d),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+q AS (SELECT i, item_id, term, count(*) AS c FROM (
+        SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)) GROUP BY ALL),
+x AS (SELECT i, item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY i, item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
+@query("op12_ball_tree_search", OP12_SQL)
+def op12(spark, sf_dir):
+    return balltree.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op13_sql() -> str:
+    value = {
+        "symbols_per_word": "n_symbols / greatest(1, n_words)",
+        "chars_per_word": "word_chars / greatest(1, n_words)",
+        "short_words": "-(word_chars / greatest(1, n_words))",
+        "duplicate_lines": "n_dup_lines / greatest(1, n_lines)",
+        "repeated_words": "n_repeat_words / greatest(1, n_words)",
+    }
+    cells = ", ".join(f"({i}, {j + 1}, '{name}', {c})" for i, (name, cuts) in enumerate(quality.RULES) for j, c in enumerate(cuts))
+    which = " ".join(f"WHEN '{name}' THEN {sql}" for name, sql in value.items())
+    part = quality.RISK / len(quality.RULES)
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS stratum, coalesce(text, '') AS text FROM documents),
+m AS (SELECT r, doc_id, stratum, text, regexp_extract_all(text, '[^ 	-]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM t),
+wins AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM m)),
+twice AS (SELECT r, i FROM wins JOIN (SELECT r, win FROM wins GROUP BY r, win HAVING count(*) > 1) USING (r, win)),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(3) AS o(k) GROUP BY r),
+f AS (SELECT r, doc_id, stratum, len(w) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+c(rule, cut, name, cutoff) AS (VALUES {cells}),
+g AS (SELECT doc_id, max(quality) > 0 AS good, md5(doc_id::VARCHAR) < '8' AS holdout FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+n AS (SELECT stratum, count(*) FILTER (holdout AND good) AS held, count(*) FILTER (NOT holdout AND good) AS good, count(*) FILTER (NOT holdout AND NOT good) AS bad
+      FROM b JOIN g USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
+beyond AS (SELECT r, doc_id, stratum, rule, cut FROM b, c WHERE NOT base_failed AND CASE name {which} END > cutoff::DOUBLE),
+x AS (SELECT stratum, rule, cut, count(*) FILTER (holdout AND good) AS k, count(*) FILTER (NOT holdout AND good) AS kg, count(*) FILTER (NOT holdout AND NOT good) AS kb
+      FROM beyond JOIN g USING (doc_id) GROUP BY stratum, rule, cut),
+tail AS (SELECT stratum, rule, cut, sum(exp(lgamma(held + 1) - lgamma(i + 1) - lgamma(held - i + 1) + i * ln({part!r}) + (held - i) * ln(1 - {part!r}))) AS p
+         FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM x JOIN n USING (stratum) WHERE held > 0) GROUP BY stratum, rule, cut),
+ok AS (SELECT stratum, rule, max(cut) AS cut FROM x JOIN n USING (stratum) JOIN tail USING (stratum, rule, cut)
+       WHERE p <= {quality.ERROR!r} / ((SELECT count(*) FROM n WHERE held > 0) * (SELECT count(*) FROM c)) AND kb > 0 AND kb * good >= {quality.LIFT!r} * kg * bad
+       GROUP BY stratum, rule),
+gone AS (SELECT DISTINCT r FROM beyond JOIN ok USING (stratum, rule, cut))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone.r IS NULL AS kept FROM b LEFT JOIN gone USING (r)
+"""
+
+
+@query("op13_certified_quality", _op13_sql())
+def op13(spark, sf_dir):
+    out = quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

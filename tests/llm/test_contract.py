@@ -35,7 +35,7 @@ def test_entry_lists_them():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def luhn(digits):
@@ -252,3 +252,58 @@ def test_mixture_shares():
 def test_counts_by_id_only_where_asked(spark, sf_dir):
     got = queries.QUERIES["op3_kd_tree_topk"](spark, sf_dir)
     assert got.where((F.col("query_id") % 50 != 0) | (F.col("vec_id") == F.col("query_id"))).count() == 0
+
+
+def plain_best_set(model, text):
+    """The best penalised likelihood over all sets of languages, by EM of many rounds on each."""
+    from itertools import combinations
+
+    grams, first, _ = langid.word_grams([text])
+    words = np.add.reduceat(model.logp[grams], first, axis=0)
+    lik = np.exp(np.maximum(words - words.max(1, keepdims=True), -60)).astype(float)
+    best = (-np.inf, ())
+    for size in range(1, len(model.langs) + 1):
+        for some in combinations(range(len(model.langs)), size):
+            part, pi = lik[:, some], np.full(size, 1 / size)
+            for _ in range(2000):
+                joint = part * pi
+                pi = (joint / joint.sum(1, keepdims=True)).mean(0)
+            value = np.log(part @ pi).sum() - langid.PENALTY * (size - 1) * np.log(len(words) + 1)
+            best = max(best, (value, some))
+    return set(best[1])
+
+
+def test_mixtures_are_the_best_sets():
+    rng = np.random.default_rng(17)
+    letters = [list("abcdefgh"), list("efghijkl"), list("ijklmnop"), list("mnopqrst"), list("aeimquyz")]
+    word = lambda k: "".join(rng.choice(letters[k], int(rng.integers(2, 8))))
+    logp = np.full((langid.BUCKETS, 5), 0.1)
+    for k in range(5):
+        grams, _, _ = langid.word_grams([" ".join(word(k) for _ in range(4000))])
+        np.add.at(logp[:, k], grams, 1)
+    model = langid.Model(list("pqrst"), np.log(logp / logp.sum(0)).astype(np.float32))
+    texts = []
+    for parts in ([60], [30, 30], [0, 50, 3], [200, 0, 1], [40, 0, 0, 40], [20, 20, 20, 20, 20], [500, 4, 0, 0, 4], [3], [0, 0, 0, 0, 9], [1, 1], [400, 0, 0, 6]):
+        words = [word(k) for k, n in enumerate(parts) for _ in range(n)]
+        texts.append(" ".join(rng.permutation(words)))
+    shares = model.mixture(texts)
+    for text, share in zip(texts, shares):
+        assert set(np.flatnonzero(share)) == plain_best_set(model, text), text[:40]
+    assert shares[3][0] < 1 or plain_best_set(model, texts[3]) == {0}  # under two in a hundred words count too
+
+
+@pytest.mark.parametrize("text", ["❤️ 123", "́", "́́ 4", "12 !!", "🏳️‍🌈", "①②", "️", "\n", "٣٤٥"])
+def test_no_letter_is_und(text):
+    assert not any(unicodedata.category(c)[0] == "L" for c in text)
+    logp = np.log(np.random.default_rng(1).random((langid.BUCKETS, 3)) + 0.1).astype(np.float32)
+    lang, score, _ = langid.Model(["a", "b", "c"], logp).predict([text, "é " + text, text + "x"])
+    assert lang[0] == "und" and score[0] == 0 and "und" not in lang[1:]
+
+
+def test_und_on_random_texts():
+    rng = np.random.default_rng(19)
+    logp = np.log(rng.random((langid.BUCKETS, 2)) + 0.1).astype(np.float32)
+    signs = list("aé1 ́️‍❤!٣中\n\t.ª①")
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 6)))) for _ in range(3000)]
+    lang, _, _ = langid.Model(["a", "b"], logp).predict(texts)
+    assert [x == "und" for x in lang] == [not any(unicodedata.category(c)[0] == "L" for c in t.lower()) for t in texts]

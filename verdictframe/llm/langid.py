@@ -16,24 +16,33 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 
 from verdictframe.llm.common import strings
 
-#: Labelled documents of each language that the model is fitted on, about; n-gram buckets; EM rounds.
-SAMPLE_DOCS, BUCKETS, ROUNDS = 2_000, 1 << 16, 12
-#: Gain in log-likelihood asked of another language, in units of log(words); share below which it isn't tried.
-PENALTY, LEAST_SHARE = 2.0, 0.02
+#: Labelled documents of each language that the model is fitted on, about; n-gram buckets.
+SAMPLE_DOCS, BUCKETS = 2_000, 1 << 16
+#: EM rounds over all languages, which only tell what a larger set can gain; most rounds for a set, and the change that ends them.
+FIRST_ROUNDS, MOST_ROUNDS, SETTLED = 6, 200, 1e-4
+#: Gain in log-likelihood asked of another language, in units of log(words).
+PENALTY = 2.0
 UNKNOWN = "und"
 _CHARS_AT_ONCE = 2_000_000
 
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """For each code point whether it is a letter or a mark of one."""
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    """For each code point 2 if it is a letter, 1 if it is a mark, else 0."""
+    return np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), np.int8, sys.maxunicode + 1)
 
 
 def word_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all letter trigrams (with word ends), the first gram of each word, the text of each word."""
-    codes = np.frombuffer(("\n".join(["", *[t.lower().replace("\n", " ") for t in texts], ""])).encode("utf-32-le"), dtype=np.uint32)
-    letter = _letters()[codes]
+    """Buckets of all letter trigrams (with word ends), the first gram of each word, the text of each word.
+
+    A word begins with a letter; marks go on extending it, and marks without a letter before them are no word.
+    """
+    codes = np.frombuffer(("\n".join(["", *[t.lower().replace("\n", " ") for t in texts], ""])).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _letters()[codes]
+    letter = kind > 0
+    if (kind == 1).any():
+        place = np.arange(len(kind))
+        letter &= np.maximum.accumulate(np.where(kind == 2, place, -1)) > np.maximum.accumulate(np.where(kind == 0, place, -1))
     c = np.where(letter, codes, 0).astype(np.uint32)
     h = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
@@ -78,36 +87,73 @@ class Model:
         log_words = np.log(count + 1)
         top = words.max(1, keepdims=True)
         lik = np.exp(np.maximum(words - top, -60)).astype(np.float32)
-        full, _ = _em(lik, start, count, np.ones((len(has), langs), dtype=bool))
-        order = np.argsort(-full, axis=1, kind="stable")
-        rank = np.argsort(order, axis=1, kind="stable")
         # one language: the best by likelihood, exactly
         single = np.add.reduceat(np.maximum(words - top, -60), start, axis=0)
         best = single.argmax(1)
         chosen, score = np.zeros((len(has), langs)), single.max(1)
         chosen[np.arange(len(has)), best] = 1
-        for size in range(2, langs + 1):
-            share = np.take_along_axis(full, order[:, size - 1 : size], 1)[:, 0]
-            rows = np.flatnonzero(share >= LEAST_SHARE)
-            if not len(rows):
-                break
+        # No set of two or more can beat that where not even all languages, free of a penalty for the third, would.
+        most = _most(lik, start, count)
+        rows = np.flatnonzero(most - PENALTY * log_words > score)
+        if len(rows):
             take = np.concatenate([np.arange(start[r], start[r] + count[r]) for r in rows])
             some = np.r_[0, np.cumsum(count[rows])[:-1]]
-            got, value = _em(lik[take], some, count[rows], rank[rows] < size)
-            value -= PENALTY * (size - 1) * log_words[rows]
-            better = value > score[rows]
-            chosen[rows[better]], score[rows[better]] = got[better], value[better]
+            chosen[rows] = _best_sets(lik[take], some, count[rows], log_words[rows], chosen[rows], score[rows], most[rows])
         shares[has] = chosen
         return shares
 
 
-def _em(lik: np.ndarray, start: np.ndarray, count: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mixture shares of each document over its allowed languages, and their log-likelihood."""
+def _most(lik: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A log-likelihood that no mixture of each document exceeds.
+
+    The log-likelihood is concave in the shares, so a few rounds of EM and the largest slope at the shares
+    they reach bound its maximum.
+    """
+    pi, value = _em(lik, start, count, np.ones((len(start), lik.shape[1]), dtype=bool), FIRST_ROUNDS)
+    mass = np.einsum("ij,ij->i", lik, np.repeat(pi, count, axis=0).astype(np.float32))
+    slope = np.add.reduceat(lik / np.maximum(mass, 1e-30)[:, None], start, axis=0).max(1)
+    return value + np.maximum(0, slope - count) + 1e-3 * count
+
+
+def _best_sets(lik, start, count, log_words, chosen, score, most) -> np.ndarray:
+    """Shares over the language set of best penalised likelihood that single additions and removals reach."""
+    chosen, score, langs = chosen.copy(), score.copy(), lik.shape[1]
+    member = chosen > 0
+    live = np.arange(len(count))
+    while len(live):
+        take = np.concatenate([np.arange(start[r], start[r] + count[r]) for r in live])
+        some = np.r_[0, np.cumsum(count[live])[:-1]]
+        part, size, words = lik[take], count[live], log_words[live]
+        now, shares, moved = score[live].copy(), chosen[live].copy(), np.full(len(live), -1)
+        for k in range(langs):
+            tried = member[live]
+            tried[:, k] ^= True
+            number = tried.sum(1)
+            # What could at most be reached with so many languages decides whether EM is worth it.
+            rows = np.flatnonzero((number > 0) & (most[live] - PENALTY * (number - 1) * words > now))
+            if not len(rows):
+                continue
+            inner = np.concatenate([np.arange(some[r], some[r] + size[r]) for r in rows])
+            pi, value = _em(part[inner], np.r_[0, np.cumsum(size[rows])[:-1]], size[rows], tried[rows], MOST_ROUNDS)
+            value -= PENALTY * (number[rows] - 1) * words[rows]
+            better = value > now[rows] + 1e-6
+            now[rows[better]], shares[rows[better]], moved[rows[better]] = value[better], pi[better], k
+        held = np.flatnonzero(moved >= 0)
+        member[live[held], moved[held]] ^= True
+        score[live[held]], chosen[live[held]] = now[held], shares[held]
+        live = live[held]
+    return chosen
+
+
+def _em(lik: np.ndarray, start: np.ndarray, count: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mixture shares of each document over its allowed languages, and their log-likelihood; ends early when settled."""
     pi = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         joint = lik * np.repeat(pi, count, axis=0).astype(np.float32)
         joint /= np.maximum(joint.sum(1, keepdims=True), 1e-30)
-        pi = np.add.reduceat(joint, start, axis=0) / count[:, None]
+        before, pi = pi, np.add.reduceat(joint, start, axis=0) / count[:, None]
+        if np.abs(pi - before).max() < SETTLED:
+            break
     mass = np.einsum("ij,ij->i", lik, np.repeat(pi, count, axis=0).astype(np.float32))
     return pi / np.maximum(pi.sum(1, keepdims=True), 1e-30), np.add.reduceat(np.log(np.maximum(mass, 1e-30)), start)
 
@@ -156,9 +202,9 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the main language of each whole text and its share of the text's words.
 
-    Every word votes by its n-gram likelihoods; EM splits the words among languages, and a further
-    language joins the set only if the likelihood gains more than ``PENALTY * log(words)``. A text that
-    is null or has no letter is ``und`` with score 0, as is every text if no language was learned; ties
+    Every word votes by its n-gram likelihoods; EM splits the words among a set of languages, and languages
+    join or leave the set one at a time while the likelihood, less ``PENALTY * log(words)`` for each language
+    beyond the first, grows. A text that is null or has no letter (marks and signs are none) is ``und`` with score 0, as is every text if no language was learned; ties
     go to the smaller language. Texts are taken whole whatever their length. Other columns stay; those
     of the result's names are replaced.
     """

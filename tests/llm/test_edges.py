@@ -354,3 +354,36 @@ def test_digest_is_plain_sha1():
     import base64
 
     assert warc.digest(b"x") == base64.b32encode(hashlib.sha1(b"x").digest()).decode()
+
+
+def test_addresses_with_zero_parts(spark):
+    from tests.llm.test_contract import KINDS, plain_pii
+
+    rng = np.random.default_rng(13)
+    parts = ["0", "00", "000", "010", "255", "256", "9", "99", "0255", "0256", "300", "1000", "0000000001"]
+    texts = ["10.0.0.1", "127.0.0.1", "0.0.0.0", "192.168.0.12", "255.255.255.0", "256.0.0.0", "0" * 4_000 + ".0.0.1"]
+    texts += [".".join(rng.choice(parts, 4)) for _ in range(300)] + [f"at {'.'.join(rng.choice(parts, int(n)))}, then" for n in rng.integers(2, 9, 200)]
+    docs = frame(spark, list(enumerate(texts)))
+    got = {r.doc_id: r[1] for r in pii.personal_data(docs).select("doc_id", pii.spans_text(F.col("base"))).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in plain_pii(text)), text
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert [masked[i] for i in range(6)] == ["[IP]"] * 5 + ["256.0.0.0"]
+
+
+@pytest.mark.parametrize("piece", ["12345678 ", "10.0.0.1 ", "a@b.co,"])
+def test_pii_work_grows_with_the_text(spark, piece):
+    """Much of one kind of token in a single line: same base spans as the plain patterns, within seconds."""
+    import time
+
+    from tests.llm.test_contract import KINDS, plain_pii
+
+    text = piece * (400_000 // len(piece))
+    started = time.time()
+    docs = frame(spark, [(1, text)])
+    got = pii.personal_data(docs).select(pii.spans_text(F.col("base"))).first()[0]
+    masked = pii.mask(docs).first().text
+    assert time.time() - started < 60
+    want = plain_pii(text)
+    assert got == ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in want)
+    assert len(masked) == len(text) - sum(b - a - len(f"[{KINDS[k]}]") for a, k, b in want)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from verdictframe import schemas
 from verdictframe.operators import quality, responses, status, usage
+from verdictframe.operators import steps as steps_
 from verdictframe.operators import raw as RAW
 from verdictframe.sources import records as S
 from verdictframe.streaming import traces as ST
@@ -157,8 +158,8 @@ def test_step_chain_and_resume(spark):
         "filter": lambda d: d.where("n > 1"),
         "validate": lambda d: d.withColumn("n", F.col("n") + 1),
     }
-    assert {r["core_id"]: r["n"] for r in rows(responses.chain(df, steps))} == {"b": 30, "c": 40}
-    assert {r["n"] for r in rows(responses.chain(df, steps, "validate"))} == {3, 4}
+    assert {r["core_id"]: r["n"] for r in rows(steps_.chain(df, steps))} == {"b": 30, "c": 40}
+    assert {r["n"] for r in rows(steps_.chain(df, steps, "validate"))} == {3, 4}
     done = spark.createDataFrame([("b", 99)], "core_id string, n int")
     assert {r["core_id"]: r["n"] for r in rows(history.resume(df, done, steps["judge"]))} == {"a": 10, "b": 99, "c": 30}
     two = spark.createDataFrame([("a", "x"), ("a", "y")], "core_id string, generator string")

@@ -70,19 +70,31 @@ def passes_gates(raw: Column) -> Column:
     return let(raw, gates)
 
 
-def passage_text(passage: Column, position: Column) -> Column:
+def slot_order(line: Column) -> Column:
+    """For each passage of a raw JSON line its keys in file order, which VARIANT doesn't keep."""
+    read = F.from_json(line, "struct<grounding:array<map<string,string>>>")["grounding"]
+    return F.transform(read, lambda p: F.map_keys(p))
+
+
+def passage_text(passage: Column, position: Column, order: Column | None = None) -> Column:
     """``text``, else the citation slot of this position, else the first non-blank slot.
 
-    VARIANT keeps the keys of an object sorted by name, so "first" is by name, not by file order.
+    ``order`` has the passage's keys in file order. Without it, "first" is by name, as VARIANT sorts keys.
     """
     slots = F.try_variant_get(passage, "$", "map<string,variant>")
-    present = F.map_filter(
-        slots,
-        lambda k, v: F.startswith(k, F.lit("cite_")) & ~is_blank(J.as_string(v)),
-    )
-    own = J.as_string(present[F.concat(F.lit("cite_"), (position + 1).cast("string"))])
+
+    def chosen(present: Column) -> Column:
+        by_name = F.try_element_at(F.map_values(present), F.lit(1))
+        first = by_name
+        if order is not None:
+            there = F.filter(order, lambda k: F.map_contains_key(present, k))
+            first = F.coalesce(present[F.get(there, F.lit(0))], by_name)
+        own = present[F.concat(F.lit("cite_"), (position + 1).cast("string"))]
+        return F.coalesce(J.as_string(own), J.as_string(first))
+
+    present = F.map_filter(slots, lambda k, v: F.startswith(k, F.lit("cite_")) & ~is_blank(J.as_string(v)))
     flat = F.nullif(J.as_string(J.field(passage, "text")), F.lit(""))
-    return F.coalesce(flat, own, J.as_string(F.try_element_at(F.map_values(present), F.lit(1))), F.lit(""))
+    return F.coalesce(flat, let(present, chosen), F.lit(""))
 
 
 def top_labels(raw: Column, name: str) -> Column:
@@ -103,15 +115,15 @@ def sample_id(raw: Column) -> Column:
     return F.coalesce(*[F.when(J.truthy(v), J.as_text(v)) for v in options], F.lit(""))
 
 
-def grounding(raw: Column) -> Column:
+def grounding(raw: Column, line: Column | None = None) -> Column:
     names = ("evidence_relevant", "evidence_correct", "evidence_cited")
 
-    def one(labels: Column, p: Column, i: Column) -> Column:
+    def one(labels: Column, orders: Column | None, p: Column, i: Column) -> Column:
         given = J.as_int(J.field(p, "passage_id"))
         date = J.field(p, "passage_date")
         return F.struct(
             F.coalesce(given.cast("int"), i).alias("passage_id"),
-            passage_text(p, i).alias("text"),
+            passage_text(p, i, None if orders is None else F.get(orders, i)).alias("text"),
             J.as_string(J.field(p, "provider")).alias("provider"),
             F.when(J.truthy(date), J.as_string(date)).otherwise(J.as_string(J.field(p, "date"))).alias("passage_date"),
             *[evidence_at(labels[n], n, i, p).alias(n) for n in names],
@@ -120,18 +132,25 @@ def grounding(raw: Column) -> Column:
 
     # the label arrays are read once per record, not once per passage
     tops = F.struct(*[top_labels(raw, n).alias(n) for n in names])
-    built = let(tops, lambda labels: F.transform(passages(raw), lambda p, i: one(labels, p, i)))
+    def build(labels: Column, orders: Column | None = None) -> Column:
+        return F.transform(passages(raw), lambda p, i: one(labels, orders, p, i))
+
+    built = let(tops, lambda labels: build(labels)) if line is None else let(tops, lambda labels: let(slot_order(line), lambda orders: build(labels, orders)))
     return built.cast(f"array<{PASSAGE}>")
 
 
-def to_core(df: DataFrame, raw: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
-    """Core columns from raw rows; ``keep`` carries further columns such as the row sequence."""
+def to_core(df: DataFrame, raw: str = "raw", keep: Sequence[str] = (), line: str | None = None) -> DataFrame:
+    """Core columns from raw rows; ``keep`` carries further columns such as the row sequence.
+
+    ``line`` names the column with the raw JSON text (``read_raw_lines`` has it); citation slots are then taken in
+    file order.
+    """
     r = F.col(raw)
 
     def text(name: str) -> Column:
         return J.as_string(J.field(r, name))
 
-    staged = df.select(*keep, r, sample_id(r).alias("garage_sample_id"), grounding(r).alias("all_grounding_original"))
+    staged = df.select(*keep, r, sample_id(r).alias("garage_sample_id"), grounding(r, F.col(line) if line else None).alias("all_grounding_original"))
     tagged = F.filter(
         F.col("all_grounding_original"), lambda p: F.upper(F.coalesce(p["evidence_correct"], F.lit(""))) == ANSWER_TAG
     )
@@ -149,8 +168,8 @@ def to_core(df: DataFrame, raw: str = "raw", keep: Sequence[str] = ()) -> DataFr
     )
 
 
-def select_raw(df: DataFrame, raw: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
-    return to_core(df.where(passes_gates(F.col(raw))), raw, keep)
+def select_raw(df: DataFrame, raw: str = "raw", keep: Sequence[str] = (), line: str | None = None) -> DataFrame:
+    return to_core(df.where(passes_gates(F.col(raw))), raw, keep, line)
 
 
 def has_cited_answer(grounding_column: Column | str = "all_grounding_original") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from verdictframe.functions import jsonvals as J
@@ -11,10 +13,13 @@ from verdictframe.operators import labels as L
 from verdictframe.operators import raw as RAW
 from verdictframe.operators import responses as RS
 from verdictframe.operators import status as ST
+from verdictframe.operators import steps as STEPS
 from verdictframe.operators.history import overlap
 from verdictframe.plans import tables as T
 from verdictframe.plans.registry import query, round_columns
 from verdictframe.schemas import GATES
+from verdictframe.session import ensure_checkpoint_dir
+from verdictframe.sources import records as SRC
 
 # ---- raw records ------------------------------------------------------------------------------
 # Each document becomes one raw JSON line. Keys are absent, null, boolean, number or text by the
@@ -69,7 +74,7 @@ def _quote(t):
 
 
 def raw_records(spark, sf_dir):
-    return raw_lines(spark, sf_dir).select("doc_id", F.parse_json("line").alias("raw"))
+    return raw_lines(spark, sf_dir).select("doc_id", "line", F.parse_json("line").alias("raw"))
 
 
 RAW_SQL = """SELECT doc_id, lang, source, i0 - 1 AS p, lines[i0] AS text, len(lines) AS n FROM
@@ -107,7 +112,7 @@ SELECT 'garage_core_' || left(sha1(sid), 12) AS core_id, sid AS garage_sample_id
 FROM s JOIN p USING (doc_id) GROUP BY doc_id, sid, lang, source""",
 )
 def core_projection(spark, sf_dir):
-    core = RAW.select_raw(raw_records(spark, sf_dir))
+    core = RAW.select_raw(raw_records(spark, sf_dir), line="line")
     texts = F.transform("all_grounding_original", lambda p: p["text"])
     ids = F.transform("answer_containing_passage_ids", lambda x: x.cast("string"))
     return core.select(
@@ -119,6 +124,28 @@ def core_projection(spark, sf_dir):
     )
 
 
+@query(
+    "citation_slots",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'two' WHEN 1 THEN 'own' WHEN 2 THEN lang ELSE source END AS first_text,
+  CASE doc_id % 4 WHEN 0 THEN 'ten' WHEN 1 THEN 'ten' WHEN 2 THEN '' ELSE 'two' END AS second_text FROM documents""",
+)
+def citation_slots(spark, sf_dir):
+    """Landed raw lines whose citation slots are out of order by name: the slot of the position, else the first in the file."""
+    i, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
+    slots = (
+        F.when(i % 4 == 0, '[{"cite_02":" ","cite_2":"two","cite_10":"ten"},{"cite_10":"ten","cite_3":"three"}]')
+        .when(i % 4 == 1, '[{"cite_9":"nine","cite_1":"own"},{"cite_2":null,"cite_10":"ten","cite_1":"one"}]')
+        .when(i % 4 == 2, F.concat(F.lit('[{"text":"","cite_7":"'), lang, F.lit('","cite_30":"later"},{"cite_2":5,"cite_3":" "}]')))
+        .otherwise(F.concat(F.lit('[{"text":7,"cite_5":false,"cite_4":"'), source, F.lit('","cite_20":"later"},{"cite_1":"one","cite_2":"two"}]')))
+    )
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/raw-{uuid.uuid4().hex}"
+    line = F.concat(F.lit('{"sample_id":"'), i.cast("string"), F.lit('","grounding":'), slots, F.lit("}"))
+    T.table(spark, sf_dir, "documents").select(line.alias("value")).write.text(folder)
+    core = RAW.to_core(SRC.read_raw_lines(spark, folder), line="line")
+    text = lambda at: F.col("all_grounding_original")[at]["text"]
+    return core.select(F.col("garage_sample_id").cast("bigint").alias("doc_id"), text(0).alias("first_text"), text(1).alias("second_text"))
+
+
 # ---- validation, status -----------------------------------------------------------------------
 
 GATE_COLUMNS_SQL = """SELECT doc_id, lang, source, quality, toxic, n_chars,
@@ -533,6 +560,45 @@ def stamp_and_rescue(spark, sf_dir):
     return rescued.select("doc_id", "step_status", F.array_join(entries, ";").alias("states"))
 
 
+_STATES_SQL = """CASE WHEN lang = 'fr' THEN 'filter=failed:unexpected:KeyError: ''fr'''
+  WHEN source = 'src0' THEN 'filter=ok;generate=failed:unexpected:ZeroDivisionError: division by zero'
+  WHEN n_chars % 50 = 7 THEN 'filter=ok;generate=ok;judge=failed:unexpected:ValueError: no verdict for ' || n_chars || ' characters'
+  ELSE 'filter=ok;generate=ok;judge=' || CASE WHEN n_chars % 2 = 0 THEN 'ok' ELSE 'ok_partial' END END"""
+
+
+@query(
+    "isolated_chain",
+    f"""WITH s AS (SELECT doc_id, lang, n_chars, 1000.0::DOUBLE / nullif(substr(source, 4)::int, 0) AS share, {_STATES_SQL} AS states FROM documents WHERE n_chars % 11 <> 0)
+SELECT doc_id, CASE WHEN lang <> 'fr' THEN lang || '!' END AS tongue, CASE WHEN states LIKE '%generate=ok%' THEN round(share, 6) END AS share,
+  CASE WHEN states LIKE '%judge=ok%' THEN n_chars::bigint END AS verdict, states FROM s""",
+)
+def isolated_chain(spark, sf_dir):
+    """Three steps in Python over documents, each of which throws on some rows; those stay, with the error, and skip what follows."""
+    names = {"de": "de!", "en": "en!", "es": "es!"}
+
+    def tongue(row):
+        return None if row["n_chars"] % 11 == 0 else row | {"tongue": names[row["lang"]]}
+
+    def share(row):
+        return row | {"share": 1000 / int(row["source"][3:])}
+
+    def verdict(row):
+        if row["n_chars"] % 50 == 7:
+            raise ValueError(f"no verdict for {row['n_chars']} characters")
+        state = dict(row["pipeline_state"]) | {"judge": "ok" if row["n_chars"] % 2 == 0 else "ok_partial"}
+        return row | {"verdict": row["n_chars"], "pipeline_state": state}
+
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"), F.expr("cast(map() as map<string,string>)").alias("pipeline_state"))
+    schema = "doc_id bigint, lang string, source string, n_chars bigint, pipeline_state map<string,string>"
+    steps = {}
+    for name, function, more in (("filter", tongue, "tongue string"), ("generate", share, "share double"), ("judge", verdict, "verdict bigint")):
+        schema = f"{schema}, {more}"
+        steps[name] = STEPS.BatchStep(STEPS.by_record(function, schema), schema)
+    done = STEPS.chain(docs, steps)
+    entries = F.array_sort(F.transform(F.map_entries("pipeline_state"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return done.select("doc_id", "tongue", F.round("share", 6).alias("share"), "verdict", F.array_join(entries, ";").alias("states"))
+
+
 # ---- label reports ----------------------------------------------------------------------------
 
 

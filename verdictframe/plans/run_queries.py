@@ -14,7 +14,8 @@ from verdictframe.plans.record_queries import GATED_SQL, raw_records
 from verdictframe.plans.registry import query, round_columns
 from verdictframe.operators import raw as RAW
 from verdictframe.schemas import STEP_ORDER
-from verdictframe.session import ensure_checkpoint_dir
+from verdictframe.session import checkpointed, ensure_checkpoint_dir
+from verdictframe.sources import growing as G
 from verdictframe.sources import records as S
 from verdictframe.streaming import traces as ST
 
@@ -246,6 +247,44 @@ def tagged_scan(spark, sf_dir):
     return rows.groupBy("run_id", "judge", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "growing_files",
+    """WITH d AS (SELECT doc_id, lang, n_chars::bigint AS n_chars, doc_id % (SELECT greatest(8, (count(*) + 19999) // 20000) FROM documents) AS f FROM documents)
+SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY f ORDER BY doc_id) <= count(*) OVER (PARTITION BY f) // 2 AS early, 1::bigint AS arrivals, 1::bigint AS in_batch FROM d""",
+)
+def growing_files(spark, sf_dir):
+    """Files followed while they grow: first to the middle of a line, then, by the same query started anew, to a torn end.
+
+    Every line arrives once, those before the tear in the first run, and the rows are those of the batch read.
+    """
+    folder = _work_folder(spark)
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", "n_chars")
+    count = docs.count()
+    lines = docs.select((F.col("doc_id") % max(8, -(-count // 20_000))).alias("f"), "doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("line"))
+
+    def grow(done: bool):
+        def write(key, rows):
+            text = [f"{x}\n".encode() for x in rows.sort_values("doc_id")["line"]]
+            half = len(text) // 2
+            data = b"".join(text) + b'{"doc_id": 1, "la' if done else b"".join(text[:half]) + text[half][:9]
+            G.write_bytes(f"{folder}/raw/part-{key[0]}.jsonl.tmp", data)
+            return rows[["doc_id"]].head(1)
+
+        return lines.groupBy("f").applyInPandas(write, "doc_id bigint").count()
+
+    def drain():
+        rows = G.parsed(G.follow(spark, f"{folder}/raw", task_bytes=1 << 20), "doc_id bigint, lang string, n_chars bigint")
+        return ST.run_to_files(rows, f"{folder}/rows", f"{folder}/checkpoint")
+
+    grow(False)
+    early = checkpointed(drain().select("file", "start", F.lit(True).alias("early")))
+    grow(True)
+    streamed, batch = G.until_torn(drain()), G.read_until_torn(spark, f"{folder}/raw", "doc_id bigint, lang string, n_chars bigint")
+    both = streamed.withColumns({"s": F.lit(1), "b": F.lit(0)}).unionByName(batch.withColumns({"s": F.lit(0), "b": F.lit(1)}))
+    counted = both.groupBy("file", "start", "doc_id", "lang", "n_chars").agg(F.sum("s").alias("arrivals"), F.sum("b").alias("in_batch"))
+    return counted.join(early, ["file", "start"], "left").select("doc_id", "lang", "n_chars", F.coalesce("early", F.lit(False)).alias("early"), "arrivals", "in_batch")
+
+
 # ---- streams ----------------------------------------------------------------------------------
 
 

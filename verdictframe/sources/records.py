@@ -24,6 +24,12 @@ def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("singleVariantColumn", "raw").option("mode", "FAILFAST").json(path)
 
 
+def read_raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JSON lines as text (``line``) and as VARIANT (``raw``), for rules that need the order of keys; a broken line fails the read."""
+    lines = spark.read.text(path).where(~is_blank("value"))
+    return lines.select(F.col("value").alias("line"), F.parse_json("value").alias("raw"))
+
+
 def read_growing(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Complete rows of files still being written; unreadable lines are left out.
 

@@ -5,33 +5,81 @@ from __future__ import annotations
 import json
 import os
 import random
-import re
-from array import array
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import parts_for, strings
+from verdictframe.llm.common import parts_for
 from verdictframe.session import checkpointed
 
 #: Tokens of a sequence, pieces of one sub-problem, islands and epochs of it, individuals of an island and children an epoch.
 CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 2048, 2048, 2, 3, 5, 8
 #: A sequence filled less than this goes on to the next level, where remainders of many blocks meet.
 WELL_FILLED = 0.985
-_CACHE_WORDS, _LONG_WORD, _CHARS_AT_ONCE = 300_000, 48, 500_000
+#: Words that a task keeps with their ids (and those of one more slice), bytes of text that it encodes at once.
+_CACHE_WORDS, _BYTES_AT_ONCE = 400_000, 8_000_000
+#: Words that the pre-tokenizer cuts into a run of letters and a run of marks.
+_SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[.,!?;:|%$#&*()\-]*)$"
+_PIECE = ("doc_id", "row", "piece", "start", "length", "ids_crc32")
+
+
+class _Store:
+    """Token ids of strings in one flat array; strings not met for longest go when there are too many."""
+
+    def __init__(self, room: int):
+        self.room, self.turn = room, 0
+        self.strings = pa.array([], pa.string())
+        self.start, self.size, self.seen, self.ids = (np.zeros(0, np.int64) for _ in range(4))
+
+    def places(self, strings_: pa.Array, learn) -> np.ndarray:
+        """The place of each of some distinct strings; ``learn`` gives (sizes, ids) of those that aren't here."""
+        if len(self.strings) > self.room:
+            self._forget()
+        self.turn += 1
+        place = pc.index_in(strings_, value_set=self.strings)
+        missing = np.flatnonzero(pc.is_null(place).to_numpy(zero_copy_only=False))
+        out = place.fill_null(0).to_numpy().astype(np.int64)
+        if len(missing):
+            new = strings_.take(pa.array(missing))
+            size, ids = learn(new.to_pylist())
+            out[missing] = len(self.start) + np.arange(len(missing))
+            self.strings = pa.concat_arrays([self.strings, new])
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids.astype(np.uint32), ids])
+            self.seen = np.concatenate([self.seen, np.zeros(len(missing), np.int64)])
+        self.seen[out] = self.turn
+        return out
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.seen, kind="stable")[: self.room // 2])
+        self.strings = self.strings.take(pa.array(keep))
+        self.ids = self.ids[_ranges(self.start[keep], self.size[keep])]
+        self.size, self.seen = self.size[keep], self.seen[keep]
+        self.start = np.cumsum(self.size) - self.size
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each of several ranges, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
 class Encoder:
     """Token ids by the installed tokenizer, word by word.
 
     The vocabulary's pre-tokenizer never joins text across a space or a line end, so the ids of a text
-    are those of its words in turn. A task keeps the ids of words it has met, up to a fixed number. Words
-    of Latin letters with marks after them are split here as the pre-tokenizer would, and their letters
-    go straight to the tokenizer's model; everything else takes the whole tokenizer.
+    are those of its words in turn. Words are split off and numbered by Arrow kernels, so Python sees
+    distinct ones only, and ids are gathered by NumPy. Words of Latin letters with marks after them are
+    split as the pre-tokenizer would, and their letters go straight to the tokenizer's model; everything
+    else takes the whole tokenizer. A task keeps the ids of recent words, up to a fixed number.
     """
 
     def __init__(self, path: str):
@@ -44,75 +92,86 @@ class Encoder:
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         letters_alone = len(cuts) == 2 and spec["model"].get("end_of_word_suffix") and cuts[0]["type"] == "Split" and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in str(cuts[0]["pattern"].get("Regex"))
-        self.simple = None
-        if steps == ["NFC", "Replace", "Lowercase"] and letters_alone and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"]:
-            self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:|%$#&*()\-]*)")
+        self.simple = steps == ["NFC", "Replace", "Lowercase"] and letters_alone and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"]
+        if self.simple:
             level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "÷"}
+            self.bytes = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "÷"}
             self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
             ends = [i for token, i in spec["model"]["vocab"].items() if token.endswith(spec["model"]["end_of_word_suffix"])]
             self.ends = np.zeros(max(ends) + 1, dtype=bool)
             self.ends[ends] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {"": b""}
+        self.words, self.letters = _Store(_CACHE_WORDS), _Store(_CACHE_WORDS)
 
-    @staticmethod
-    def _ids(tokenizer, words: list[str]) -> list[bytes]:
-        return [array("I", got.ids).tobytes() for got in tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words by the whole tokenizer."""
+        got = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.array([len(x) for x in got], dtype=np.int64), np.fromiter((i for x in got for i in x), np.uint32)
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters: one run of the model over many words, cut where a token ends a word."""
-        out: list[bytes] = []
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words of letters: one run of the model over many words, cut where a token ends a word."""
+        sizes, out = [], []
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            text = " ".join([x if x.isascii() else x.translate(self.bytes) for x in part])
-            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = (4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)).tolist()
+            text = " ".join(part)
+            if not text.isascii():
+                for letter, shown in self.bytes.items():
+                    text = text.replace(letter, shown)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            cut = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
             if len(cut) != len(part):
                 raise ValueError("the vocabulary doesn't end every word with a token of its own")
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *cut], cut)]
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        known, letters = self.known, self.letters
-        waiting, other = [], new
+            sizes.append(np.diff(cut, prepend=0))
+            out.append(ids)
+        return np.concatenate(sizes), np.concatenate(out)
+
+    def _learned(self, distinct: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For distinct words two runs of ids each, letters and marks: (starts, sizes) of both within one flat array."""
+        n = len(distinct)
+        start, size = [np.zeros(n, np.int64), np.zeros(n, np.int64)], [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        flat, at = [], 0
+
+        def put(side, rows, store, strings_, learn, back=None):
+            nonlocal at
+            if not len(rows):
+                return
+            place = store.places(strings_, learn)
+            place = place if back is None else place[back]
+            start[side][rows], size[side][rows] = store.start[place] + at, store.size[place]
+            flat.append(store.ids)
+            at += len(store.ids)
+
+        rest = np.arange(n)
         if self.simple:
-            match, other = self.simple.fullmatch, []
-            for word in new:
-                m = match(word)
-                if m is None:
-                    other.append(word)
-                    continue
-                x, mark = m.groups()
-                x = x.lower()
-                if x in letters and mark in known:
-                    known[word] = letters[x] + known[mark] if mark else letters[x]
-                else:
-                    waiting.append((word, x, mark))
-            fresh = list({x for _, x, _ in waiting}.difference(letters))
-            letters.update(zip(fresh, self._letters(fresh)))
-            other += {x for _, _, x in waiting}.difference(known, other)
-        known.update(zip(other, self._ids(self.tokenizer, other)))
-        for word, x, mark in waiting:
-            known[word] = letters[x] + known[mark]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for word in new:
-            if len(word) > _LONG_WORD:
-                self.known.pop(word, None)
-                self.letters.pop(word.lower(), None)
-        if len(self.known) > _CACHE_WORDS:
-            self.known = {"": b""}
-        if len(self.letters) > _CACHE_WORDS:
-            self.letters = {"": b""}
-        return out
+            parts = pc.extract_regex(distinct, _SIMPLE)
+            whole = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+            rows, rest = np.flatnonzero(whole), np.flatnonzero(~whole)
+            fields = dict(zip(("letters", "marks"), parts.take(pa.array(rows)).flatten()))
+            for side, strings_, store, learn in ((0, pc.utf8_lower(fields["letters"]), self.letters, self._letters), (1, fields["marks"], self.words, self._words)):
+                code = strings_.dictionary_encode()
+                back, values = code.indices.to_numpy(), code.dictionary
+                empty = pc.equal(values, "").to_numpy(zero_copy_only=False)
+                held, number = np.flatnonzero(~empty), np.cumsum(~empty) - 1
+                some = ~empty[back]
+                put(side, rows[some], store, values.take(pa.array(held)), learn, number[back[some]])
+        put(0, rest, self.words, distinct.take(pa.array(rest)), self._words)
+        return start, size, np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+
+    def encode(self, texts: pa.Array, close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text and all their ids, one text after the other; ``close`` ends each text."""
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        code = lists.flatten().dictionary_encode()
+        count, word = lists.value_lengths().to_numpy().astype(np.int64), code.indices.to_numpy()
+        start, size, flat = self._learned(code.dictionary)
+        flat = np.append(flat, np.uint32(close or 0))
+        # Two runs a word, and one that closes each text.
+        owner = np.repeat(np.arange(len(count)), 2 * count)
+        place = np.arange(2 * len(word)) + owner
+        runs_start, runs_size = np.full(2 * len(word) + len(count), len(flat) - 1), np.full(2 * len(word) + len(count), close is not None, dtype=np.int64)
+        for side in (0, 1):
+            runs_start[place[side::2]], runs_size[place[side::2]] = start[side][word], size[side][word]
+        ids = flat[_ranges(runs_start, runs_size)]
+        done = np.r_[0, np.cumsum(runs_size)][np.cumsum(2 * count + 1)]
+        return np.diff(done, prepend=0), ids
 
 
 @lru_cache(2)
@@ -120,42 +179,50 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, piece, start, length, ids) per piece of every document of ``docs``.
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``_BYTES_AT_ONCE`` bytes together, with the place of the first; a longer text is one alone."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + _BYTES_AT_ONCE, "right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
+def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """(doc_id, row, piece, start, length, ids_crc32, ids) per piece of every document of ``docs``.
 
     A document is its ids and a closing id 0; only documents longer than ``capacity`` are cut, into
-    pieces of ``capacity`` ids. ``ids`` holds them as little-endian unsigned 32-bit numbers, ``row``
-    numbers the input rows (by task and place), so repeated rows stay apart.
+    pieces of ``capacity`` ids. ``ids`` holds them as little-endian unsigned 32-bit numbers (left out
+    unless ``keep_ids``), ids_crc32 is their checksum, ``row`` numbers the input rows (by task and
+    place), so repeated rows stay apart.
     """
 
     def run(batches):
         encoder = _encoder(tokenizer)
-        row = (TaskContext.get().partitionId() << 36) - 1
+        row = TaskContext.get().partitionId() << 36
         for b in batches:
-            texts, at = list(strings(b.column(1))), 0
-            while at < len(texts):
-                end, chars = at + 1, len(texts[at])
-                while end < len(texts) and chars + len(texts[end]) <= _CHARS_AT_ONCE:
-                    chars += len(texts[end])
-                    end += 1
-                owner, rows, pieces, starts, lengths, ids = [], [], [], [], [], []
-                for i, raw in enumerate(encoder.encode(texts[at:end]), at):
-                    raw += b"\0\0\0\0"
-                    row += 1
-                    for piece, x in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[x : x + 4 * capacity]
-                        owner.append(i)
-                        rows.append(row)
-                        pieces.append(piece)
-                        starts.append(x // 4)
-                        lengths.append(len(part) // 4)
-                        ids.append(part)
-                columns = [b.column(0).take(pa.array(owner, pa.int32())), pa.array(rows, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "piece", "start", "length", "ids"])
-                at = end
+            for at, texts in _slices(b.column(1)):
+                size, ids = encoder.encode(texts, 0)
+                pieces = -(-size // capacity)
+                owner = np.repeat(np.arange(len(size)), pieces)
+                piece = _ranges(np.zeros(len(size), np.int64), pieces)
+                start = piece * capacity
+                length = np.minimum(size[owner] - start, capacity)
+                place = (np.cumsum(size) - size)[owner] + start
+                raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+                cuts = [raw[4 * x : 4 * (x + n)] for x, n in zip(place.tolist(), length.tolist())]
+                columns = [b.column(0).take(pa.array(owner + at)), pa.array(owner + row), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
+                if keep_ids:
+                    columns.append(pa.array([bytes(x) for x in cuts], pa.binary()))
+                row += len(size)
+                yield pa.RecordBatch.from_arrays(columns, [*_PIECE, "ids"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, row bigint, piece int, start bigint, length bigint, ids binary")
+    kinds = [rows.schema[0].dataType.simpleString(), "bigint", "int", "bigint", "bigint", "bigint"]
+    schema = [f"{c} {k}" for c, k in zip(_PIECE, kinds)] + ["ids binary"] * keep_ids
+    return rows.mapInArrow(run, ", ".join(schema))
 
 
 class Bins:
@@ -380,6 +447,5 @@ def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     Extra columns are not read. The pieces are written once to the checkpoint folder; with
     ``keep_ids=False`` only their checksum is, and the column ``ids`` is left out.
     """
-    pieces = tokenized(docs, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    pieces = checkpointed(pieces if keep_ids else pieces.drop("ids"))
+    pieces = checkpointed(tokenized(docs, tokenizer, capacity, keep_ids=keep_ids))
     return pieces.join(pack(pieces, capacity, **options), ["row", "piece"]).drop("row")

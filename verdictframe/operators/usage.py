@@ -13,6 +13,7 @@ MEASURES = (
     "calls", "errors", "input_tokens", "output_tokens",
     "missing_input_usage", "missing_output_usage", "sum_call_ms",
 )
+VERDICT_MEASURES = (*MEASURES, "verdicts")
 
 
 def usage_by(traces: DataFrame, keys: Sequence[str], error: str = "error") -> DataFrame:
@@ -51,6 +52,12 @@ def usage_rollup(
     return out.withColumn("sum_call_hours", ms_to_hours("sum_call_ms"))
 
 
+def with_verdicts(per_run: DataFrame, verdicts: DataFrame, run: str = "run_id", judge: str = "judge") -> DataFrame:
+    """Per-run usage with the number of saved verdicts, 0 for a run that has none; roll up with ``VERDICT_MEASURES``."""
+    saved = verdicts.groupBy(run, judge).agg(F.count(F.lit(1)).alias("verdicts"))
+    return per_run.join(saved, [run, judge], "left").na.fill(0, ["verdicts"])
+
+
 def latency_summary(traces: DataFrame, keys: Sequence[str], exact: bool = True) -> DataFrame:
     """Median latency, tokens and errors per key.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdictframe.functions.text import is_blank
@@ -42,6 +45,20 @@ def usage_rollup(spark, sf_dir):
     return round_columns(U.usage_rollup(per_run), "sum_call_hours")
 
 
+@query(
+    "usage_with_verdicts",
+    f"""WITH t AS ({JUDGED_SQL}), v AS (SELECT run_id, judge, count(*) AS verdicts FROM t WHERE NOT error AND run_id <> 'r4' GROUP BY ALL),
+c AS (SELECT run_id, judge, count(*) AS calls, count(*) FILTER (error) AS errors FROM t GROUP BY ALL)
+SELECT CASE WHEN GROUPING(run_id) = 0 THEN 'run' WHEN GROUPING(judge) = 0 THEN 'judge' ELSE 'total' END AS level, run_id, judge, sum(calls)::bigint AS calls, sum(errors)::bigint AS errors,
+  sum(coalesce(verdicts, 0))::bigint AS verdicts FROM c LEFT JOIN v USING (run_id, judge) GROUP BY GROUPING SETS ((run_id, judge), (judge), ())""",
+)
+def usage_with_verdicts(spark, sf_dir):
+    """Calls, errors and saved verdicts by run, judge and in total; one run has lost its verdicts."""
+    t = _judged(spark, sf_dir)
+    per_run = U.with_verdicts(U.usage_by(t, ["run_id", "judge"]), t.where(~F.col("error") & (F.col("run_id") != "r4")))
+    return U.usage_rollup(per_run, measures=U.VERDICT_MEASURES).select("level", "run_id", "judge", "calls", "errors", "verdicts")
+
+
 @query(
     "latency_summary",
     f"""SELECT model, count(*) AS calls, count(*) FILTER (error) AS errors, sum(input_tokens)::bigint AS input_tokens, quantile_cont(latency_ms, 0.5) AS p50_ms
@@ -285,6 +302,92 @@ def growing_files(spark, sf_dir):
     return counted.join(early, ["file", "start"], "left").select("doc_id", "lang", "n_chars", F.coalesce("early", F.lit(False)).alias("early"), "arrivals", "in_batch")
 
 
+@query(
+    "catalogue_folders",
+    """SELECT 'part' || f AS dataset, count(*) AS n, (5 - f)::int AS place, true AS in_files FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 1 WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 5 = 0 THEN 3 ELSE 4 END AS f FROM documents) GROUP BY f""",
+)
+def catalogue_folders(spark, sf_dir):
+    """Datasets written one after the other, listed newest first from file listing and footers alone."""
+    folder, i = _work_folder(spark), F.col("doc_id")
+    part = F.when(i % 2 == 0, 1).when(i % 3 == 0, 2).when(i % 5 == 0, 3).otherwise(4)
+    for f in range(1, 5):
+        _documents(spark, sf_dir).where(part == f).write.parquet(f"{folder}/part{f}")
+        time.sleep(1.1)  # file times may have whole seconds
+    listed = S.catalogue_of(spark, folder)
+    place = F.row_number().over(Window.orderBy(F.desc("updated_at"), "dataset"))  # one row for each dataset
+    return listed.select("dataset", "n", place.alias("place"), (F.col("files") > 0).alias("in_files"))
+
+
+@query(
+    "file_digests",
+    """WITH d AS (SELECT doc_id, lang || ' ' || source || ' ' || n_chars AS line, doc_id % (SELECT greatest(8, (count(*) + 19999) // 20000) FROM documents) AS f FROM documents)
+SELECT f::int AS f, sum(strlen(line) + 1)::bigint AS length, sha256(string_agg(line, chr(10) ORDER BY doc_id) || chr(10)) AS sha256, 'match' AS status FROM d GROUP BY f""",
+)
+def file_digests(spark, sf_dir):
+    """Digests of written files, read in small blocks, and their audit against a manifest made of the first reading."""
+    folder, docs = _work_folder(spark), _documents(spark, sf_dir)
+    files = max(8, -(-docs.count() // 20_000))
+    line = F.concat_ws(" ", "lang", "source", F.col("n_chars").cast("string"))
+    rows = docs.select((F.col("doc_id") % files).alias("f"), "doc_id", line.alias("value"))
+    rows.repartition(files, "f").sortWithinPartitions("f", "doc_id").select("f", "value").write.partitionBy("f").text(folder)
+    manifest = checkpointed(Q.digests(spark, folder, "*.txt"))
+    audited = Q.audit_digests(Q.digests(spark, folder, "*.txt", block=1000), manifest.select("path", "sha256"))
+    return audited.select(F.regexp_extract("path", r"f=(\d+)", 1).cast("int").alias("f"), "length", "sha256", "status")
+
+
+@query(
+    "frozen_dataset",
+    """WITH s AS (SELECT doc_id, lang, source FROM documents WHERE doc_id % 20 = 3), k AS (SELECT lang || '/' || coalesce(nullif(CASE WHEN doc_id % 40 = 3 THEN source ELSE '' END, ''), '?') AS stratum, count(*) AS n FROM s GROUP BY 1)
+SELECT 'frozen' AS name, (SELECT count(*) FROM documents) AS raw_row_count, (SELECT count(*) FROM documents WHERE doc_id % 2 = 1) AS passing_gates, (SELECT count(*) FROM s) AS selected_n,
+  (SELECT string_agg(stratum || '=' || n, ',' ORDER BY stratum) FROM k) AS strata, (SELECT md5(string_agg(doc_id::varchar, ',' ORDER BY doc_id)) FROM s) AS ids, true AS refused, (SELECT count(*) FROM s) AS stored""",
+)
+def frozen_dataset(spark, sf_dir):
+    """A sample frozen with its manifest (strata, ids); freezing it again is refused and changes nothing."""
+    folder, docs = _work_folder(spark), _documents(spark, sf_dir)
+    sample = docs.where("doc_id % 20 = 3").select("doc_id", "lang", F.when(F.col("doc_id") % 40 == 3, F.col("source")).otherwise("").alias("source"))
+    requested = sample.count()
+    manifest = S.dataset_manifest(docs, docs.where("doc_id % 2 = 1"), "frozen", 17, requested, sample, ["lang", "source"], "doc_id")
+    S.freeze_dataset(sample, f"{folder}/rows", manifest, f"{folder}/manifest")
+    try:
+        S.freeze_dataset(sample.limit(1), f"{folder}/rows", manifest, f"{folder}/manifest")
+        refused = False
+    except AnalysisException as error:
+        refused = error.getCondition() == "PATH_ALREADY_EXISTS"
+    kept = spark.read.schema("name string, raw_row_count bigint, passing_gates bigint, selected_n bigint, strata_counts map<string,bigint>, sample_ids array<bigint>").json(f"{folder}/manifest")
+    entries = F.array_sort(F.transform(F.map_entries("strata_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    stored = S.read_jsonl(spark, f"{folder}/rows", "doc_id bigint").count()
+    return kept.select(
+        "name", "raw_row_count", "passing_gates", "selected_n", F.array_join(entries, ",").alias("strata"),
+        F.md5(F.array_join(F.transform("sample_ids", lambda x: x.cast("string")), ",")).alias("ids"), F.lit(refused).alias("refused"), F.lit(stored).cast("bigint").alias("stored"),
+    )
+
+
+@query("csv_round_trip", "SELECT doc_id, lang || ';' || source AS tags, '' AS none, lang || '\"quoted\"' AS odd FROM documents")
+def csv_round_trip(spark, sf_dir):
+    """Rows with lists through the CSV writer and back."""
+    folder = f"{_work_folder(spark)}/csv"
+    docs = _documents(spark, sf_dir)
+    rows = docs.select("doc_id", F.array("lang", "source").alias("tags"), F.lit(None).cast("array<int>").alias("none"), F.concat("lang", F.lit('"quoted"')).alias("odd"))
+    S.write_csv(rows, folder)
+    back = spark.read.option("header", "true").option("escape", '"').option("nullValue", "-").schema("doc_id bigint, tags string, none string, odd string").csv(folder)
+    return back.withColumn("none", F.coalesce("none", F.lit("")))
+
+
+@query(
+    "final_files",
+    """SELECT 'run' || (doc_id % 5) || '/judge.jsonl' AS file, CASE WHEN doc_id % 5 IN (1, 3) THEN 'tmp' ELSE 'final' END AS taken, count(*) AS n FROM documents GROUP BY doc_id % 5""",
+)
+def final_files(spark, sf_dir):
+    """Of a finished file and the partial one beside it the finished one is read, else the partial one."""
+    i = F.col("doc_id") % 5
+    run = F.concat(F.lit("run"), i.cast("string"), F.lit("/judge.jsonl"))
+    both = F.when(i.isin(1, 3), F.array(F.lit(".tmp"))).otherwise(F.array(F.lit(".tmp"), F.lit("")))
+    files = _documents(spark, sf_dir).select("doc_id", run.alias("run"), F.explode(both).alias("end")).select("doc_id", F.concat("run", "end").alias("path"))
+    taken = S.prefer_final(files.select("path").distinct())
+    rows = files.join(taken, "path").groupBy("file", "path").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("file", F.when(F.endswith("path", F.lit(".tmp")), "tmp").otherwise("final").alias("taken"), "n")
+
+
 # ---- streams ----------------------------------------------------------------------------------
 
 
@@ -310,18 +413,21 @@ def stream_usage_window(spark, sf_dir):
     return out.select(F.unix_seconds("w.start").alias("day"), *[c for c in out.columns if c != "w"])
 
 
-def _landed_events(spark, sf_dir, folder, copies=False):
-    """The events as a source of several files in event time, taken one a batch; every fifth comes again a file later."""
+def _landed_quarters(spark, sf_dir, folder, copies=False):
+    """The events landing as four quarters in event time: after each, a stream over all that has landed.
+
+    Every fifth event comes again a quarter later if ``copies``. A quarter keeps the partitions it has.
+    """
     events = T.table(spark, sf_dir, "events").withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
     cuts = events.approxQuantile("_t", [0.25, 0.5, 0.75], 0.001)
     number = sum((F.col("_t") > F.lit(int(c))).cast("int") for c in cuts)
     numbered = events.withColumn("_f", number)
     if copies:
         numbered = numbered.unionByName(numbered.where("event_id % 5 = 0").withColumn("_f", F.col("_f") + 1))
-    for f in range(len(cuts) + 1 + int(copies)):
-        numbered.where(F.col("_f") == f).drop("_f", "_t").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
     schema = T.table(spark, sf_dir, "events").schema
-    return ST.trace_stream(spark, f"{folder}/landed", schema, "parquet", files_per_trigger=1)
+    for f in range(len(cuts) + 1 + int(copies)):
+        numbered.where(F.col("_f") == f).drop("_f", "_t").write.mode("append").parquet(f"{folder}/landed")
+        yield ST.trace_stream(spark, f"{folder}/landed", schema, "parquet")
 
 
 @query(
@@ -333,8 +439,8 @@ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM t) - INTERV
 def stream_usage_closed(spark, sf_dir):
     """Daily usage over several batches, appended to files as the watermark closes a day; state expires with it."""
     folder = _work_folder(spark)
-    windows = ST.usage_windows(T.trace_columns(_landed_events(spark, sf_dir, folder)))
-    out = ST.run_to_files(windows, f"{folder}/usage", f"{folder}/checkpoint")
+    for stream in _landed_quarters(spark, sf_dir, folder):
+        out = ST.run_to_files(ST.usage_windows(T.trace_columns(stream)), f"{folder}/usage", f"{folder}/checkpoint")
     return out.select(F.unix_seconds("w.start").alias("day"), *[c for c in out.columns if c != "w"])
 
 
@@ -345,8 +451,8 @@ def stream_usage_closed(spark, sf_dir):
 def stream_dedup_batches(spark, sf_dir):
     """Copies that arrive in a later batch than their event are not counted again."""
     folder = _work_folder(spark)
-    stream = T.trace_columns(_landed_events(spark, sf_dir, folder, copies=True))
-    events = ST.run_to_files(ST.dedup_events(stream), f"{folder}/events", f"{folder}/checkpoint")
+    for stream in _landed_quarters(spark, sf_dir, folder, copies=True):
+        events = ST.run_to_files(ST.dedup_events(T.trace_columns(stream)), f"{folder}/events", f"{folder}/checkpoint")
     return events.groupBy("model").agg(F.count(F.lit(1)).alias("events"), F.sum("latency_ms").alias("sum_call_ms"))
 
 
@@ -360,8 +466,9 @@ def stream_upsert_shared(spark, sf_dir):
     folder = _work_folder(spark)
     first_keys = None
     for i, half in enumerate(("even", "odd")):
-        stream = _landed_events(spark, sf_dir, f"{folder}/{half}").where(F.col("event_id") % 2 == i).select("user_id", "event_type")
-        ST.upsert_steps(stream, f"{folder}/target", f"{folder}/checkpoint-{half}", ["user_id"]).start().awaitTermination()
+        for stream in _landed_quarters(spark, sf_dir, f"{folder}/{half}"):
+            own = stream.where(F.col("event_id") % 2 == i).select("user_id", "event_type")
+            ST.upsert_steps(own, f"{folder}/target", f"{folder}/checkpoint-{half}", ["user_id"]).start().awaitTermination()
         if first_keys is None:
             first_keys = spark.read.parquet(f"{folder}/target").count()
     stored = spark.read.parquet(f"{folder}/target")
@@ -393,6 +500,23 @@ def stream_live_status(spark, sf_dir):
     return ST.run_available(ST.live_status(rows), f"status_{uuid.uuid4().hex}", "complete", f"{folder}/checkpoint")
 
 
+@query(
+    "stream_status_moves",
+    """SELECT step, status, count(*) AS n, (SELECT count(DISTINCT user_id) FROM events) AS records FROM (
+  SELECT event_type AS step, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 4 = 0 THEN 'unset' ELSE 'ok' END AS status,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1 GROUP BY ALL""",
+)
+def stream_status_moves(spark, sf_dir):
+    """Records that move on over four batches count where they are last; moves are appended to files."""
+    folder = _work_folder(spark)
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 4 != 0, "ok")
+    for stream in _landed_quarters(spark, sf_dir, folder):
+        rows = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("step"), status.alias("status"))
+        moves = ST.run_to_files(ST.status_moves(rows, "user_id", tie="event_id", ttl="36500 days"), f"{folder}/moves", f"{folder}/checkpoint")
+    records = moves.agg(F.sum("delta").alias("n")).scalar()
+    return ST.status_counts_of(moves).withColumn("records", records)
+
+
 @query("stream_upsert", "SELECT user_id, count(*) AS rows FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
 def stream_upsert(spark, sf_dir):
     """Step outputs keyed by question: each key is stored once, however often it arrives."""

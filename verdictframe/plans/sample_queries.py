@@ -355,6 +355,29 @@ def balanced_assignment_totals(spark, sf_dir):
     return per.agg(F.sum("n").alias("chosen"), F.count_if(F.col("n") > 1).alias("repeated"))
 
 
+@query(
+    "balanced_assignment_targets",
+    f"""WITH v AS (SELECT DISTINCT core_id, provider FROM ({CANDIDATES_SQL}) WHERE is_validated), t AS (SELECT count(*) // 3 AS target FROM documents),
+c AS (SELECT provider, count(*) AS capacity FROM v GROUP BY provider), b AS (SELECT provider, capacity, least(capacity, target // (SELECT count(*) FROM c)) AS base FROM c, t),
+h AS (SELECT provider, base, capacity - base AS room FROM b), s AS (SELECT (SELECT target FROM t) - sum(base) AS slack, max(room) AS top FROM h),
+l AS (SELECT min(level) AS level FROM (SELECT level, (SELECT sum(greatest(0, room - level)) FROM h) AS gone FROM (SELECT unnest(range(0, top + 1)) AS level FROM s)) WHERE gone <= (SELECT slack FROM s)),
+g AS (SELECT provider, base + greatest(0, room - level) AS even, room >= level AND level > 0 AS more, row_number() OVER (PARTITION BY room >= level AND level > 0 ORDER BY provider) AS r,
+  (SELECT slack FROM s) - sum(greatest(0, room - level)) OVER () AS rest FROM h, l)
+SELECT provider, (even + CASE WHEN more AND r <= rest THEN 1 ELSE 0 END)::bigint AS target, (even + CASE WHEN more AND r <= rest THEN 1 ELSE 0 END)::bigint AS n, 5::bigint AS kinds, true AS spread FROM g""",
+)
+def balanced_assignment_targets(spark, sf_dir):
+    """Chosen records of each provider against its target, their change types and whether these are spread."""
+    rows = candidates(spark, sf_dir)
+    valid = rows.where("is_validated")
+    capacity = {r["provider"]: r["n"] for r in valid.groupBy("provider").agg(F.count_distinct("core_id").alias("n")).orderBy("provider").collect()}
+    targets = A.capacity_targets(capacity, T.table(spark, sf_dir, "documents").count() // 3)
+    wanted = spark.createDataFrame(list(targets.items()), "provider string, target bigint")
+    chosen = balanced_assignment(spark, sf_dir).groupBy("provider", "kind").agg(F.count(F.lit(1)).alias("k"))
+    per = chosen.groupBy("provider").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("k").alias("least"))
+    spread = F.col("least") >= F.least(F.greatest(F.lit(1), F.floor(F.col("target") / 10)), F.floor(F.col("target") / 10))
+    return wanted.join(per, "provider", "left").select("provider", "target", "n", "kinds", spread.alias("spread"))
+
+
 # ---- review ---------------------------------------------------------------------------------
 
 

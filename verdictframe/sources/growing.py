@@ -40,7 +40,7 @@ class Piece(InputPartition):
     first: bool
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI or a plain path; Hadoop's ``file:/x`` is a URI too."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
@@ -49,7 +49,7 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 def write_bytes(uri: str, data: bytes) -> None:
     """One file with these bytes; its folder is made if need be."""
-    files, path = _place(uri)
+    files, path = file_system(uri)
     files.create_dir(posixpath.dirname(path), recursive=True)
     with files.open_output_stream(path) as f:
         f.write(data)
@@ -62,7 +62,7 @@ class Files:
         uri = options.get("path", "")
         if not uri:
             raise ValueError("the source needs a path")
-        self.files, self.root = _place(uri)
+        self.files, self.root = file_system(uri)
         self.pattern = options.get("pattern", "*.jsonl")
         self.task_bytes = int(options.get("taskBytes", TASK_BYTES))
 

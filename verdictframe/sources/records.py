@@ -157,15 +157,28 @@ def freeze_dataset(df: DataFrame, path: str, manifest: DataFrame, manifest_path:
     return n
 
 
-def dataset_manifest(raw: DataFrame, passing: DataFrame, name: str, seed: int, requested: int) -> DataFrame:
-    """Counts behind a dataset as one row."""
-    return raw.agg(F.count(F.lit(1)).alias("raw_row_count")).select(
+def dataset_manifest(
+    raw: DataFrame, passing: DataFrame, name: str, seed: int, requested: int, selected: DataFrame | None = None, strata: Sequence[str] = (), sample_id: str | None = None
+) -> DataFrame:
+    """Counts behind a dataset as one row; with ``selected`` also how many rows each stratum has, and the ids.
+
+    A stratum's name joins its columns by ``/``, ``?`` for what is missing. Ids come in order. Both describe a sample that
+    was drawn to a requested size, so they are as long as that sample, not as the raw data.
+    """
+    out = raw.agg(F.count(F.lit(1)).alias("raw_row_count")).select(
         F.lit(name).alias("name"),
         "raw_row_count",
         passing.agg(F.count(F.lit(1))).scalar().alias("passing_gates"),
         F.lit(requested).alias("requested_n"),
         F.lit(seed).alias("seed"),
     )
+    if selected is not None and strata:
+        named = F.concat_ws("/", *[F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("?")) for c in strata])
+        counted = selected.groupBy(named.alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.withColumn("strata_counts", counted.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stratum", "n"))))).scalar())
+    if selected is not None and sample_id:
+        out = out.withColumn("sample_ids", selected.agg(F.sort_array(F.collect_list(F.col(sample_id)))).scalar())
+    return out
 
 
 def manifest_view(entries: DataFrame, keys: Sequence[str] = ("run_id", "key"), value: str = "value", at: str = "ts") -> DataFrame:
@@ -181,6 +194,20 @@ def catalogue(rows: DataFrame, dataset: str, updated: str) -> DataFrame:
     return counted.orderBy(F.desc("updated_at"), dataset)
 
 
+def catalogue_of(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
+    """Datasets in the folders under ``root`` with files, rows and time of the last write, newest first.
+
+    A dataset is a folder right under ``root``. No column is read: Parquet counts come from the file footers,
+    everything else from the file listing.
+    """
+    path = F.col("_metadata.file_path")
+    name = F.regexp_extract(F.replace(path, F.lit("%20"), F.lit(" ")), r"([^/]+)/[^/]+$", 1)
+    rows = spark.read.format(fmt).load(f"{root.rstrip('/')}/*")
+    per_file = rows.groupBy(name.alias("dataset"), path.alias("_path"), F.col("_metadata.file_modification_time").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = per_file.groupBy("dataset").agg(F.count(F.lit(1)).alias("files"), F.sum("_n").alias("n"), F.max("_at").alias("updated_at"))
+    return counted.orderBy(F.desc("updated_at"), "dataset")
+
+
 def runs_with_steps(rows: DataFrame, run: str = "run_id", step: str = "step") -> DataFrame:
     """Runs, newest id first, with the steps present in step order."""
     order = F.array(*[F.lit(s) for s in STEP_ORDER])

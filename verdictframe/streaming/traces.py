@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,46 @@ def live_status(df: DataFrame, step: str = "step", status: str = "status") -> Da
     return df.groupBy(step, F.coalesce(F.col(status), F.lit("unset")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def status_moves(
+    stream: DataFrame, key: str, step: str = "step", status: str = "status", ts: str = "ts", tie: str | None = None, ttl: str = "7 days", delay: str = DEFAULT_DELAY
+) -> DataFrame:
+    """(step, status, delta): +1 where a record arrives in a status, -1 where it leaves one; append these to files.
+
+    The state store holds the last (step, status) of each record, so a record that moves on is taken from where it was
+    counted. A row that is older than the stored one (by ``ts``, then ``tie``) changes nothing. A record
+    without a row for ``ttl`` of event time is forgotten, which keeps its count: what it does after that counts
+    as a new record. Rows without a key have no record and are left out.
+    """
+    span = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    rows = stream.where(F.col(key).isNotNull()).withWatermark(ts, delay)
+    rows = rows.select(
+        F.col(key).alias("_key"), ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), (F.col(tie).cast("bigint") if tie else F.lit(0).cast("bigint")).alias("tie"),
+        F.col(step).cast("string").alias("step"), F.coalesce(F.col(status), F.lit("unset")).alias("status"),
+    )
+
+    def move(_, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = max((r for f in frames for r in f[["at", "tie", "step", "status"]].itertuples(index=False, name=None)), key=lambda r: r[:2])
+        old = state.get if state.exists else None
+        if old is None or best[:2] > tuple(old[:2]):
+            state.update(tuple(best))
+            out = [(*best[2:], 1)] + ([(*old[2:], -1)] if old is not None else [])
+            if old is None or tuple(old[2:]) != best[2:]:
+                yield pd.DataFrame(out, columns=["step", "status", "delta"])
+        state.setTimeoutTimestamp(max(int(state.get[0]) // 1000, state.getCurrentWatermarkMs()) + span)
+
+    return rows.groupBy("_key").applyInPandasWithState(
+        move, "step string, status string, delta bigint", "at bigint, tie bigint, step string, status string", "append", "EventTimeTimeout"
+    )
+
+
+def status_counts_of(moves: DataFrame) -> DataFrame:
+    """Records per (step, status) from the appended moves."""
+    return moves.groupBy("step", "status").agg(F.sum("delta").alias("n")).where("n <> 0")
+
+
 def dedup_events(df: DataFrame, ids: Sequence[str] = ("event_id",), ts: str = "ts", delay: str = DEFAULT_DELAY) -> DataFrame:
     """Drops repeats of an event id that arrive within the watermark; state expires with it."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(ids))

@@ -86,9 +86,14 @@ class Balls:
         self.order[a:b] = self.order[a:b][order]
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """At least the inner product of the query with any row of each node: <q, centroid> + |q| radius, rounded up."""
+        """At least the inner product of the query with any row of each node: <q, centroid> + |q| radius, rounded up.
+
+        Values are positive, so a term that the centroid lacks is in none of the node's rows, and |q| counts
+        only the terms that the node has.
+        """
         w = weights.astype(np.float64)
-        return (self.centroids[:, terms] @ w + math.sqrt(float(w @ w)) * self.radius) * (1 + _SLACK) + 1
+        centroids = self.centroids[:, terms]
+        return (centroids @ w + np.sqrt((centroids > 0) @ (w * w)) * self.radius) * (1 + _SLACK) + 1
 
     def search(self, query: dict[int, int], ids: np.ndarray, best: list, k: int, kth: tuple[int, int] | None) -> int:
         """Best-first walk that keeps the ``k`` best (score, -id) of positive score in the heap ``best``.
@@ -202,7 +207,7 @@ def _search(facts: DataFrame, queries: dict[int, dict[int, int]], docs: int, tot
         out = [(q, s, -i) for q, heap in best.items() for s, i in heap]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], ["q", "score", "id"])
 
-    return facts.where(F.size("terms") > 0).select("id", "n", "terms", "tfs").mapInArrow(run, "q bigint, score bigint, id bigint")
+    return facts.mapInArrow(run, "q bigint, score bigint, id bigint")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -223,15 +228,17 @@ def _block(docs: DataFrame, asked: list, k: int, text_col: str, id_col: str) ->
         for t in terms:
             vocabulary.setdefault(t, len(vocabulary))
     facts = checkpointed(_facts(docs, vocabulary, text_col, id_col))
-    count, total = facts.where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
+    count, total, holding = facts.where("n > 0").agg(F.count(F.lit(1)), F.sum("n"), F.count(F.when(F.size("terms") > 0, 1))).first()
     weights = _weights(facts, count)
     queries = {q: {t: c * weights[t] for t, c in Counter(vocabulary[t] for t in terms).items() if weights.get(t, 0) > 0} for q, terms in asked}
     queries = {q: v for q, v in queries.items() if v}
+    facts = facts.where(F.size("terms") > 0).select("id", "n", "terms", "tfs")
     # A fixed share of the documents gives every query a kth score; the others send only what can reach it.
     wave = F.pmod(F.xxhash64("id", "n"), F.lit(FIRST))
-    first = checkpointed(_ranked(_search(facts.where(wave == 0), queries, count, total, k, {}), k))
+    shards = parts_for(holding, SHARD_ROWS)  # a task holds about one tree, however the documents lay in files
+    first = checkpointed(_ranked(_search(facts.where(wave == 0).repartition(parts_for(shards, FIRST)), queries, count, total, k, {}), k))
     kth = {r["q"]: (r["score"], -r["id"]) for r in first.where(F.col("rank") == k).collect()}
-    rest = _search(facts.where(wave != 0), queries, count, total, k, kth)
+    rest = _search(facts.where(wave != 0).repartition(shards), queries, count, total, k, kth)
     return _ranked(first.drop("rank").unionByName(rest), k)
 
 

@@ -1,6 +1,6 @@
 """Cluster bootstrap percentile intervals.
 
-Three methods, cheapest first for large tables:
+Four methods, cheapest first for large tables:
 
 ``cluster_bootstrap``
     Exact multinomial resampling. Clusters with equal sufficient statistics are interchangeable,
@@ -13,6 +13,8 @@ Three methods, cheapest first for large tables:
 ``hashed_draws``
     Exact multinomial resampling with one row per draw, each a pure function of (seed, replicate,
     draw). Work is replicates x clusters; use it when a run must be repeatable in another engine.
+``hashed_strata`` and ``hashed_rate_interval``
+    The same draws for many strata, and for groups that each resample their own answers.
 ``poisson_bootstrap``
     Independent Poisson(1) weights per (replicate, cluster): no index and no totals, so a sampling
     scheme with a random total rather than the exact one.
@@ -28,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.operators.ranking import dense_index, hash_order
+from verdictframe.operators.ranking import dense_index, hash_order, rank_by_hash
 from verdictframe.session import checkpointed
 
 _BLOCK_CELLS = 2_000_000  # weight-matrix cells held at once by a task
@@ -260,6 +262,51 @@ def hashed_draws(stats: DataFrame, cluster: str, n_boot: int, seed: int | str) -
     return joined.groupBy("b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
+def hashed_strata(stats: DataFrame, by: Sequence[str], cluster: str, population: DataFrame, n_boot: int, seed: int | str, level: float = 0.95, scale: float = 100.0) -> DataFrame:
+    """Point and percentile interval per stratum by draws that any engine can repeat.
+
+    All strata share the draws, one for each cluster of the population and replicate, each a hash of (seed,
+    replicate, cluster index). Draws of one replicate that hit the same cluster are counted before they meet
+    its strata, so rows shuffled are draws and hit strata; no replicate, stratum or hot cluster lies in one
+    task. Work is replicates x clusters.
+    """
+    indexed = checkpointed(dense_index(population.select(cluster).distinct(), cluster, "idx"))
+    n = indexed.count()
+    spread = indexed.select("idx").repartition(_tasks(stats), "idx")
+    draws = spread.select(F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"), F.col("idx").alias("d"))
+    hits = draws.select("b", draw_index(seed, F.col("b"), F.col("d"), F.lit(n)).alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
+    rows = checkpointed(stats.join(indexed, cluster).groupBy(*by, "idx").agg(F.sum("num").alias("num"), F.sum("den").alias("den")))
+    point = rows.groupBy(*by).agg(F.sum("den").cast("bigint").alias("n"), F.count_if(F.col("den") > 0).alias("n_clusters"), (scale * F.sum("num") / F.sum("den")).alias("point"))
+    sums = hits.join(rows, "idx").groupBy(*by, "b").agg(F.sum(F.col("w") * F.col("num")).alias("num"), F.sum(F.col("w") * F.col("den")).alias("den"))
+    reps = sums.where(F.col("den") > 0).select(*by, (F.col("num") / F.col("den")).alias("rep"))
+    return point.join(percentile_interval(reps, by, level=level, scale=scale), list(by), "left")
+
+
+def hashed_rate_interval(df: DataFrame, by: Sequence[str], answer_keys: Sequence[str], event: str, n_boot: int = 1000, seed: int | str = 20260627) -> DataFrame:
+    """``rate_interval`` by draws that any engine can repeat, with no group in one task.
+
+    Every group resamples its own answers: these are ranked by hash inside the group, and draw d of replicate b takes the
+    answer whose rank is a hash of (seed, group, b, d) modulo the group's size. Work is replicates x answers.
+    """
+    flag = F.coalesce(F.col(event), F.lit(False)).cast("int")
+    per_answer = checkpointed(df.groupBy(*by, *answer_keys).agg(F.sum(flag).alias("num"), F.count(F.lit(1)).alias("den")))
+    totals = per_answer.groupBy(*by).agg(F.sum("num").alias("events"), F.sum("den").alias("n"), F.count(F.lit(1)).alias("clusters"))
+    grp = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
+    ranked = rank_by_hash(per_answer.withColumn("_grp", grp), ["_grp"], seed, [*by, *answer_keys], "_rank")
+    sizes = totals.select(grp.alias("_grp"), F.col("clusters").alias("_size"))
+    indexed = checkpointed(ranked.join(sizes, "_grp").select("_grp", (F.col("_rank") - 1).alias("_idx"), "_size", "num", "den"))
+    spread = indexed.select("_grp", "_idx", "_size").repartition(_tasks(df), "_grp", "_idx")
+    draws = spread.select("_grp", "_size", F.col("_idx").alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "_grp", F.col("b").cast("string"), F.col("_d").cast("string")))
+    hits = draws.select("_grp", "b", F.coalesce(F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") % F.col("_size"), F.lit(0)).alias("_idx"))
+    sums = hits.join(indexed, ["_grp", "_idx"]).groupBy("_grp", "b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    interval = percentile_interval(sums.select("_grp", (F.col("num") / F.col("den")).alias("rep")), ["_grp"])
+    joined = totals.withColumn("_grp", grp).join(interval, "_grp", "left")
+    none, every = F.col("events") == 0, F.col("events") == F.col("n")
+    low, high = rule_of_three(none, every, F.col("n"), F.col("ci_low"), F.col("ci_high"))
+    return joined.select(*by, "events", "n", "clusters", (100.0 * F.col("events") / F.col("n")).alias("point"), low.alias("ci_low"), high.alias("ci_high"), "replicates")
+
+
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws.
 _POISSON_CDF = tuple(float(x) for x in np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(13)]))
 

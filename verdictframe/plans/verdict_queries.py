@@ -285,6 +285,69 @@ def bootstrap_poisson(spark, sf_dir):
     return _interval(stats, B.poisson_bootstrap(stats, [], "l_suppkey", N_DRAWS, DRAW_SEED))
 
 
+# Draws over questions: SQL repeats every one of them, so there are fewer replicates than a report has.
+N_REPEATED = 100
+QUESTION_DRAWS_SQL = f"""i AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY left(md5(core_id::varchar), 15), core_id) - 1 AS idx, count(*) OVER (PARTITION BY population) AS size FROM c),
+d AS (SELECT population, b, ('0x' || left(md5(concat_ws(':', seed, b, idx)), 8))::bigint % size AS hit, count(*) AS w FROM i, range({N_REPEATED}) r(b) GROUP BY ALL)"""
+
+
+@query(
+    "bootstrap_blocks_repeated",
+    ANSWERS_SQL
+    + f""", c AS (SELECT DISTINCT core_id, population, {DRAW_SEED} + CASE population WHEN 'full' THEN 0 WHEN 'validated' THEN 101 ELSE 202 END AS seed FROM (
+  SELECT core_id, unnest(['full', CASE WHEN is_validated THEN 'validated' ELSE 'gap_fill' END]) AS population FROM v)),
+{QUESTION_DRAWS_SQL},
+g AS (SELECT core_id, unnest(['all', generator]) AS grp, gold, delta FROM u WHERE usable),
+m AS (SELECT core_id, grp, unnest([CASE WHEN gold THEN 'recall_delta' ELSE 'fpr_delta' END, 'flag_rate_delta']) AS metric, delta FROM g),
+s AS (SELECT population, idx, grp, metric, sum(delta) AS num, count(*) AS den FROM m JOIN i USING (core_id) GROUP BY ALL),
+r AS (SELECT s.population, grp, metric, b, sum(w * num) / sum(w * den) AS rep FROM s JOIN d ON s.population = d.population AND s.idx = d.hit GROUP BY ALL),
+q AS (SELECT population, grp, metric, sum(den)::bigint AS n, count(*) AS n_clusters, 100 * sum(num) / sum(den) AS point FROM s GROUP BY ALL),
+b AS (SELECT population, grp, metric, 100 * quantile_cont(rep, 0.025) AS lo, 100 * quantile_cont(rep, 0.975) AS hi, count(*) AS replicates FROM r GROUP BY ALL)
+SELECT population, grp, metric, n, n_clusters, round(point, 6) AS point, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, replicates, lo <= 0 AND hi >= 0 AS covers_zero FROM q JOIN b USING (population, grp, metric)""",
+)
+def bootstrap_blocks_repeated(spark, sf_dir):
+    """All strata of the three populations over questions, by draws that SQL repeats one by one."""
+    stats = checkpointed(P.stratum_stats(_answers(spark, sf_dir), "core_id").withColumnRenamed("group", "grp"))
+    clusters = checkpointed(T.verdicts(spark, sf_dir).select("core_id", "is_validated").distinct())
+    valid = F.col("is_validated")
+    out = None
+    for offset, (name, population) in enumerate({"full": clusters, "validated": clusters.where(valid), "gap_fill": clusters.where(~valid)}.items()):
+        part = B.hashed_strata(stats, ["grp", "metric"], "core_id", population, N_REPEATED, DRAW_SEED + 101 * offset).withColumn("population", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return round_columns(out.withColumn("covers_zero", P.interval_covers_zero()), "point", "ci_low", "ci_high")
+
+
+@query(
+    "rate_ci_repeated",
+    f"""WITH v AS ({T.DOC_VERDICTS}), a AS (SELECT judge, generator, behavior, core_id, count(*) FILTER (pred) AS num, count(*) AS den FROM v WHERE gold GROUP BY ALL),
+g AS (SELECT *, concat_ws('|', coalesce(judge, ''), coalesce(generator, ''), coalesce(behavior, '')) AS grp FROM a),
+i AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY left(md5(concat_ws(':', '{DRAW_SEED}', judge, generator, behavior, core_id)), 15), core_id) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS size FROM g),
+d AS (SELECT grp, b, ('0x' || left(md5(concat_ws(':', '{DRAW_SEED}', grp, b, idx)), 8))::bigint % size AS hit FROM i, range({N_REPEATED}) r(b)),
+r AS (SELECT d.grp, b, sum(num) / sum(den) AS rep FROM d JOIN i ON d.grp = i.grp AND d.hit = i.idx GROUP BY ALL),
+b AS (SELECT grp, 100 * quantile_cont(rep, 0.025) AS lo, 100 * quantile_cont(rep, 0.975) AS hi, count(*) AS replicates FROM r GROUP BY grp),
+t AS (SELECT grp, judge, generator, behavior, sum(num)::bigint AS events, sum(den)::bigint AS n, count(*) AS clusters FROM g GROUP BY ALL)
+SELECT judge, generator, behavior, events, n, clusters, round(100.0 * events / n, 6) AS point, round(CASE WHEN events = 0 THEN lo WHEN events = n THEN 100 - 300.0 / n ELSE lo END, 6) AS ci_low,
+  round(CASE WHEN events = 0 THEN 300.0 / n ELSE hi END, 6) AS ci_high, replicates FROM t JOIN b USING (grp)""",
+)
+def rate_ci_repeated(spark, sf_dir):
+    """Rates per judge, generator and behaviour with intervals over their own answers, by draws that SQL repeats."""
+    rows = T.doc_verdicts(spark, sf_dir).where("gold")
+    out = B.hashed_rate_interval(rows, ["judge", "generator", "behavior"], ["core_id"], "pred", N_REPEATED, DRAW_SEED)
+    return round_columns(out, "point", "ci_low", "ci_high")
+
+
+@query(
+    "bootstrap_poisson_questions",
+    STATS_SQL
+    + f""", w AS (SELECT b, num, den, ('0x' || left(md5(concat_ws(':', '{DRAW_SEED}', b, core_id)), 15))::bigint / 1152921504606846976::double AS u FROM s, range({N_REPEATED}) r(b)),
+x AS (SELECT b, num, den, {_weight_sql('u')} AS weight FROM w),
+r AS (SELECT b, sum(weight * num) / sum(weight * den) AS rep, sum(weight * den) AS total FROM x GROUP BY b) {INTERVAL_SQL}""",
+)
+def bootstrap_poisson_questions(spark, sf_dir):
+    stats = checkpointed(_gold_stats(spark, sf_dir))
+    return _interval(stats, B.poisson_bootstrap(stats, [], "core_id", N_REPEATED, DRAW_SEED))
+
+
 def _checked(out):
     """Random bounds as what SQL can vouch for: their order and their distance from the normal ones."""
     low, high, point = F.col("ci_low"), F.col("ci_high"), F.col("point")

@@ -139,3 +139,28 @@ def test_runs_without_verdicts_count_none(spark):
     saved = spark.createDataFrame([("r1", "j")] * 3, "run_id string, judge string")
     got = {r.run_id: r.verdicts for r in usage.with_verdicts(per_run, saved).collect()}
     assert got == {"r1": 3, "r2": 0}
+
+
+def test_beginnings_equal_brute_force_over_many_ranges(spark):
+    from verdictframe.operators.prefixes import beside
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aäb") for _ in range(rng.randint(0, 5)))
+    cases = [(rng.choice("xyz"), word()) for _ in range(300)] + [("x", None), (None, "a"), ("w", "a")] + [("x", "ab")] * 200
+    for n in (0, 1, 5, 40):
+        examples = [(rng.choice("xy"), word()) for _ in range(n)] + [("x", "b" * 9)] * min(1, n)
+        schema = "cell string, q string"
+        got = beside(spark.createDataFrame(cases, schema), spark.createDataFrame(examples, schema), "cell", "q", rows_per_task=7).collect()
+        want = {(c, q) for c, q in cases for d, e in examples if c == d and q is not None and (q.startswith(e) or e.startswith(q))}
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+
+
+def test_long_examples_are_single_rows(spark):
+    from verdictframe.operators import review
+
+    long = "what is " + "x" * 10_000
+    cases = spark.createDataFrame([(1, "c", long[:9_000]), (2, "c", long + " more"), (3, "c", "what is y"), (4, "d", long), (5, "c", "!!")], "case_id int, cell string, question string")
+    examples = spark.createDataFrame([("c", long), ("c", "?!")], "cell string, question string")
+    out = review.match_examples(cases, examples)
+    assert sorted(r.case_id for r in out.collect()) == [1, 2, 5]
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()

@@ -16,8 +16,10 @@ from verdictframe.functions.text import (
     normalize,
 )
 from verdictframe.operators.bootstrap import rule_of_three
+from verdictframe.operators.prefixes import beside
 from verdictframe.operators.ranking import rank_by_hash
 from verdictframe.operators.sampling import matched_sample, stratified_sample
+from verdictframe.session import checkpointed
 
 REFUSAL_CONFLICT = ("refusal_or_insufficient", "conflict_awareness")
 # Confusion cells by the names the flag audit uses.
@@ -188,26 +190,13 @@ def match_examples(
 ) -> DataFrame:
     """Cases of an example's cell whose question starts like the example's, or the other way round.
 
-    Both directions are equi joins on whole texts, so a common cell or opening never pairs many
-    cases with many examples. A case is cut to the lengths examples have, after a semi join on
-    their common shortest length has removed most cases; and every beginning of an example is a
-    row that a shorter case must equal.
+    Questions and examples are sorted together by cell and text and merged (``prefixes.beside``), so there is one
+    row for each distinct text, whatever its length, and a common cell or opening never pairs many cases
+    with many examples. An example without letters or digits matches nothing.
     """
-    wanted = examples.select(F.col(cell), normalize(question).alias("_q")).where(F.length("_q") > 0).distinct()
-    asked = cases.select(key, cell, normalize(question).alias("_cq"))
-    shortest = wanted.agg(F.min(F.length("_q"))).scalar()
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("_q")))).scalar()
-
-    heads = wanted.select(cell, F.left("_q", shortest).alias("_head")).distinct()
-    near = asked.withColumn("_head", F.left("_cq", shortest)).join(heads, [cell, "_head"], "left_semi")
-    cut = near.withColumn("_n", F.explode(lengths)).where(F.col("_n") <= F.length("_cq"))
-    cut = cut.withColumn("_q", F.left("_cq", F.col("_n")))
-    longer = cut.join(wanted, [cell, "_q"], "left_semi").select(key)
-
-    starts = wanted.select(cell, "_q", F.explode(F.sequence(F.lit(0), F.length("_q"))).alias("_n"))
-    starts = starts.select(cell, F.left("_q", F.col("_n")).alias("_cq")).distinct()
-    shorter = asked.join(starts, [cell, "_cq"], "left_semi").select(key)
-    return longer.union(shorter).distinct()
+    wanted = examples.select(F.col(cell).cast("string").alias("_cell"), normalize(question).alias("_q")).where(F.length("_q") > 0)
+    asked = checkpointed(cases.select(key, F.col(cell).cast("string").alias("_cell"), normalize(question).alias("_q")))
+    return asked.join(beside(asked, wanted, "_cell", "_q"), ["_cell", "_q"], "left_semi").select(key).distinct()
 
 
 def build_queue(cases: DataFrame, examples: DataFrame, seed: int = 20260627, n_false_negative: int = 10,

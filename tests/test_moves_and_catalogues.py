@@ -164,3 +164,22 @@ def test_long_examples_are_single_rows(spark):
     out = review.match_examples(cases, examples)
     assert sorted(r.case_id for r in out.collect()) == [1, 2, 5]
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_small_batch_reads_few_splits_of_the_target(spark, tmp_path):
+    def upsert(ids, name):
+        spark.createDataFrame([(f"c{i}", i) for i in ids], "core_id string, n int").write.mode("append").parquet(f"{tmp_path}/{name}")
+        stream = spark.readStream.schema("core_id string, n int").parquet(f"{tmp_path}/{name}")
+        ST.upsert_steps(stream, f"{tmp_path}/target", f"{tmp_path}/checkpoint-{name}", splits=32).start().awaitTermination()
+
+    upsert(range(2000), "a")
+    upsert([5, 3000], "b")  # one key is there already
+    upsert([2999], "a")
+    stored = spark.read.parquet(f"{tmp_path}/target")
+    assert sorted(r.n for r in stored.collect()) == [*range(2000), 2999, 3000]
+    met = [r[0] for r in spark.sql("SELECT pmod(xxhash64(k), 32) FROM VALUES ('c5'), ('c3000') AS t(k)").collect()]
+    some = ST.stored_in(spark, f"{tmp_path}/target", met)
+    plan = some._jdf.queryExecution().executedPlan()
+    assert "PartitionFilters: [split" in plan.toString()
+    assert some.select(F.input_file_name()).distinct().count() <= 6 < stored.select(F.input_file_name()).distinct().count()
+    assert ST.stored_in(spark, f"{tmp_path}/nothing", [1]) is None

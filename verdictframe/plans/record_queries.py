@@ -599,6 +599,25 @@ def isolated_chain(spark, sf_dir):
     return done.select("doc_id", "tongue", F.round("share", 6).alias("share"), "verdict", F.array_join(entries, ";").alias("states"))
 
 
+@query(
+    "latest_generation",
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN source || '/' || lang WHEN doc_id % 4 = 2 THEN lang ELSE source END AS generator,
+  CASE WHEN doc_id % 4 > 0 THEN 'm' || (doc_id % 4) END AS mode, CASE WHEN doc_id % 4 > 0 THEN lang END AS behavior_label FROM documents""",
+)
+def latest_generation(spark, sf_dir):
+    """The last of up to three outputs of a record, named by provider and model or whichever it has."""
+    i, source, lang = F.col("doc_id") % 4, F.col("source"), F.col("lang")
+
+    def output(k):
+        return F.struct(
+            F.when(F.lit(k) != 2, source).otherwise("").alias("generator_provider"), F.when(F.lit(k) != 3, lang).alias("generator_model"),
+            F.lit(f"m{k}").alias("mode"), lang.alias("behavior_label"),
+        )
+
+    outputs = F.slice(F.array(*[output(k) for k in (1, 2, 3)]), F.lit(1), i.cast("int"))
+    return T.table(spark, sf_dir, "documents").select("doc_id", ST.latest_generation(outputs).alias("g")).select("doc_id", "g.*")
+
+
 # ---- label reports ----------------------------------------------------------------------------
 
 

@@ -435,6 +435,25 @@ def review_cases(spark, sf_dir):
     )
 
 
+@query(
+    "flag_audit_artifacts",
+    f"""WITH v AS (SELECT judge, core_id, gold, pred, text || CASE WHEN core_id % 3 = 0 THEN ' They Do Not Specify it' ELSE '' END AS claim, CASE core_id % 2 WHEN 0 THEN 'refusal_or_insufficient' ELSE 'conflict_awareness' END AS label FROM ({T.DOC_VERDICTS}))
+SELECT judge, core_id, CASE WHEN pred AND NOT gold THEN CASE WHEN regexp_matches(lower(claim), '{_alternation(X.META_MARKERS)}') THEN 'likely_artifact' ELSE 'substantive_claim' END ELSE '' END AS review_tag,
+  CASE WHEN pred AND NOT gold THEN CASE WHEN regexp_matches(lower(claim), '{_alternation(X.META_MARKERS_FLAG_AUDIT)}') THEN 'likely_artifact' ELSE 'substantive_claim' END ELSE '' END AS flag_audit_tag FROM v""",
+)
+def flag_audit_artifacts(spark, sf_dir):
+    """The review's markers beside those of the flag audit, which know one phrase more."""
+    rows = T.doc_verdicts(spark, sf_dir).withColumns(
+        {
+            "cell": S.confusion_cell("gold", "pred"),
+            "claim": F.concat("text", F.when(F.col("core_id") % 3 == 0, " They Do Not Specify it").otherwise("")),
+            "label": F.when(F.col("core_id") % 2 == 0, "refusal_or_insufficient").otherwise("conflict_awareness"),
+        }
+    )
+    tags = {"review_tag": X.META_MARKERS, "flag_audit_tag": X.META_MARKERS_FLAG_AUDIT}
+    return rows.select("judge", "core_id", *[R.artifact_tag("cell", "label", "claim", markers).alias(name) for name, markers in tags.items()])
+
+
 @query(
     "example_match",
     f"""WITH e AS (SELECT 'c' || (item_id % 4) AS cell, {norm('text')} AS wq FROM benchmark),

@@ -101,13 +101,16 @@ def usage_windows(
     )
 
 
-def upsert_steps(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("core_id",)):
+def upsert_steps(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("core_id",), splits: int = 64):
     """Append step outputs whose key is not in ``target`` yet; replaying a batch adds nothing.
 
     Each batch is written under its own (writer, batch_id) partition with overwrite, and the anti-join
     leaves that partition out, so a batch that is run twice writes the same rows twice over. ``writer``
     follows from the checkpoint: streams that start anew or share the target never meet in a partition.
     Of rows with one key the one with the smallest hash of all columns stays.
+
+    Below that, rows lie in ``splits`` by a hash of their key, and a batch reads only the splits that its own keys fall
+    into: a small batch meets a small part of the target. All writers of a target must give the same ``splits``.
     """
     writer = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
 
@@ -116,14 +119,25 @@ def upsert_steps(stream: DataFrame, target: str, checkpoint: str, keys: Sequence
         part = f"{target}/writer={writer}/batch_id={batch_id}"
         shown = F.to_json(F.struct(*batch.columns))
         fresh = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), F.md5(shown)).alias("_r")).select("_r.*")
-        done = _stored(spark, target)
-        if done is not None:
-            fresh = pending(fresh, done.where((F.col("writer") != writer) | (F.col("batch_id") != batch_id)), keys)
-        fresh.write.mode("overwrite").parquet(part)
+        fresh = fresh.withColumn("split", F.pmod(F.xxhash64(*keys), F.lit(splits)).cast("int")).persist()
+        try:
+            met = sorted(r["split"] for r in fresh.select("split").distinct().collect())  # at most ``splits`` numbers
+            done, new = stored_in(spark, target, met), fresh
+            if done is not None:
+                new = pending(fresh, done.where((F.col("writer") != writer) | (F.col("batch_id") != batch_id)), keys)
+            new.select(*batch.columns, "split").repartition(max(1, len(met)), "split").write.mode("overwrite").partitionBy("split").parquet(part)
+        finally:
+            fresh.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def stored_in(spark: SparkSession, target: str, splits: Sequence[int]) -> DataFrame | None:
+    """The rows of some splits of a target; the files of all others are pruned by their path. None if there is no target."""
+    stored = _stored(spark, target)
+    return None if stored is None else stored.where(F.col("split").isin(list(splits)))
+
+
 def _stored(spark: SparkSession, target: str) -> DataFrame | None:
     try:
         return spark.read.parquet(target)

@@ -41,8 +41,8 @@ def word_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind = _letters()[codes]
     letter = kind > 0
     if (kind == 1).any():
-        place = np.arange(len(kind))
-        letter &= np.maximum.accumulate(np.where(kind == 2, place, -1)) > np.maximum.accumulate(np.where(kind == 0, place, -1))
+        place = np.arange(len(kind), dtype=np.int32)
+        letter &= np.maximum.accumulate(np.where(kind == 2, place, np.int32(-1))) > np.maximum.accumulate(np.where(kind == 0, place, np.int32(-1)))
     c = np.where(letter, codes, 0).astype(np.uint32)
     h = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)

@@ -24,7 +24,7 @@ CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 2048, 2048, 2, 3, 5, 8
 #: A sequence filled less than this goes on to the next level, where remainders of many blocks meet.
 WELL_FILLED = 0.985
 #: Words that a task keeps with their ids (and those of one more slice), bytes of text that it encodes at once.
-_CACHE_WORDS, _BYTES_AT_ONCE = 400_000, 8_000_000
+_CACHE_WORDS, _BYTES_AT_ONCE = 300_000, 4_000_000
 #: Words that the pre-tokenizer cuts into a run of letters and a run of marks.
 _SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[.,!?;:|%$#&*()\-]*)$"
 _PIECE = ("doc_id", "row", "piece", "start", "length", "ids_crc32")
@@ -218,6 +218,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
                     columns.append(pa.array([bytes(x) for x in cuts], pa.binary()))
                 row += len(size)
                 yield pa.RecordBatch.from_arrays(columns, [*_PIECE, "ids"][: len(columns)])
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = [rows.schema[0].dataType.simpleString(), "bigint", "int", "bigint", "bigint", "bigint"]

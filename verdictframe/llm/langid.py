@@ -23,7 +23,7 @@ FIRST_ROUNDS, MOST_ROUNDS, SETTLED = 6, 200, 1e-4
 #: Gain in log-likelihood asked of another language, in units of log(words).
 PENALTY = 2.0
 UNKNOWN = "und"
-_CHARS_AT_ONCE = 2_000_000
+_CHARS_AT_ONCE = 1_000_000
 
 
 @lru_cache(1)

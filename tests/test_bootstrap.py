@@ -94,3 +94,18 @@ def test_poisson_weights(spark):
 def test_covers_zero(spark):
     df = spark.createDataFrame([(-1.0, 1.0), (0.5, 1.0), (-2.0, -1.0), (0.0, 3.0), (None, None)], "ci_low double, ci_high double")
     assert [r[0] for r in df.select(interval_covers_zero()).collect()] == [True, False, False, True, False]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_and_clusters_meet_without_broadcast(spark):
+    """Files of few bytes hold many clusters: neither draws nor vectors are joined by a table sent through the driver."""
+    stats, population, _ = make(spark, 60)
+    plan = plan_of(B.hashed_strata(stats, ["g"], "c", population, 10, 3))
+    assert "SortMergeJoin [idx" in plan and "BroadcastHashJoin [idx" not in plan
+    answers = stats.select("c", F.col("c").alias("a"), (F.col("num") > 0).alias("e"), "g")
+    plan = plan_of(B.hashed_rate_interval(answers, ["g"], ["a"], "e", 10, 3))
+    assert "SortMergeJoin [_grp" in plan and "BroadcastHashJoin [_grp#" not in plan.split("SortMergeJoin [_grp")[1].split("\n")[0]
+    assert "BroadcastHashJoin" not in plan_of(B.statistic_vectors(stats, ["g"], "c", population))

@@ -31,11 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.operators.ranking import dense_index, hash_order, rank_by_hash
-from verdictframe.session import checkpointed
+from verdictframe.session import by_merge, checkpointed
 
 _BLOCK_CELLS = 2_000_000  # weight-matrix cells held at once by a task
 _VECTORS_PER_BUCKET = 4096
 _BROADCAST_CLUSTERS = 1_000_000  # 24 bytes each
+_DRAWS_PER_TASK = 10_000_000  # hashed draws that are dealt to one task
 
 
 def percentile_interval(
@@ -62,7 +63,7 @@ def statistic_vectors(stats: DataFrame, by: Sequence[str], cluster: str, populat
         stratum.alias("s"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den")
     )
     vectors = stats.groupBy(cluster).agg(F.sort_array(F.collect_list(entry)).alias("vec"))
-    every = population.select(cluster).distinct().join(vectors, cluster, "left")
+    every = by_merge(population.select(cluster).distinct(), vectors, cluster, "left")
     counted = every.groupBy("vec").agg(F.count(F.lit(1)).alias("mult"))
     empty = F.array().cast("array<struct<s:string,num:double,den:double>>")
     return counted.withColumn("vec", F.coalesce(F.col("vec"), empty))
@@ -266,18 +267,19 @@ def hashed_strata(stats: DataFrame, by: Sequence[str], cluster: str, population:
     """Point and percentile interval per stratum by draws that any engine can repeat.
 
     All strata share the draws, one for each cluster of the population and replicate, each a hash of (seed,
-    replicate, cluster index). Draws of one replicate that hit the same cluster are counted before they meet
-    its strata, so rows shuffled are draws and hit strata; no replicate, stratum or hot cluster lies in one
-    task. Work is replicates x clusters.
+    replicate, cluster index). Draws are dealt once, by the cluster they hit, and meet its strata there; sums per
+    replicate combine before the next shuffle. No replicate, stratum or hot cluster lies in one task, and nothing
+    that grows with the clusters is broadcast. Work is replicates x clusters.
     """
     indexed = checkpointed(dense_index(population.select(cluster).distinct(), cluster, "idx"))
     n = indexed.count()
     spread = indexed.select("idx").repartition(_tasks(stats), "idx")
     draws = spread.select(F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"), F.col("idx").alias("d"))
-    hits = draws.select("b", draw_index(seed, F.col("b"), F.col("d"), F.lit(n)).alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
-    rows = checkpointed(stats.join(indexed, cluster).groupBy(*by, "idx").agg(F.sum("num").alias("num"), F.sum("den").alias("den")))
+    parts = max(_tasks(stats), -(-n * n_boot // _DRAWS_PER_TASK))
+    hits = draws.select("b", draw_index(seed, F.col("b"), F.col("d"), F.lit(n)).alias("idx")).repartition(parts, "idx")
+    rows = checkpointed(by_merge(stats, indexed, cluster).groupBy(*by, "idx").agg(F.sum("num").alias("num"), F.sum("den").alias("den")))
     point = rows.groupBy(*by).agg(F.sum("den").cast("bigint").alias("n"), F.count_if(F.col("den") > 0).alias("n_clusters"), (scale * F.sum("num") / F.sum("den")).alias("point"))
-    sums = hits.join(rows, "idx").groupBy(*by, "b").agg(F.sum(F.col("w") * F.col("num")).alias("num"), F.sum(F.col("w") * F.col("den")).alias("den"))
+    sums = by_merge(hits, rows, "idx").groupBy(*by, "b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     reps = sums.where(F.col("den") > 0).select(*by, (F.col("num") / F.col("den")).alias("rep"))
     return point.join(percentile_interval(reps, by, level=level, scale=scale), list(by), "left")
 
@@ -299,7 +301,7 @@ def hashed_rate_interval(df: DataFrame, by: Sequence[str], answer_keys: Sequence
     draws = spread.select("_grp", "_size", F.col("_idx").alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "_grp", F.col("b").cast("string"), F.col("_d").cast("string")))
     hits = draws.select("_grp", "b", F.coalesce(F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") % F.col("_size"), F.lit(0)).alias("_idx"))
-    sums = hits.join(indexed, ["_grp", "_idx"]).groupBy("_grp", "b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    sums = by_merge(hits, indexed, ["_grp", "_idx"]).groupBy("_grp", "b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     interval = percentile_interval(sums.select("_grp", (F.col("num") / F.col("den")).alias("rep")), ["_grp"])
     joined = totals.withColumn("_grp", grp).join(interval, "_grp", "left")
     none, every = F.col("events") == 0, F.col("events") == F.col("n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_merge(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by sorted merge, for a right side that grows with the data.
+
+    A few columns of a Parquet table, or an aggregate over them, look small by their compressed files, so Spark
+    would broadcast millions of rows through the driver into every executor. A sort spills instead.
+    """
+    return left.join(right.hint("merge"), on, how)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from verdictframe.session import checkpointed
 
-#: Distinct texts that a task walks through.
-ROWS_PER_TASK = 200_000
+#: Distinct texts that a task walks through, and characters of them.
+ROWS_PER_TASK, CHARS_PER_TASK = 200_000, 1 << 26
 
 
 class _Walk:
@@ -108,19 +108,21 @@ def _carried(edges: list) -> dict[int, tuple]:
     return out
 
 
-def beside(cases: DataFrame, examples: DataFrame, group: str, text: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def beside(cases: DataFrame, examples: DataFrame, group: str, text: str, rows_per_task: int = ROWS_PER_TASK, chars_per_task: int = CHARS_PER_TASK) -> DataFrame:
     """Distinct (group, text) of the cases that begin with an example of their group, or begin one.
 
     Distinct texts of both sides are sorted over ranges and walked through twice: once for what each range
     hands to its neighbours, two texts that go through the driver, and once to settle the cases. Rows are the distinct
-    texts, however long they are. Null groups and texts match nothing.
+    texts, however long they are; there are as many ranges as their number and characters ask for, and each is a
+    task of its own. Null groups and texts match nothing.
     """
     sides = cases.select(F.col(group).cast("string").alias("g"), F.col(text).alias("t"), F.lit(False).alias("e"), F.lit(True).alias("c"))
     sides = sides.unionByName(examples.select(F.col(group).cast("string").alias("g"), F.col(text).alias("t"), F.lit(True).alias("e"), F.lit(False).alias("c")))
     rows = checkpointed(sides.where("g IS NOT NULL AND t IS NOT NULL").groupBy("g", "t").agg(F.max("e").alias("e"), F.max("c").alias("c")))
-    parts = max(1, -(-rows.count() // rows_per_task))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars")).first()
+    parts = max(1, -(-size["n"] // rows_per_task), -(-(size["chars"] or 0) // chars_per_task))
     ranged = checkpointed(rows.repartitionByRange(parts, "g", "t").select(F.spark_partition_id().alias("part"), "g", "t", "e", "c"))
-    ordered = ranged.repartition(parts, "part").sortWithinPartitions("part", "g", "t")
+    ordered = ranged.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "g", "t")
     carried = _carried(sorted(_edges(ordered, "string").collect(), key=lambda r: r["part"]))  # two texts for each range
     shared = cases.sparkSession.sparkContext.broadcast(carried)
 

@@ -193,10 +193,16 @@ def match_examples(
     Questions and examples are sorted together by cell and text and merged (``prefixes.beside``), so there is one
     row for each distinct text, whatever its length, and a common cell or opening never pairs many cases
     with many examples. An example without letters or digits matches nothing.
+
+    One character beyond the longest example already tells that a question is longer than all of them, so what
+    follows it decides nothing and isn't carried. Cases meet the found texts by digest.
     """
-    wanted = examples.select(F.col(cell).cast("string").alias("_cell"), normalize(question).alias("_q")).where(F.length("_q") > 0)
-    asked = checkpointed(cases.select(key, F.col(cell).cast("string").alias("_cell"), normalize(question).alias("_q")))
-    return asked.join(beside(asked, wanted, "_cell", "_q"), ["_cell", "_q"], "left_semi").select(key).distinct()
+    wanted = checkpointed(examples.select(F.col(cell).cast("string").alias("_cell"), normalize(question).alias("_q")).where(F.length("_q") > 0))
+    longest = wanted.agg(F.coalesce(F.max(F.length("_q")), F.lit(0))).first()[0]
+    opening = F.left(normalize(question), F.lit(longest + 1))
+    asked = checkpointed(cases.select(key, F.col(cell).cast("string").alias("_cell"), opening.alias("_q")).withColumn("_d", F.sha2("_q", 256)))
+    found = beside(asked, wanted, "_cell", "_q").select("_cell", F.sha2("_q", 256).alias("_d"))
+    return asked.select(key, "_cell", "_d").join(found, ["_cell", "_d"], "left_semi").select(key).distinct()
 
 
 def build_queue(cases: DataFrame, examples: DataFrame, seed: int = 20260627, n_false_negative: int = 10,

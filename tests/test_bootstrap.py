@@ -109,3 +109,25 @@ def test_draws_and_clusters_meet_without_broadcast(spark):
     plan = plan_of(B.hashed_rate_interval(answers, ["g"], ["a"], "e", 10, 3))
     assert "SortMergeJoin [_grp" in plan and "BroadcastHashJoin [_grp#" not in plan.split("SortMergeJoin [_grp")[1].split("\n")[0]
     assert "BroadcastHashJoin" not in plan_of(B.statistic_vectors(stats, ["g"], "c", population))
+
+
+def test_a_task_adds_up_its_buckets(spark):
+    """Buckets that share a task give one row for each stratum and replicate, also when a bucket lies in two frames."""
+    import pandas as pd
+
+    buckets = {b: pd.DataFrame({"bucket": b, "mult": [3, 40, 1], "key": ["a", "b", "c"], "s": [["x"], ["x", "y"], []], "num": [[1.0], [0.5, 2.0], []], "den": [[1.0], [2.0, 3.0], []]}) for b in (0, 1, 2)}
+    sizes = np.array([44, 44, 44])
+    want = sum(B._bucket_sums(rows, 50, 3, sizes)[1] for rows in buckets.values())
+    frames = [pd.concat([buckets[0], buckets[1][:2]]), pd.concat([buckets[1][2:], buckets[2]])]
+    out = pd.concat(B._task_kernel(50, 3, spark.sparkContext.broadcast(sizes))(iter(frames)))
+    assert len(out) == 2 * 50 and not out.duplicated(["s", "b"]).any()
+    for i, s in enumerate("xy"):
+        assert out[out.s == s].num.tolist() == want[:, i].tolist() and out[out.s == s].den.tolist() == want[:, 2 + i].tolist()
+
+
+def test_populations_share_their_vectors(spark):
+    stats, population, _ = make(spark, 120)
+    vectors = B.cluster_vectors(stats, ["g"], "c")
+    for inside in (population, population.where("c % 3 = 0")):
+        shared = rows(B.cluster_bootstrap(stats, ["g"], "c", inside, 300, 3, vectors=vectors).orderBy("g"))
+        assert shared == rows(B.cluster_bootstrap(stats, ["g"], "c", inside, 300, 3).orderBy("g"))

@@ -22,7 +22,7 @@ Four methods, cheapest first for large tables:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,7 @@ from verdictframe.session import by_merge, checkpointed
 
 _BLOCK_CELLS = 2_000_000  # weight-matrix cells held at once by a task
 _VECTORS_PER_BUCKET = 4096
+_STRATA_HELD = 1000  # whose sums a task holds, 16 bytes a replicate each
 _BROADCAST_CLUSTERS = 1_000_000  # 24 bytes each
 _DRAWS_PER_TASK = 10_000_000  # hashed draws that are dealt to one task
 
@@ -58,11 +59,19 @@ def statistic_vectors(stats: DataFrame, by: Sequence[str], cluster: str, populat
     ``population`` lists the clusters to resample: those without rows are included, rows of
     other clusters are left out.
     """
+    return _count_vectors(cluster_vectors(stats, by, cluster), cluster, population)
+
+
+def cluster_vectors(stats: DataFrame, by: Sequence[str], cluster: str) -> DataFrame:
+    """(cluster, vec): the rows of each cluster as one sorted array; write it once where several populations share it."""
     stratum = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
     entry = F.struct(
         stratum.alias("s"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den")
     )
-    vectors = stats.groupBy(cluster).agg(F.sort_array(F.collect_list(entry)).alias("vec"))
+    return stats.groupBy(cluster).agg(F.sort_array(F.collect_list(entry)).alias("vec"))
+
+
+def _count_vectors(vectors: DataFrame, cluster: str, population: DataFrame) -> DataFrame:
     every = by_merge(population.select(cluster).distinct(), vectors, cluster, "left")
     counted = every.groupBy("vec").agg(F.count(F.lit(1)).alias("mult"))
     empty = F.array().cast("array<struct<s:string,num:double,den:double>>")
@@ -79,16 +88,18 @@ def cluster_bootstrap(
     buckets: int | None = None,
     level: float = 0.95,
     scale: float = 100.0,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Point and percentile interval of sum(num)/sum(den) per stratum over the population's clusters.
 
-    All strata share the draws; strata come back as text. ``n_clusters`` counts the clusters that have
+    ``vectors`` are the ``cluster_vectors`` of ``stats``, if they are written already. All strata share the draws; strata come back as text. ``n_clusters`` counts the clusters that have
     rows in a stratum, ``se`` is the normal approximation's standard error of the point.
 
     The vector table is checkpointed: it is counted to choose the number of buckets, then read for
     the bucket sizes (one number for every ``_VECTORS_PER_BUCKET`` vectors, broadcast) and the draws.
     """
-    vectors = checkpointed(statistic_vectors(stats, by, cluster, population))
+    per_cluster = cluster_vectors(stats, by, cluster) if vectors is None else vectors
+    vectors = checkpointed(_count_vectors(per_cluster, cluster, population))
     buckets = buckets or max(8, -(-vectors.count() // _VECTORS_PER_BUCKET))
     key = F.to_json("vec")
     shipped = vectors.select(
@@ -103,12 +114,10 @@ def cluster_bootstrap(
     for r in shipped.groupBy("bucket").agg(F.sum("mult").alias("size")).collect():
         sizes[r["bucket"]] = r["size"]
     shared = stats.sparkSession.sparkContext.broadcast(sizes)
-    # a fixed partition count: the table is small in bytes but each bucket is a lot of work; the partial
-    # sums below combine the buckets of a partition before they are shuffled
-    spread = shipped.repartition(min(buckets, 4 * _tasks(stats)), "bucket")
-    parts = spread.groupBy("bucket").applyInPandas(
-        _bucket_kernel(n_boot, seed, shared), "s string, b int, num double, den double"
-    )
+    # a fixed partition count: the table is small in bytes but each bucket is a lot of work; a task adds up
+    # its buckets before any row leaves it
+    spread = shipped.repartitionById(min(buckets, 4 * _tasks(stats)), F.col("bucket")).sortWithinPartitions("bucket", "key")
+    parts = spread.mapInPandas(_task_kernel(n_boot, seed, shared), "s string, b int, num double, den double")
     sums = parts.groupBy("s", "b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     reps = sums.where(F.col("den") > 0).select("s", (F.col("num") / F.col("den")).alias("rep"))
     interval = percentile_interval(reps, ["s"], level=level, scale=scale)
@@ -168,49 +177,70 @@ def _path_totals(sizes: np.ndarray, bucket: int, n_boot: int, seed: int) -> np.n
     return totals
 
 
-def _bucket_kernel(n_boot: int, seed: int, sizes: Broadcast):
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
-        bucket = int(key[0])
-        split = _path_totals(sizes.value, bucket, n_boot, seed)
-
-        strata = sorted({s for names in pdf["s"] for s in names})
-        if not strata:  # only clusters without rows: they take draws but add nothing
-            none = np.empty(0)
-            return pd.DataFrame({"s": none.astype(object), "b": none.astype(np.int32), "num": none, "den": none})
-        place = {s: i for i, s in enumerate(strata)}
-        num = np.zeros((len(pdf), len(strata)))
-        den = np.zeros_like(num)
-        for row, (names, nums, dens) in enumerate(zip(pdf["s"], pdf["num"], pdf["den"])):
-            at = [place[s] for s in names]
-            num[row, at] = nums
-            den[row, at] = dens
-
-        rng = np.random.default_rng([seed, 1, bucket])
-        draw = _vector_draws(pdf["mult"].to_numpy(dtype=np.int64), rng)
-        step = max(1, _BLOCK_CELLS // len(pdf))
-        out_num, out_den = [], []
-        for start in range(0, n_boot, step):
-            draws = draw(split[start : start + step])
-            out_num.append(draws @ num)
-            out_den.append(draws @ den)
-        return pd.DataFrame(
-            {
-                "s": np.tile(np.array(strata, dtype=object), n_boot),
-                "b": np.repeat(np.arange(n_boot, dtype=np.int32), len(strata)),
-                "num": np.concatenate(out_num).ravel(),
-                "den": np.concatenate(out_den).ravel(),
-            }
-        )
+def _by_bucket(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one bucket after the other, from frames that are sorted by bucket."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for bucket, rows in frame.groupby("bucket", sort=True):
+            if held and held[0]["bucket"].iat[0] != bucket:
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held)
+
+
+def _task_kernel(n_boot: int, seed: int, sizes: Broadcast):
+    """Sums of each (stratum, replicate) over all buckets of a task; ``_STRATA_HELD`` strata at once."""
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for rows in _by_bucket(frames):
+            strata, drawn = _bucket_sums(rows, n_boot, seed, sizes.value)
+            for i, s in enumerate(strata):
+                if s not in sums:
+                    sums[s] = np.zeros((2, n_boot))
+                sums[s][0] += drawn[:, i]
+                sums[s][1] += drawn[:, len(strata) + i]
+            if len(sums) > _STRATA_HELD:
+                yield from _emitted(sums)
+                sums = {}
+        yield from _emitted(sums)
 
     return kernel
 
 
+def _emitted(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    for s, (num, den) in sums.items():
+        yield pd.DataFrame({"s": s, "b": np.arange(len(num), dtype=np.int32), "num": num, "den": den})
+
+
+def _bucket_sums(rows: pd.DataFrame, n_boot: int, seed: int, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The strata of a bucket, and per replicate their sums of num, then of den; ``rows`` is sorted by key."""
+    bucket = int(rows["bucket"].iat[0])
+    strata = sorted({s for names in rows["s"] for s in names})
+    if not strata:  # only clusters without rows: they take draws but add nothing
+        return [], np.empty((n_boot, 0))
+    split = _path_totals(sizes, bucket, n_boot, seed)
+    place = {s: i for i, s in enumerate(strata)}
+    values = np.zeros((len(rows), 2 * len(strata)))
+    for row, (names, nums, dens) in enumerate(zip(rows["s"], rows["num"], rows["den"])):
+        at = np.array([place[s] for s in names], dtype=np.intp)
+        values[row, at] = nums
+        values[row, at + len(strata)] = dens
+
+    rng = np.random.default_rng([seed, 1, bucket])
+    draw = _vector_draws(rows["mult"].to_numpy(dtype=np.int64), rng)
+    step = max(1, _BLOCK_CELLS // len(rows))
+    return strata, np.concatenate([draw(split[at : at + step]) @ values for at in range(0, n_boot, step)])
+
+
 def _vector_draws(mult: np.ndarray, rng: np.random.Generator):
     """Multinomial draws over vectors, as a function from replicate totals to a weight matrix.
 
     A vector shared by many clusters takes a binomial share. The clusters behind rare vectors are
-    laid out one by one and hit by uniform integers, which is much cheaper than a binomial each.
+    laid out one by one and hit by uniform integers, which is much cheaper than a binomial each. Hits are
+    counted one replicate at a time, so the counts stay in the processor's cache.
     """
     heavy = np.flatnonzero(mult >= 32)
     light = np.flatnonzero(mult < 32)
@@ -220,13 +250,12 @@ def _vector_draws(mult: np.ndarray, rng: np.random.Generator):
     def draw(totals: np.ndarray) -> np.ndarray:
         rows, width = len(totals), len(mult)
         parts = rng.multinomial(totals, shares)
-        hits = parts[:, -1]
+        weights = np.zeros((rows, width))
         if len(owner):
-            picked = owner[rng.integers(0, len(owner), size=int(hits.sum()))]
-            cells = np.repeat(np.arange(rows) * width, hits) + picked
-            weights = np.bincount(cells, minlength=rows * width).reshape(rows, width).astype(np.float64)
-        else:
-            weights = np.zeros((rows, width))
+            ends = np.cumsum(parts[:, -1])
+            picked = owner[rng.integers(0, len(owner), size=int(ends[-1]))]
+            for row, (start, end) in enumerate(zip(ends - parts[:, -1], ends)):
+                weights[row] = np.bincount(picked[start:end], minlength=width)
         weights[:, heavy] = parts[:, :-1]
         return weights
 

@@ -395,6 +395,7 @@ def bootstrap_blocks(spark, sf_dir):
     clusters = checkpointed(T.verdicts(spark, sf_dir).select("core_id", "is_validated").distinct())
     valid = F.col("is_validated")
     populations = {"full": clusters, "validated": clusters.where(valid), "gap_fill": clusters.where(~valid)}
+    vectors = checkpointed(B.cluster_vectors(stats, ["group", "metric"], "core_id"))
     out = None
     for offset, (name, population) in enumerate(populations.items()):
         part = B.cluster_bootstrap(
@@ -403,6 +404,7 @@ def bootstrap_blocks(spark, sf_dir):
             "core_id",
             population,
             seed=DRAW_SEED + 101 * offset,
+            vectors=vectors,
         ).withColumn("population", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("covers_zero", P.interval_covers_zero())

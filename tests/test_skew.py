@@ -184,3 +184,19 @@ def test_latency_median_of_hot_model(hot):
     out = {r["model"]: r["p50_ms"] for r in rows(usage.latency_summary(t, ["model"]))}
     want = hot.where("k = 'hot'").agg(F.percentile("v", F.lit(0.5))).first()[0]
     assert out["hot"] == want
+
+
+def test_strata_are_spread_where_their_cluster_lies(spark):
+    """Rows are dealt by cluster before they are spread over strata; nothing is shuffled after that."""
+    answers = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).alias("core_id"), F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("generator"), (F.col("id") % 2 == 0).alias("gold"),
+        F.lit(True).alias("is_validated"), F.lit(True).alias("usable"), (F.col("id") % 5 / 2).alias("delta"), F.lit(1.0).alias("same"), F.lit(0.5).alias("cross"), F.lit("context_follow").alias("behavior"),
+    )
+    strata = paired.stratum_stats(answers, "core_id", populations=paired.population_names())
+    slices = paired.slice_stats(answers, "core_id", {"all": None, "follow": ["context_follow"]})
+    for out in (strata,):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.split("Generate")[0] and "Generate" in plan
+    total = rows(strata.where("`group` = 'all' AND metric = 'flag_rate_delta' AND population = 'full'").agg(F.sum("den").alias("n"), F.sum("num").alias("x"), F.countDistinct("core_id").alias("c"), F.count("*").alias("r")))[0]
+    assert total["n"] == 4000 and total["x"] == 4000.0 and total["c"] == total["r"]
+    assert slices.where("`group` = 'follow' AND metric = 'all_flag_delta'").agg(F.sum("den")).first()[0] == 4000

@@ -7,7 +7,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdictframe.session import checkpointed
+
 ALL = "all"
+#: Rows that a task spreads over their strata, where a row becomes up to eight.
+ROWS_PER_TASK = 500_000
+
+
+def _dealt(base: DataFrame, cluster: str) -> DataFrame:
+    """``base`` written once and dealt by cluster to as many tasks as its rows ask for.
+
+    What is grouped by cluster and more after that stays in its task, so rows are shuffled before they are spread,
+    not after. A hot cluster is a few rows by then.
+    """
+    rows = checkpointed(base)
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = rows.count()
+    parts = max(min(tasks, 1 + n // 20_000), -(-n // ROWS_PER_TASK))
+    return rows.repartition(parts, cluster)
 
 
 def paired_answers(
@@ -75,7 +92,7 @@ def stratum_stats(
 ) -> DataFrame:
     """Sufficient statistics per (group, metric, cluster) for recall, FPR and flag rate.
 
-    Answers are first summed per (cluster, generator, gold); only those few rows are spread over
+    Answers are first summed per (cluster, generator, gold); only those few rows are dealt by cluster and spread over
     the strata they belong to. ``populations`` is an array of names each cluster counts for; leave
     it out for the bootstrap, which picks the clusters of a population itself.
     """
@@ -91,7 +108,7 @@ def stratum_stats(
     )
     metric = F.when(F.col("gold"), "recall_delta").otherwise("fpr_delta")
     groups = F.array(F.lit(ALL), F.col(generator).cast("string")) if generator else F.array(F.lit(ALL))
-    spread = base.withColumn("metric", F.explode(F.array(metric, F.lit("flag_rate_delta"))))
+    spread = _dealt(base, cluster).withColumn("metric", F.explode(F.array(metric, F.lit("flag_rate_delta"))))
     spread = spread.withColumn("group", F.explode(groups))
     keys = ["group", "metric", cluster]
     if populations is not None:

@@ -194,7 +194,7 @@ def test_strata_are_spread_where_their_cluster_lies(spark):
     )
     strata = paired.stratum_stats(answers, "core_id", populations=paired.population_names())
     slices = paired.slice_stats(answers, "core_id", {"all": None, "follow": ["context_follow"]})
-    for out in (strata,):
+    for out in (strata, slices):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan.split("Generate")[0] and "Generate" in plan
     total = rows(strata.where("`group` = 'all' AND metric = 'flag_rate_delta' AND population = 'full'").agg(F.sum("den").alias("n"), F.sum("num").alias("x"), F.countDistinct("core_id").alias("c"), F.count("*").alias("r")))[0]

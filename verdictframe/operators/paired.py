@@ -137,7 +137,7 @@ def slice_stats(
     ]
     belongs = F.filter(F.array(*members), lambda x: x.isNotNull())
     metric = F.when(F.col("gold"), "recall_delta").otherwise("avoided_flag_delta")
-    spread = base.withColumn("group", F.explode(belongs)).withColumn(
+    spread = _dealt(base, cluster).withColumn("group", F.explode(belongs)).withColumn(
         "metric", F.explode(F.array(metric, F.lit("all_flag_delta")))
     )
     return spread.groupBy("group", "metric", cluster).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))

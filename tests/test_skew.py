@@ -217,3 +217,15 @@ def test_cuts_of_few_groups_go_to_all_tasks(spark, hot, monkeypatch):
         assert few.count() == N and few.exceptAll(many).count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+
+
+def test_membership_is_not_broadcast(spark, hot):
+    """Ids may be as many as the questions; restricting to them sends no table to every task."""
+    ids = spark.range(0, 50, 2).select("id").unionByName(spark.range(0, 50, 4).select("id"))
+    v = hot.where("id < 100").withColumnRenamed("v", "value")
+    kept, flagged = history.restrict(v, ids, "id"), history.flag_membership(v, ids, "id", "member")
+    named = history.attach_core(v, ids.distinct().withColumn("c", F.lit("known")), ["c"], "id")
+    for out in (kept, flagged, named):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in rows(kept)) == list(range(0, 50, 2))
+    assert flagged.count() == 100 and flagged.where("member").count() == 25 and named.where("c = 'unknown'").count() == 75

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.operators.ranking import latest, null_safe_join
 from verdictframe.schemas import STEP_ORDER
+from verdictframe.session import by_merge
 
 __all__ = [
     "attach", "attach_core", "attach_labels", "diagnostic", "excluded", "latest", "merged_records",
@@ -30,17 +31,18 @@ def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequen
 
 def attach_core(df: DataFrame, core: DataFrame, columns: Sequence[str], key: str = "core_id") -> DataFrame:
     """Question attributes on every row; unknown questions read ``unknown``."""
-    joined = df.join(core.select(key, *columns), key, "left")
+    joined = by_merge(df, core.select(key, *columns), key, "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit("unknown")) for c in columns})
 
 
 def restrict(df: DataFrame, ids: DataFrame, key: str = "core_id") -> DataFrame:
-    return df.join(ids.select(key), key, "left_semi")
+    """Rows whose key is among ``ids``, which may be as many as the questions: each task holds those of its part only."""
+    return df.join(ids.select(key).hint("shuffle_hash"), key, "left_semi")
 
 
 def flag_membership(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
     marked = ids.select(key).distinct().withColumn(flag, F.lit(True))
-    return df.join(marked, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return df.join(marked.hint("shuffle_hash"), key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 def pending(source: DataFrame, done: DataFrame, key_cols: Sequence[str] = ("core_id",)) -> DataFrame:

@@ -183,3 +183,18 @@ def test_a_small_batch_reads_few_splits_of_the_target(spark, tmp_path):
     assert "PartitionFilters: [split" in plan.toString()
     assert some.select(F.input_file_name()).distinct().count() <= 6 < stored.select(F.input_file_name()).distinct().count()
     assert ST.stored_in(spark, f"{tmp_path}/nothing", [1]) is None
+
+
+def test_latest_row_of_a_frame():
+    """By time, then tie, then place; a record of one row is that row, and the types fit the state."""
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(2)
+    for n in (1, 2, 3, 40):
+        for _ in range(50):
+            data = [(rnd.randrange(3), rnd.randrange(3), f"s{i}", "ok") for i in range(n)]
+            got = ST._latest_row(pd.DataFrame(data, columns=["at", "tie", "step", "status"]))
+            assert got == max(data, key=lambda r: r[:2]) and [type(x) for x in got] == [int, int, str, str]
+    assert ST._latest_row(pd.DataFrame({"at": [None, 5.0, 5.0], "tie": [9.0, None, 0.0], "step": ["a", "b", "c"], "status": ["x", "y", "z"]}))[2:] == ("c", "z")

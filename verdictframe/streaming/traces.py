@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -62,20 +63,38 @@ def status_moves(
         if state.hasTimedOut:
             state.remove()
             return
-        best = max((r for f in frames for r in f[["at", "tie", "step", "status"]].itertuples(index=False, name=None)), key=lambda r: r[:2])
-        old = state.get if state.exists else None
-        if old is None or best[:2] > tuple(old[:2]):
-            state.update(tuple(best))
-            out = [(*best[2:], 1)] + ([(*old[2:], -1)] if old is not None else [])
-            if old is None or tuple(old[2:]) != best[2:]:
-                yield pd.DataFrame(out, columns=["step", "status", "delta"])
-        state.setTimeoutTimestamp(max(int(state.get[0]) // 1000, state.getCurrentWatermarkMs()) + span)
+        best = None
+        for f in frames:
+            row = _latest_row(f)
+            if best is None or row[:2] > best[:2]:
+                best = row
+        old = tuple(state.get) if state.exists else None
+        if old is None or best[:2] > old[:2]:
+            state.update(best)
+            if old is None or old[2:] != best[2:]:
+                left = [old] if old is not None else []
+                yield pd.DataFrame({"step": [r[2] for r in (best, *left)], "status": [r[3] for r in (best, *left)], "delta": [1, -1][: 1 + len(left)]})
+            old = best
+        state.setTimeoutTimestamp(max(int(old[0]) // 1000, state.getCurrentWatermarkMs()) + span)
 
     return rows.groupBy("_key").applyInPandasWithState(
         move, "step string, status string, delta bigint", "at bigint, tie bigint, step string, status string", "append", "EventTimeTimeout"
     )
 
 
+def _latest_row(frame: pd.DataFrame) -> tuple:
+    """(at, tie, step, status) of the row with the greatest (at, tie), the first of equal ones; a null counts as the oldest.
+
+    A few array steps, as it is called for every record.
+    """
+    at, tie = (np.where(np.isnan(x), -(2.0**62), x) if x.dtype.kind == "f" else x for x in (frame["at"].to_numpy(), frame["tie"].to_numpy()))
+    i = 0
+    if len(at) > 1:
+        last = np.flatnonzero(at == at.max())
+        i = last[0] if len(last) == 1 else last[tie[last].argmax()]
+    return int(at[i]), int(tie[i]), frame["step"].to_numpy()[i], frame["status"].to_numpy()[i]
+
+
 def status_counts_of(moves: DataFrame) -> DataFrame:
     """Records per (step, status) from the appended moves."""
     return moves.groupBy("step", "status").agg(F.sum("delta").alias("n")).where("n <> 0")

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import compare, connect
 from verdictframe.llm import balltree, quality, queries, whitening
 from verdictframe.llm.common import table
 
@@ -316,3 +317,18 @@ def test_op13_takes_whole_tables(spark, sf_dir):
     want = pd.DataFrame([plain_measures(t) for t in docs.text])
     for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
         assert got[c].tolist() == want[c].tolist()
+
+
+def test_op13_rejects_where_labels_suffice(spark, tmp_path):
+    """By the query's own risk and error, sources of many good holdout labels get certificates and those of few don't."""
+    rng = np.random.default_rng(13)
+    docs = [(i, " ".join(f"w{int(x)}" + "#" * (i % 4 == 0) for x in rng.integers(0, 4000, 60)), "many" if i < 3000 else "few") for i in range(3400)]
+    docs = pd.DataFrame(docs, columns=["doc_id", "text", "source"])
+    docs.to_parquet(tmp_path / "documents.parquet")
+    docs[docs.doc_id % 7 > 0].assign(quality=lambda d: (d.doc_id % 4 > 0).astype("int32"))[["doc_id", "quality"]].to_parquet(tmp_path / "labels.parquet")
+    name = "op13_certified_quality"
+    out = queries.QUERIES[name](spark, str(tmp_path))
+    assert compare(name, out, queries.ORACLES[name], connect(str(tmp_path))) is None
+    got = out.toPandas().merge(docs, on="doc_id")
+    assert len(got) == len(docs) and not got.base_failed.any()
+    assert set(zip(got.source, got.doc_id % 4 == 0, got.kept)) == {("many", True, False), ("many", False, True), ("few", True, True), ("few", False, True)}

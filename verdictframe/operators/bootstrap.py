@@ -14,7 +14,8 @@ Four methods, cheapest first for large tables:
     Exact multinomial resampling with one row per draw, each a pure function of (seed, replicate,
     draw). Work is replicates x clusters; use it when a run must be repeatable in another engine.
 ``hashed_strata`` and ``hashed_rate_interval``
-    The same draws for many strata, and for groups that each resample their own answers.
+    The same draws for many strata, and for groups that each resample their own answers. Draws for strata are
+    hashed a whole replicate at once and travel as packed counts of hits, about 2 bits each.
 ``poisson_bootstrap``
     Independent Poisson(1) weights per (replicate, cluster): no index and no totals, so a sampling
     scheme with a random total rather than the exact one.
@@ -23,32 +24,46 @@ Four methods, cheapest first for large tables:
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.operators.ranking import dense_index, hash_order, rank_by_hash
+from verdictframe.functions.digests import first_words
+from verdictframe.operators.ranking import HASH_BITS, dense_index, hash_order, hash_order_of, rank_by_hash
 from verdictframe.session import by_merge, checkpointed
 
 _BLOCK_CELLS = 2_000_000  # weight-matrix cells held at once by a task
 _VECTORS_PER_BUCKET = 4096
 _STRATA_HELD = 1000  # whose sums a task holds, 16 bytes a replicate each
 _BROADCAST_CLUSTERS = 1_000_000  # 24 bytes each
-_DRAWS_PER_TASK = 10_000_000  # hashed draws that are dealt to one task
+_DRAWS_PER_TASK = 10_000_000  # hashed draws that are made by one task
+_HITS_HELD = 1 << 25  # hashed draws of a replicate that a task holds at once, 4 bytes each
+_CLUSTERS_PER_BLOCK = 8192  # whose hits travel together, one row for each replicate
+_ENTRIES_PER_BLOCK = 1 << 17  # statistics of a block's clusters, about 100 bytes each in the task
+_BLOCKS_PER_TASK = 4
 
 
 def percentile_interval(
-    replicates: DataFrame, by: Sequence[str], value: str = "rep", level: float = 0.95, scale: float = 100.0
+    replicates: DataFrame,
+    by: Sequence[str],
+    value: str = "rep",
+    level: float = 0.95,
+    scale: float = 100.0,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact linear-interpolation percentiles of the replicates of each stratum."""
+    """Exact linear-interpolation percentiles of the replicates of each stratum; ``also`` are more aggregates."""
     tail = (1.0 - level) / 2.0
     return replicates.groupBy(*by).agg(
         (scale * F.percentile(F.col(value), F.lit(tail))).alias("ci_low"),
         (scale * F.percentile(F.col(value), F.lit(1.0 - tail))).alias("ci_high"),
         F.count(value).alias("replicates"),
+        *also,
     )
 
 
@@ -292,25 +307,242 @@ def hashed_draws(stats: DataFrame, cluster: str, n_boot: int, seed: int | str) -
     return joined.groupBy("b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
-def hashed_strata(stats: DataFrame, by: Sequence[str], cluster: str, population: DataFrame, n_boot: int, seed: int | str, level: float = 0.95, scale: float = 100.0) -> DataFrame:
+class BlockedStats(NamedTuple):
+    """Statistics of clusters packed by leading bits of the clusters' hash: ``table`` has (idx_block, stats)."""
+
+    table: DataFrame
+    bits: int
+
+
+def _hash_block(cluster: str, bits: int) -> Column:
+    """Leading bits of the hash that ``dense_index`` orders by, so indexes of a block are neighbours."""
+    return F.shiftright(hash_order_of(F.md5(F.col(cluster).cast("string"))), HASH_BITS - bits).alias("idx_block")
+
+
+def blocked_stats(stats: DataFrame, by: Sequence[str], cluster: str, population: DataFrame) -> BlockedStats:
+    """``stats`` packed for ``hashed_strata``; write it once where several parts of ``population`` share it.
+
+    Pass materialised tables: they are counted first. A row holds the entries of about ``_CLUSTERS_PER_BLOCK`` clusters.
+    """
+    n, entries = population.count(), stats.count()
+    bits = (max(1, -(-n // _CLUSTERS_PER_BLOCK), -(-entries // _ENTRIES_PER_BLOCK)) - 1).bit_length()
+    stratum = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit(_NULL)) for c in by])
+    rows = stats.where(F.col(cluster).isNotNull()).select(
+        _hash_block(cluster, bits), F.col(cluster).alias("cluster"), stratum.alias("s"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den")
+    )
+    parts = max(_tasks(stats), -(-(1 << bits) // _BLOCKS_PER_TASK))
+    dealt = rows.repartition(parts, "idx_block").sortWithinPartitions("idx_block", "cluster")
+    return BlockedStats(checkpointed(dealt.mapInArrow(_pack_blocks, "idx_block bigint, stats binary")), bits)
+
+
+def hashed_strata(
+    stats: DataFrame,
+    by: Sequence[str],
+    cluster: str,
+    population: DataFrame,
+    n_boot: int,
+    seed: int | str,
+    level: float = 0.95,
+    scale: float = 100.0,
+    blocked: BlockedStats | None = None,
+) -> DataFrame:
     """Point and percentile interval per stratum by draws that any engine can repeat.
 
     All strata share the draws, one for each cluster of the population and replicate, each a hash of (seed,
-    replicate, cluster index). Draws are dealt once, by the cluster they hit, and meet its strata there; sums per
-    replicate combine before the next shuffle. No replicate, stratum or hot cluster lies in one task, and nothing
-    that grows with the clusters is broadcast. Work is replicates x clusters.
+    replicate, cluster index). A task makes the draws of a replicate (``_HITS_HELD`` at once), counts how often each
+    cluster is hit and sends the counts as packed blocks of neighbouring indexes. The index follows a hash of the
+    cluster, so its leading bits name the block, and the packed statistics are in blocks already. Both meet there by
+    a sorted merge of one row a block, and each replicate weighs the statistics. What is written for a draw is
+    about 2 bits (3 to 5 where a replicate takes several parts); a task holds one block at a time, and no stratum,
+    replicate or hot cluster lies in one task. One number for each block goes through the driver. Work is replicates
+    x clusters.
+
+    ``blocked`` are the ``blocked_stats`` of ``stats``, if they are written already for this population or one that holds it.
     """
-    indexed = checkpointed(dense_index(population.select(cluster).distinct(), cluster, "idx"))
-    n = indexed.count()
-    spread = indexed.select("idx").repartition(_tasks(stats), "idx")
-    draws = spread.select(F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"), F.col("idx").alias("d"))
-    parts = max(_tasks(stats), -(-n * n_boot // _DRAWS_PER_TASK))
-    hits = draws.select("b", draw_index(seed, F.col("b"), F.col("d"), F.lit(n)).alias("idx")).repartition(parts, "idx")
-    rows = checkpointed(by_merge(stats, indexed, cluster).groupBy(*by, "idx").agg(F.sum("num").alias("num"), F.sum("den").alias("den")))
-    point = rows.groupBy(*by).agg(F.sum("den").cast("bigint").alias("n"), F.count_if(F.col("den") > 0).alias("n_clusters"), (scale * F.sum("num") / F.sum("den")).alias("point"))
-    sums = by_merge(hits, rows, "idx").groupBy(*by, "b").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    reps = sums.where(F.col("den") > 0).select(*by, (F.col("num") / F.col("den")).alias("rep"))
-    return point.join(percentile_interval(reps, by, level=level, scale=scale), list(by), "left")
+    spark = stats.sparkSession
+    known = F.col(cluster).isNotNull()
+    indexed = checkpointed(dense_index(population.where(known).select(cluster).distinct(), cluster, "idx"))
+    # clusters without key are one more, the last one, that takes draws but has no statistics
+    n = indexed.count() + int(not population.where(~known).isEmpty())
+    table, bits = blocked or blocked_stats(stats, by, cluster, indexed)
+    block = _hash_block(cluster, bits)
+    blocks = sorted(indexed.groupBy(block).agg(F.min("idx").alias("start")).collect(), key=lambda r: r["start"])
+    shared = spark.sparkContext.broadcast((np.array([r["idx_block"] for r in blocks], np.int64), np.array([r["start"] for r in blocks] + [n], np.int64)))
+    parts = max(_tasks(stats), -(-len(blocks) // _BLOCKS_PER_TASK))
+
+    chunks = max(1, -(-n // _HITS_HELD))
+    jobs = n_boot * chunks if n else 0
+    makers = spark.range(0, jobs, 1, max(1, min(jobs, max(_tasks(stats), -(-n * n_boot // _DRAWS_PER_TASK)))))
+    hits = makers.mapInArrow(_hit_kernel(seed, chunks, shared), "idx_block bigint, b int, hits binary")
+    draws = hits.repartition(parts, "idx_block").groupBy("idx_block").agg(F.collect_list(F.struct("b", "hits")).alias("draws"))
+    placed = indexed.select(block, "idx", F.col(cluster).alias("cluster")).repartition(parts, "idx_block")
+    places = placed.groupBy("idx_block").agg(F.collect_list(F.struct("idx", "cluster")).alias("places"))
+
+    met = by_merge(by_merge(draws, places, "idx_block"), table.repartition(parts, "idx_block"), "idx_block")
+    weighed = met.select("idx_block", "draws", "places", "stats").mapInArrow(_weigh_kernel(n_boot, shared), _WEIGHED)
+    sums = weighed.groupBy("s", "b").agg(*[F.sum(c).alias(c) for c in ("num", "den", "known", "clusters")])
+    num, den, whole = F.when(F.col("known") > 0, F.col("num")), F.col("den"), F.col("b") < 0
+    reps = sums.select(
+        "s",
+        F.when(~whole & (den > 0), num / den).alias("rep"),
+        F.when(whole, den.cast("bigint")).alias("n"),
+        F.when(whole, F.col("clusters").cast("bigint")).alias("n_clusters"),
+        F.when(whole, F.try_divide(scale * num, den)).alias("point"),
+    )
+    also = [F.max(c).alias(c) for c in ("n", "n_clusters", "point")]
+    out = percentile_interval(reps, ["s"], level=level, scale=scale, also=also)
+    names = F.split(F.col("s"), "\u001f")
+    return out.select(
+        *[F.nullif(names[i], F.lit(_NULL)).cast(stats.schema[c].dataType).alias(c) for i, c in enumerate(by)],
+        "n", "n_clusters", "point", "ci_low", "ci_high", F.nullif("replicates", F.lit(0)).alias("replicates"),
+    )
+
+
+_NULL = "\u001e"  # name of a stratum without value
+_WEIGHED = "s string, b int, num double, den double, known double, clusters double"
+
+
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, its rows as compressed Arrow) from rows that are sorted by block."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        blocks = batch.column("idx_block").to_numpy()
+        cuts = np.flatnonzero(np.diff(blocks)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(blocks)]):
+            if low == high:
+                continue
+            if held and blocks[low] != current:
+                yield _frozen(current, held)
+                held = []
+            current = int(blocks[low])
+            held.append(batch.slice(low, high - low).select(["cluster", "s", "num", "den"]))
+    if held:
+        yield _frozen(current, held)
+
+
+def _frozen(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held).combine_chunks()
+    table = table.set_column(1, "s", table.column("s").dictionary_encode())
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["idx_block", "stats"])
+
+
+def _packed(cells: np.ndarray, codec: pa.Codec) -> Iterator[bytes]:
+    """Counts as compressed half bytes; what is beyond 15 comes in further parts, to be added."""
+    while True:
+        halves = np.zeros(len(cells) + len(cells) % 2, dtype=np.uint8)
+        np.minimum(cells, 15, out=halves[: len(cells)], casting="unsafe")
+        yield codec.compress(halves[::2] | halves[1::2] << 4, asbytes=True)
+        if cells.max() <= 15:
+            return
+        cells = np.maximum(cells - 15, 0)
+
+
+def _unpacked(packed: bytes, size: int, codec: pa.Codec) -> np.ndarray:
+    pairs = np.frombuffer(codec.decompress(packed, -(-size // 2), asbytes=True), dtype=np.uint8)
+    return np.stack([pairs & 15, pairs >> 4], axis=1).ravel()[:size]
+
+
+def _hit_kernel(seed: int | str, chunks: int, shared: Broadcast):
+    """(block, replicate, packed counts of hits) of the draws of one replicate, or of one of its ``chunks``."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        blocks, starts = shared.value
+        n = int(starts[-1])
+        for job in (i for batch in batches for i in batch.column(0).to_pylist()):
+            b, chunk = divmod(job, chunks)
+            hits = first_words(f"{seed}:{b}:", n * chunk // chunks, n * (chunk + 1) // chunks)
+            if n < 1 << 32:  # else 32 bits are below it
+                hits %= np.uint32(n)
+            hits.sort()
+            ends = np.append(np.searchsorted(hits, starts[:-1].astype(np.uint32)), len(hits))  # of the same type, or all hits would be copied
+            for at in range(0, len(blocks), 256):
+                rows = []
+                for i in range(at, min(at + 256, len(blocks))):
+                    if ends[i] < ends[i + 1]:
+                        cells = np.bincount(hits[ends[i] : ends[i + 1]] - starts[i], minlength=starts[i + 1] - starts[i])
+                        rows += [(blocks[i], part) for part in _packed(cells, codec)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([b] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
+                    ["idx_block", "b", "hits"],
+                )
+
+    return kernel
+
+
+def _weigh_kernel(n_boot: int, shared: Broadcast):
+    """Sums of each (stratum, replicate) over the blocks of a task; replicate -1 takes every cluster once."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        blocks, starts = shared.value
+        place = {int(block): i for i, block in enumerate(blocks)}
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                i = place[batch.column("idx_block")[row].as_py()]
+                entries = pa.ipc.open_stream(batch.column("stats")[row].as_buffer()).read_all()
+                draws, places = batch.column("draws")[row].values, batch.column("places")[row].values
+                strata, totals = _block_sums(draws, places, entries, int(starts[i]), int(starts[i + 1]), n_boot, codec)
+                for s, own in zip(strata, totals):
+                    if s in sums:
+                        sums[s] += own
+                    else:
+                        sums[s] = own
+                if len(sums) > _STRATA_HELD // 2:
+                    yield from _weighed(sums)
+                    sums = {}
+        yield from _weighed(sums)
+
+    return kernel
+
+
+def _weighed(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for s, (num, den, known, clusters) in sums.items():
+        b = np.r_[np.arange(len(num) - 1), -1].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([s] * len(b), pa.string()), pa.array(b), *map(pa.array, (num, den, known, clusters))], ["s", "b", "num", "den", "known", "clusters"])
+
+
+def _block_sums(
+    draws: pa.StructArray, places: pa.StructArray, entries: pa.Table, start: int, stop: int, n_boot: int, codec: pa.Codec
+) -> tuple[list[str], np.ndarray]:
+    """The strata of a block, and for each (num, den, entries with num, clusters) by replicate, the whole block last."""
+    owners = entries.column("cluster").combine_chunks()
+    found = pc.index_in(owners, value_set=places.field("cluster").cast(owners.type))
+    entries, found = entries.filter(found.is_valid()), found.drop_null().to_numpy()
+    coded = entries.column("s").combine_chunks()
+    strata, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    here = np.unique(codes)  # a population need not have all of them
+    strata, codes = [strata[i] for i in here], np.searchsorted(here, codes)
+    totals = np.zeros((len(strata), 4, n_boot + 1))
+    if not strata:
+        return strata, totals
+    at = places.field("idx").to_numpy()[found] - start
+    order = np.lexsort((at, codes))
+    firsts = np.searchsorted(codes[order], np.arange(len(strata)))
+    at = at[order]
+    num, den = entries.column("num").combine_chunks(), entries.column("den").combine_chunks()
+    known = num.is_valid().to_numpy(zero_copy_only=False).astype(float)
+    values = np.stack([num.fill_null(0.0).to_numpy(), den.fill_null(0.0).to_numpy(), known])[:, order]
+    totals[:, :3, n_boot] = np.add.reduceat(values, firsts, axis=1).T
+    codes = codes[order]
+    each = np.r_[0, np.flatnonzero((np.diff(at) != 0) | (np.diff(codes) != 0)) + 1]  # a cluster may have several rows
+    totals[:, 3, n_boot] = np.bincount(codes[each], weights=np.add.reduceat(values[1], each) > 0, minlength=len(strata))
+    finite = np.isfinite(values).all()
+    numbers, packed = draws.field("b").to_numpy(), draws.field("hits")
+    by_number = np.argsort(numbers, kind="stable")
+    for rows in np.split(by_number, np.flatnonzero(np.diff(numbers[by_number])) + 1):
+        hits = np.zeros(stop - start)
+        for row in rows:
+            hits += _unpacked(packed[int(row)].as_py(), stop - start, codec)
+        weight = hits[at]
+        weighed = values * weight if finite else np.where(weight > 0, values, 0.0) * weight
+        totals[:, :3, numbers[rows[0]]] = np.add.reduceat(weighed, firsts, axis=1).T
+    return strata, totals
 
 
 def hashed_rate_interval(df: DataFrame, by: Sequence[str], answer_keys: Sequence[str], event: str, n_boot: int = 1000, seed: int | str = 20260627) -> DataFrame:

@@ -13,7 +13,7 @@ from verdictframe.operators.quality import expect
 from verdictframe.operators.ranking import hash_order
 from verdictframe.plans import tables as T
 from verdictframe.plans.registry import query, round_columns, rounded
-from verdictframe.session import checkpointed
+from verdictframe.session import checkpointed, shuffles_freed
 
 CELLS_SQL = """count(*) AS n, count(*) FILTER (gold) AS gold_pos, count(*) FILTER (gold AND pred) AS tp,
   count(*) FILTER (NOT gold AND pred) AS fp, count(*) FILTER (NOT gold AND NOT pred) AS tn,
@@ -307,13 +307,16 @@ SELECT population, grp, metric, n, n_clusters, round(point, 6) AS point, round(l
 )
 def bootstrap_blocks_repeated(spark, sf_dir):
     """All strata of the three populations over questions, by draws that SQL repeats one by one."""
-    stats = checkpointed(P.stratum_stats(_answers(spark, sf_dir), "core_id").withColumnRenamed("group", "grp"))
-    clusters = checkpointed(T.verdicts(spark, sf_dir).select("core_id", "is_validated").distinct())
-    valid = F.col("is_validated")
-    out = None
-    for offset, (name, population) in enumerate({"full": clusters, "validated": clusters.where(valid), "gap_fill": clusters.where(~valid)}.items()):
-        part = B.hashed_strata(stats, ["grp", "metric"], "core_id", population, N_REPEATED, DRAW_SEED + 101 * offset).withColumn("population", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    by, out = ["grp", "metric"], None
+    with shuffles_freed(spark):
+        stats = checkpointed(P.stratum_stats(_answers(spark, sf_dir), "core_id").withColumnRenamed("group", "grp"))
+        clusters = checkpointed(T.verdicts(spark, sf_dir).select("core_id", "is_validated").distinct())
+        blocked = B.blocked_stats(stats, by, "core_id", clusters)
+        valid = F.coalesce(F.col("is_validated"), F.lit(False))
+        for offset, (name, population) in enumerate({"full": clusters, "validated": clusters.where(valid), "gap_fill": clusters.where(~valid)}.items()):
+            # written one after the other, so that only one population's draws are on disk
+            part = checkpointed(B.hashed_strata(stats, by, "core_id", population, N_REPEATED, DRAW_SEED + 101 * offset, blocked=blocked)).withColumn("population", F.lit(name))
+            out = part if out is None else out.unionByName(part)
     return round_columns(out.withColumn("covers_zero", P.interval_covers_zero()), "point", "ci_low", "ci_high")
 
 
